@@ -11,6 +11,7 @@ from lexmill.llm.mixing import Mix
 from lexmill.llm.near_duplicates import NearDuplicates
 from lexmill.llm.packing import pack
 from lexmill.llm.sampling import proportional_sample, usable_cells
+from lexmill.llm.spam import spam_pages
 from lexmill.llm.splits import author_groups, split_groups
 from lexmill.llm._tokens import token_count
 
@@ -153,5 +154,13 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents")).where("is_spam").select("doc_id").distinct()
+
+
+def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
