@@ -77,12 +77,13 @@ class NearDuplicates:
                     )
 
         signed = nodes.mapInArrow(sign, "key long, node long, s1 long, s2 long")
-        other = signed.select("key", F.col("node").alias("b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-        # Lanes agree in both bits with probability 1/4 + 3/4 J; two and a half deviations below that of the threshold pass.
+        # Lanes agree in both bits with probability 1/4 + 3/4 J; two deviations below that of the threshold pass.
         p = 0.25 + 0.75 * self.threshold
         enough = int(64 * p - 2.1 * math.sqrt(64 * p * (1 - p)))
-        alike = 64 - F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("t2")))) >= enough
-        return signed.join(other, "key").where((F.col("node") < F.col("b")) & alike).select(F.col("node").alias("a"), "b").distinct()
+        differ = F.expr("bit_count((x.s1 ^ y.s1) | (x.s2 ^ y.s2))")
+        # Both sides are the same plan without a projection between, so that their exchange is made once and reused.
+        both = signed.alias("x").join(signed.alias("y"), F.expr("x.key = y.key"))
+        return both.where(F.expr("x.node < y.node") & (differ <= 64 - enough)).select(F.expr("x.node AS a"), F.expr("y.node AS b")).distinct()
 
     def _verified(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the candidates that hold on their whole texts."""
