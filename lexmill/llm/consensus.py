@@ -39,28 +39,41 @@ class Consensus:
         start = [F.sum(F.when(F.col("label") == c, 1.0).otherwise(0.0)) + 0.1 for c in k]
         q = self.labels.groupBy("item").agg(F.first("weight").alias("weight"), F.array(*start).alias("q"))
         q = q.select("item", "weight", F.transform("q", lambda x: x / F.aggregate("q", F.lit(0.0), lambda a, b: a + b)).alias("q"))
+        # Labels an item, so that the sums over labels give class shares in items.
+        self._each = self.labels.agg(F.count("*") / F.count_distinct("item")).first()[0] or 1.0
         before = None
         for self.rounds in range(1, rounds + 1):
             self.counts = checkpoint(self._counts(q))
-            self.shares = self._shares(q)
+            sums = self.counts.agg(*(F.sum(F.col("n")[c]) for c in k)).first()
+            self.shares = [(x or 0.0) / max(1.0, self._each) + flat for x in sums]
             q = checkpoint(self._items())
-            move = q.agg(F.sum(F.col("weight") * F.aggregate(F.transform("q", lambda x: x * x), F.lit(0.0), lambda a, b: a + b))).first()[0]
-            total = self.total or 1.0
-            if move is None or (before is not None and abs(move - before) / total < tolerance):
+            move = q.agg(F.sum(F.col("weight") * F.aggregate("q", F.lit(0.0), lambda a, b: a + b * b)) / F.sum("weight")).first()[0]
+            if move is None or (before is not None and abs(move - before) < tolerance):
                 break
             before = move
         self.items = q
 
-    def _shares(self, q: DataFrame) -> list[float]:
-        row = q.agg(*(F.sum(F.col("weight") * F.col("q")[c]).alias(f"c{c}") for c in self.classes)).first()
-        found = [x or 0.0 for x in row]
-        self.total = sum(found)
-        return [x + 1.0 for x in found]
-
     def _counts(self, q: DataFrame) -> DataFrame:
-        """Expected labels of each annotator by true class: (rater, label, n0, n1, ...)."""
+        """Expected labels of each annotator by true class: (rater, label, n), n an array over the classes."""
         rows = self.labels.join(q.select("item", "q"), "item")
-        return rows.groupBy("rater", "label").agg(*(F.sum(F.col("weight") * F.col("q")[c]).alias(f"n{c}") for c in self.classes))
+        return rows.groupBy("rater", "label").agg(F.array(*(F.sum(F.col("weight") * F.col("q")[c]) for c in self.classes)).alias("n"))
+
+    def _items(self) -> DataFrame:
+        """Class probabilities of each item: softmax of the expected log shares and confusions."""
+        by_label = F.array(*(F.array(*(F.lit(self.prior(c, l)) for c in self.classes)) for l in self.classes))
+        by_class = F.array(*(F.lit(sum(self.prior(c, l) for l in self.classes)) for c in self.classes))
+        total = self.counts.groupBy("rater").agg(F.array(*(F.sum(F.col("n")[c]) for c in self.classes)).alias("t"))
+        add, less = (lambda x, y: x + y), (lambda x, y: x - y)
+        cell = F.transform(F.zip_with("n", F.element_at(by_label, F.col("label") + 1), add), digamma)
+        row = F.transform(F.zip_with("t", by_class, add), digamma)
+        logs = self.counts.join(total, "rater").select("rater", "label", F.zip_with(cell, row, less).alias("e"))
+        shares = F.zip_with(F.transform(F.array(*(F.lit(x) for x in self.shares)), digamma), F.array_repeat(F.element_at(F.transform(F.array(F.lit(sum(self.shares))), digamma), 1), self.size), less)
+        of = self.labels.join(logs, ["rater", "label"]).groupBy("item").agg(
+            F.first("weight").alias("weight"), F.array(*(F.sum(F.col("e")[c]) for c in self.classes)).alias("l")
+        )
+        of = of.select("item", "weight", F.zip_with("l", shares, add).alias("l"))
+        of = of.select("item", "weight", F.transform("l", lambda v: F.exp(v - F.array_max("l"))).alias("x"))
+        return of.select("item", "weight", F.transform("x", lambda v: v / F.aggregate("x", F.lit(0.0), add)).alias("q"))
 
     def posterior(self) -> DataFrame:
         """(rater, class, label, alpha, alpha_row): every cell of every annotator's Dirichlet posterior."""
@@ -71,7 +84,7 @@ class Consensus:
         cells = [
             F.struct(
                 F.lit(c).alias("class"),
-                (F.coalesce(F.col(f"n{c}"), F.lit(0.0)) + F.element_at(F.array(*(F.lit(self.prior(c, l)) for l in self.classes)), F.col("label") + 1)).alias("alpha"),
+                (F.coalesce(F.col("n")[c], F.lit(0.0)) + F.element_at(F.array(*(F.lit(self.prior(c, l)) for l in self.classes)), F.col("label") + 1)).alias("alpha"),
             )
             for c in self.classes
         ]
@@ -79,16 +92,6 @@ class Consensus:
         rows = long.groupBy("rater", "class").agg(F.sum("alpha").alias("alpha_row"))
         return long.join(rows, ["rater", "class"])
 
-    def _items(self) -> DataFrame:
-        full = self.posterior().withColumn("e", digamma(F.col("alpha")) - digamma(F.col("alpha_row")))
-        wide = full.groupBy("rater", "label").agg(*(F.sum(F.when(F.col("class") == c, F.col("e"))).alias(f"e{c}") for c in self.classes))
-        shares = [digamma(F.lit(x)) - digamma(F.lit(sum(self.shares))) for x in self.shares]
-        logs = self.labels.join(wide, ["rater", "label"]).groupBy("item").agg(
-            F.first("weight").alias("weight"), F.array(*(F.sum(f"e{c}") + shares[c] for c in self.classes)).alias("l")
-        )
-        logs = logs.withColumn("x", F.transform("l", lambda v: F.exp(v - F.array_max("l"))))
-        return logs.select("item", "weight", F.transform("x", lambda v: v / F.aggregate("x", F.lit(0.0), lambda a, b: a + b)).alias("q"))
-
     def consensus(self) -> DataFrame:
         """(item, label, confidence): the most likely class of each item; ties take the lower class."""
         best = F.array_max("q")
