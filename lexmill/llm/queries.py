@@ -10,10 +10,13 @@ from lexmill.llm.consensus import Consensus, krippendorff
 from lexmill.llm.mixing import Mix
 from lexmill.llm.near_duplicates import NearDuplicates
 from lexmill.llm.packing import pack
+from lexmill.llm.quality import quality
+from lexmill.llm.readability import band_number, reading_levels
 from lexmill.llm.sampling import proportional_sample, usable_cells
 from lexmill.llm.spam import spam_pages
 from lexmill.llm.splits import author_groups, split_groups
 from lexmill.llm._tokens import token_count
+from lexmill.session import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,41 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Essays of which less than half is running prose, by the learned rules."""
+    return quality(table(spark, sf_dir, "flip_final")).where("kind = 'junk'").select("id").distinct()
+
+
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(table(spark, sf_dir, "flip_final"))
+    shares = ("word_length", "symbol_share", "ended_lines", "function_share", "clause_share")
+    return out.select("id", F.col("words").cast("long").alias("words"), F.col("lines").cast("long").alias("lines"), *(F.round(c, 6).alias(c) for c in shares), "kind").distinct()
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "flip_final")
+    used = ("words", "english_share", "german_share", "sentences", "letters", "syllables", "many_syllables", "long_words", "kind")
+    key = F.struct("id", F.substring(level_name(F.col("level")), 1, 2).alias("level"))
+    figures = quality(records.select(key.alias("key"), "essay"), "key").select("key.id", "key.level", *used)
+    return reading_levels(stored(figures))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose text is typical of a band two or more steps from that of their level."""
+    return _levels(spark, sf_dir).where(F.abs(band_number(F.col("text_band")) - band_number(F.col("level"))) >= 2).select("id").distinct()
+
+
+def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _levels(spark, sf_dir).where("text_band IS NOT NULL")
+    grades = ("words_per_sentence", "flesch_kincaid", "fog", "smog", "coleman_liau", "automated", "lix")
+    return out.select("id", "level", *(F.round(c, 3).alias(c) for c in grades), "text_band").distinct()
+
+
+def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by level and band of their text."""
+    return p3_levels(spark, sf_dir).groupBy("level", "text_band").agg(F.count_distinct("id").alias("n"))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(patterns with their number of records, records with their pattern): vocabulary grades of both graders."""
     graders = table(spark, sf_dir, "graders").select(folded_name("grader_name").alias("_key"), "grader_name")

@@ -94,7 +94,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             found.append(np.array([i]))
     found.append(np.flatnonzero((data == 45) & (before >= 97) & (before < 123) & _DIGIT[after] & _DIGIT[two] & _DIGIT[_shift(data, 3)]))
     marked = np.unique(part[np.concatenate(found)])
-    return {"token": hash_ranges(data, starts, ends), "at": at, "seg": seg, "marked": marked, "texts": np.int64(texts)}
+    first = np.ones(len(seg), bool)
+    first[1:] = seg[1:] != seg[:-1]
+    return {"token": hash_ranges(data, starts, ends), "at": at, "seg": seg, "marked": marked, "start": starts, "end": ends, "seg_at": at[first]}
 
 
 def phrase_rows(texts: pa.Array, function_words: np.ndarray) -> list[pa.Array]:
