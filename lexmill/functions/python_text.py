@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Contractions by ending, and those that follow no ending.
 NOT = "are could did does do had has have is might must need ought should was were would may".split()
@@ -41,7 +42,7 @@ def expanded(text: str | None) -> str | None:
     return anyone.sub(lambda m: table.get(m[0]) or table.get(m[0].lower()) or "", text.replace("´", "'")).replace("'", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _expand(text: pd.Series) -> pd.Series:
     table = contractions()
     anyone = re.compile("|".join(map(re.escape, table)), re.IGNORECASE)
@@ -49,12 +50,12 @@ def _expand(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else anyone.sub(swap, x.replace("´", "'")).replace("'", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else html.unescape(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

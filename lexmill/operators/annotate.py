@@ -118,12 +118,19 @@ STOP = " ".join(CLOSED[k] for k in ("DT", "PRP", "PRP$", "MD", "TO", "IN", "RP",
 
 def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """texts to tokens. Null and blank texts give no tokens; a repeated key gives its tokens again; other columns are left out."""
-    raw = F.regexp_extract_all(F.col("_s"), F.lit(TOKEN), F.lit(0))
-    rows = texts.select(F.col(key).alias("doc_id"), F.posexplode(sentences(F.col(text))).alias("sent_id", "_s")).select("doc_id", "sent_id", raw.alias("_raw"))
-    rows = rows.withColumn("_t", F.expr(f"transform(_raw, (x, i) -> named_struct('text', x, 'lower', lower(x), 'tag', {tag_sql('x', 'lower(x)', 'i')}))"))
-    rows = rows.withColumn("_t", F.expr(f"transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', {retag_sql('x.tag', 'get(_t, i - 1).tag')}))"))
-    rows = rows.withColumn("_t", F.expr(f"transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', x.tag, 'link', {dep_sql('x.tag', 'get(_t, i - 1).tag', 'get(_t, i + 1).tag')}))"))
-    flat = rows.select("doc_id", "sent_id", F.posexplode("_t").alias("pos", "t")).select("doc_id", "sent_id", "pos", "t.*")
+    rows = texts.select(F.col(key).alias("doc_id"), F.posexplode(sentences(F.col(text))).alias("sent_id", "_s"))
+
+    def step(rows: DataFrame, value: F.Column) -> DataFrame:
+        """One pass over the tokens of a sentence. Going through a generator of one row keeps the optimizer from writing the
+        pass out wherever the next one mentions it, which would run it again for every token."""
+        return rows.select("doc_id", "sent_id", F.explode(F.array(value)).alias("_t"))
+
+    rows = step(rows, F.regexp_extract_all(F.col("_s"), F.lit(TOKEN), F.lit(0)))
+    rows = step(rows, F.expr(f"transform(_t, (x, i) -> named_struct('text', x, 'lower', lower(x), 'tag', {tag_sql('x', 'lower(x)', 'i')}))"))
+    rows = step(rows, F.expr("transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', x.tag, 'before', get(_t, i - 1).tag))"))
+    rows = step(rows, F.expr(f"transform(_t, x -> named_struct('text', x.text, 'lower', x.lower, 'tag', {retag_sql('x.tag', 'x.before')}))"))
+    rows = step(rows, F.expr("transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', x.tag, 'before', get(_t, i - 1).tag, 'after', get(_t, i + 1).tag))"))
+    flat = rows.select("doc_id", "sent_id", F.posexplode("_t").alias("pos", "t")).select("doc_id", "sent_id", "pos", "t.*").withColumn("link", F.expr(dep_sql("tag", "before", "after")))
     return flat.select(
         "doc_id", "sent_id", "pos", "text", "lower", F.expr(lemma_sql("lower", "tag")).alias("lemma"), F.expr(upos_sql("tag")).alias("upos"), "tag",
         F.expr("substr(link, 3)").alias("dep"), F.expr("pos + CASE left(link, 1) WHEN 'n' THEN 1 WHEN 'p' THEN -1 ELSE 0 END").alias("head_pos"),
@@ -138,7 +145,7 @@ def annotate_sql(table: str, key: str = "doc_id", text: str = "text") -> str:
     return f"""sents AS (
   SELECT doc_id, i - 1 AS sent_id, s[i] AS sent FROM (
     SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
-      SELECT {key} AS doc_id, list_filter(list_transform(string_split(regexp_replace({text}, '([.!?]+)\\s+', '\\1' || chr(1), 'g'), chr(1)), x -> trim(x, ' ')), x -> x <> '') AS s FROM {table}))
+      SELECT {key} AS doc_id, list_filter(list_transform(string_split(regexp_replace({text}, '([.!?]+)\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM {table}))
 ), raws AS (
   SELECT doc_id, sent_id, i - 1 AS pos, r[i] AS text, lower(r[i]) AS lower FROM (
     SELECT doc_id, sent_id, r, unnest(range(1, len(r) + 1)) AS i FROM (

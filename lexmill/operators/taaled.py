@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lexmill.operators.variation import THRESHOLD
 
@@ -30,7 +31,7 @@ def classify(tokens: DataFrame, adjectives: DataFrame, real_words: DataFrame) ->
     stems = adjectives.select(F.col("word").alias("_stem"), F.lit(True).alias("_adj")).distinct()
     rows = rows.withColumns({"_a": short, "_b": long_}).join(stems.toDF("_a", "_one"), "_a", "left").join(stems.toDF("_b", "_two"), "_b", "left")
     tag, lemma = F.col("tag"), F.col("lemma")
-    pronoun = F.when(F.col("lower") == "me", "i").when(F.col("lower") == "him", "he").when(F.col("lower") == "her", "she").otherwise(F.col("lower"))
+    pronoun = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in SUBJECT.items() for x in pair)), F.col("lower")), F.col("lower"))
     item = (
         F.when(tag.isin(*NOUNS), F.concat(lemma, F.lit("_cw_nn")))
         .when(tag.isin(*ADJECTIVES), F.concat(lemma, F.lit("_cw")))
@@ -61,7 +62,7 @@ def mtld_wrap(w: list[str], threshold: float = THRESHOLD, least: int = 10) -> fl
     return sum(lengths) / len(lengths) if lengths else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _wrap(joined: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in joined:
         yield pd.Series([mtld_wrap(x.split(" ")) if x else 0.0 for x in part], dtype="float64")

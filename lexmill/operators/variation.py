@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lexmill.functions.text import words
 
@@ -93,7 +94,10 @@ def mattr(w: list[str], size: int = SEGMENT) -> float:
     return total / (size * (len(w) - size + 1))
 
 
-@F.pandas_udf("once long, hdd double, yulek double, mtld double, msttr double, mattr double")
+_SEQUENCE = StructType([StructField("once", LongType()), *(StructField(c, DoubleType()) for c in ("hdd", "yulek", "mtld", "msttr", "mattr"))])
+
+
+@F.pandas_udf(_SEQUENCE)
 def _sequence(joined: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in joined:
         rows = []
