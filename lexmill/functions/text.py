@@ -55,7 +55,7 @@ def words(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences as an array: parted at white space after . ! or ?; blank parts are dropped."""
     parts = F.split(F.regexp_replace(text, "([.!?]+)\\s+", "$1\u0001"), "\u0001")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def one_line(text: Column) -> Column:

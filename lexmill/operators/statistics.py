@@ -26,7 +26,7 @@ def average_per_score(rows: DataFrame, score: str, value: str, low: int = 1, hig
 
 def cross_tab(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Counts of row by column; absent pairs are 0."""
-    return rows.groupBy(row).pivot(column, values).agg(F.count("*")).fillna(0)
+    return rows.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def percentiles(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import accuracy, association, collocations, density, lexicon, repetition, sophistication, taaled, variation
 from lexmill.operators.annotate import annotate
 from lexmill.operators.feedback import VECTOR
+from lexmill.session import stored
 
 #: What each component needs before it.
 NEEDS = {
@@ -80,14 +81,14 @@ class Pipeline:
             rows = texts.select("doc_id").join(w, "doc_id", "left").withColumn("w", F.transform("w", lambda x: x["lower"]))
             tables.append(variation.lexical_variation(rows, text=None, sequence=F.col("w")))
         if "lexical_sophistication" in has:
-            ranked = r.ranked or dict.fromkeys(("CA", "CT", "CG"), lexicon.ranked_list(tokens))
+            ranked = r.ranked or dict.fromkeys(("CA", "CT", "CG"), stored(lexicon.ranked_list(tokens)))
             lists = r.word_lists or {k: lexicon.word_list(ranked["CG"], i * 500, i * 500 + 500) for i, k in enumerate(("NG", "NA", "TC", "BS"))}
             tables.append(sophistication.lexical_sophistication(tokens, lists, ranked))
         if has & {"collocation_detector", "spell_checker"}:
-            words = r.dictionary if r.dictionary is not None else lexicon.dictionary(texts)
+            words = r.dictionary if r.dictionary is not None else stored(lexicon.dictionary(texts))
         if "collocation_detector" in has:
-            found = collocations.collocations(tokens)
-            edges = r.edges if r.edges is not None else collocations.edge_table(found)
+            found = stored(collocations.collocations(tokens))
+            edges = r.edges if r.edges is not None else stored(collocations.edge_table(found))
             measured = collocations.with_metric(found, edges)
         if "lexical_accuracy" in has:
             tables.append(accuracy.lexical_accuracy(tokens, words))
@@ -99,8 +100,8 @@ class Pipeline:
         if "association_scores" in has:
             tables.append(association.association_indices(association.scored(found, edges)))
         if "lexical_variation_taaled" in has:
-            real = r.real_words if r.real_words is not None else lexicon.dictionary(texts, least=1)
-            adjectives = r.adjectives if r.adjectives is not None else tokens.where("tag = 'JJ'").select(F.col("lemma").alias("word")).distinct()
+            real = r.real_words if r.real_words is not None else stored(lexicon.dictionary(texts, least=1))
+            adjectives = r.adjectives if r.adjectives is not None else stored(tokens.where("tag = 'JJ'").select(F.col("lemma").alias("word")).distinct())
             tables.append(taaled.taaled_indices(taaled.classify(tokens, adjectives, real)))
         if "repetition_detector" in has:
             tables.append(repetition.repetition_counts(repetition.repetitions(tokens))[0])

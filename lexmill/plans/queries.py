@@ -93,10 +93,10 @@ def lv_frequency(spark, sf_dir):
 
 
 @query(f"""WITH {S.DOCS} SELECT doc_id,
-  round(CASE WHEN len(w) <= 25 THEN len(w) ELSE list_avg(list_transform(range(0, len(w) // 25), lambda i: len(list_distinct(w[i * 25 + 1:i * 25 + 25])) / 25.0)) END, 6) AS "LV_MSTTR",
-  round(CASE WHEN len(w) <= 25 THEN len(w) ELSE list_avg(list_transform(range(1, len(w) - 23), lambda i: len(list_distinct(w[i:i + 24])) / 25.0)) END, 6) AS "LV_MATTR" FROM docs""")
+  round(CASE WHEN len(w) <= 25 THEN len(w) ELSE list_avg(list_transform(range(0, len(w) // 25), lambda i: len(list_distinct(w[i * 25 + 1:i * 25 + 25])) / 25.0)) END, 9) AS "LV_MSTTR",
+  round(CASE WHEN len(w) <= 25 THEN len(w) ELSE list_avg(list_transform(range(1, len(w) - 23), lambda i: len(list_distinct(w[i:i + 24])) / 25.0)) END, 9) AS "LV_MATTR" FROM docs""")
 def lv_windows(spark, sf_dir):
-    return rounded(variation.lexical_variation(docs(spark, sf_dir)).select("doc_id", "LV_MSTTR", "LV_MATTR"), "LV_MSTTR", "LV_MATTR")
+    return rounded(variation.lexical_variation(docs(spark, sf_dir)).select("doc_id", "LV_MSTTR", "LV_MATTR"), "LV_MSTTR", "LV_MATTR", digits=9)
 
 
 @query()
@@ -400,9 +400,9 @@ def bin_occupancy(spark, sf_dir):
     return fb.occupancy(rounded(long(spark, sf_dir), "value"), _given(spark, sf_dir, True), ["level"])
 
 
-@query(f"""WITH {_SAMPLE}{_GIVEN} SELECT level, feature, round(mean, 4) AS mean, round(std, 4) AS std, round(mean - std, 4) AS low, round(mean + std, 4) AS high FROM given""")
+@query(f"""WITH {_SAMPLE} SELECT level, feature, round(mean, 4) AS mean, round(std, 4) AS std, round(mean - std, 4) AS low, round(mean + std, 4) AS high FROM known""")
 def threshold_table(spark, sf_dir):
-    return fb.threshold_table(_given(spark, sf_dir))
+    return fb.threshold_table(_known(spark, sf_dir))
 
 
 @query()
@@ -646,18 +646,23 @@ def score_bins(spark, sf_dir):
     return docs(spark, sf_dir).groupBy(curation.score_bin(F.col("n_chars") / 10.0).alias("bin")).agg(F.count("*").alias("n"))
 
 
-_NAME = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+def _squeezed(column: str) -> str:
+    return f"trim(regexp_replace({column}, {S.SPACES}, ' ', 'g'), ' ')"
 
 
-@query(f"""WITH s AS (SELECT {_NAME.format("split_part(vorname, ' ', 1) || ' ' || nachname")} AS name, level AS student_level FROM (SELECT DISTINCT student_id, vorname, nachname, level FROM students)),
-one AS (SELECT name, max(student_level) AS level FROM s GROUP BY name HAVING count(*) = 1), e AS (SELECT DISTINCT id, {_NAME.format('student')} AS name, trim(regexp_replace(session, '\\s+', ' ', 'g')) AS session FROM flip_final WHERE student IS NOT NULL),
+def _name(column: str) -> str:
+    return f"lower({_squeezed(column)})"
+
+
+@query(f"""WITH s AS (SELECT {_name("split_part(vorname, ' ', 1) || ' ' || nachname")} AS name, level AS student_level FROM (SELECT DISTINCT student_id, vorname, nachname, level FROM students)),
+one AS (SELECT name, max(student_level) AS level FROM s GROUP BY name HAVING count(*) = 1), e AS (SELECT DISTINCT id, {_name('student')} AS name, {_squeezed('session')} AS session FROM flip_final WHERE student IS NOT NULL),
 p AS (SELECT level, session, min(prompt_title) AS title FROM prompts GROUP BY ALL)
 SELECT e.id, one.level, e.session, p.title FROM e JOIN one USING (name) LEFT JOIN p ON p.level = one.level AND p.session = e.session""")
 def enriched_essays(spark, sf_dir):
     students = table(spark, sf_dir, "students").select("student_id", "vorname", "nachname", "level").distinct()
-    students = students.select(F.trim(F.regexp_replace(F.concat_ws(" ", F.substring_index("vorname", " ", 1), "nachname"), "\\s+", " ")).alias("name"), "level")
+    students = students.select(T.squeezed(F.concat_ws(" ", F.substring_index("vorname", " ", 1), "nachname")).alias("name"), "level")
     essays = table(spark, sf_dir, "flip_final").where("student IS NOT NULL").select(
-        "id", F.trim(F.regexp_replace("student", "\\s+", " ")).alias("name"), F.trim(F.regexp_replace("session", "\\s+", " ")).alias("session")
+        "id", T.squeezed(F.col("student")).alias("name"), T.squeezed(F.col("session")).alias("session")
     ).distinct()
     prompts = table(spark, sf_dir, "prompts").select("level", "session", F.col("prompt_title").alias("title"), F.col("prompt_description").alias("text"))
     return curation.enriched(essays, students, prompts).select("id", "level", "session", "title")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from lexmill.operators.annotate import annotate_sql
 
-_SPACES = "'[\\s\\x{00a0}\\x{2000}-\\x{200b}\\x{202f}\\x{3000}\\x{feff}]+'"
+SPACES = "'[\\s\\x{00a0}\\x{2000}-\\x{200b}\\x{202f}\\x{3000}\\x{feff}]+'"
 
 
 def level(column: str = "level") -> str:
-    part = lambda k: f"regexp_extract(upper(regexp_replace({column}, {_SPACES}, '', 'g')), '^(?:CEFR)?[-:]?([ABC][12])[.,]([12])$', {k})"
+    part = lambda k: f"regexp_extract(upper(regexp_replace({column}, {SPACES}, '', 'g')), '^(?:CEFR)?[-:]?([ABC][12])[.,]([12])$', {k})"
     return f"CASE WHEN {part(1)} <> '' THEN {part(1)} || '.' || {part(2)} END"
 
 
 def number(column: str) -> str:
-    plain = f"replace(regexp_replace({column}, {_SPACES}, '', 'g'), ',', '.')"
+    plain = f"replace(regexp_replace({column}, {SPACES}, '', 'g'), ',', '.')"
     return f"CASE WHEN regexp_matches({plain}, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$') THEN TRY_CAST({plain} AS DOUBLE) END"
 
 

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from lexmill.operators.feedback import feedback, long_features
 from lexmill.operators.variation import variation_basic
 
 
-def read_texts(spark: SparkSession, folder: str, schema: str, files: int | None = None) -> DataFrame:
-    """A folder of Parquet files as a stream; files bounds how many each batch takes."""
+def read_texts(spark: SparkSession, path: str, schema: StructType | str, files: int | None = None) -> DataFrame:
+    """Parquet files as a stream: a folder, or one file of a folder. files bounds how many each batch takes."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
 
 
 def stream_features(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
