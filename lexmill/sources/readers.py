@@ -60,13 +60,13 @@ def writings_by_level(spark: SparkSession, folder: str) -> DataFrame:
 
 def plain_essays(spark: SparkSession, folder: str) -> DataFrame:
     """(file, text): one essay a .txt file, paired tags and the literals URL and FORMULA removed."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return rows.select(F.input_file_name().alias("file"), plain_essay(F.col("value")).alias("text"))
 
 
 def html_essays(spark: SparkSession, folder: str) -> DataFrame:
     """(name, text): one essay an HTML file; the name is the file's up to the first underscore."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(folder)
+    rows = spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True)
     file = F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1))
     return rows.select(F.substring_index(file, "_", 1).alias("name"), unescape_html(html_text(F.col("value"))).alias("text"))
 
