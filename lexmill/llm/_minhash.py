@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: An odd multiplier; its powers and their inverses modulo 2^64 give hashes of byte ranges from one running sum.
 BASE = 0x9E3779B97F4A7C15
 
 
+def portions(texts: pa.Array, rows: int = 1000, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most `rows` texts and about `size` bytes, so that long texts don't swell what is held; one text is never cut."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= rows or held + n > size):
+            yield start, i
+            start, held = i, 0
+        held += int(n)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

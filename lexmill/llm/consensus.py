@@ -40,7 +40,7 @@ class Consensus:
         q = self.labels.groupBy("item").agg(F.first("weight").alias("weight"), F.array(*start).alias("q"))
         q = q.select("item", "weight", F.transform("q", lambda x: x / F.aggregate("q", F.lit(0.0), lambda a, b: a + b)).alias("q"))
         # Labels an item, so that the sums over labels give class shares in items.
-        self._each = self.labels.agg(F.count("*") / F.count_distinct("item")).first()[0] or 1.0
+        self._each = self.labels.agg(F.try_divide(F.count("*"), F.count_distinct("item"))).first()[0] or 1.0
         before = None
         for self.rounds in range(1, rounds + 1):
             self.counts = checkpoint(self._counts(q))

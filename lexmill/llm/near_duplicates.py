@@ -60,8 +60,9 @@ class NearDuplicates:
             np.seterr(over="ignore")
             for batch in batches:
                 fresh = [i for i, n in enumerate(batch.column(0).to_pylist()) if n not in seen and not seen.add(n)]
-                for at in range(0, len(fresh), 512):
-                    part = batch.take(pa.array(fresh[at : at + 512]))
+                batch = batch.take(pa.array(fresh, pa.int64()))
+                for low, high in M.portions(batch.column(1), 512, 1 << 20):
+                    part = batch.slice(low, high - low)
                     texts = part.column(1).cast(pa.large_string())
                     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                     data = np.frombuffer(texts.buffers()[2], np.uint8)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm._figures import NAMES, Figures
 from lexmill.llm._labelled import labelled
+from lexmill.llm._minhash import portions
 
 #: Figures that the rules may use: shares, none of which depends on the length of a text.
 RULE_FIGURES = (
@@ -33,8 +34,8 @@ def text_figures(texts: DataFrame, key: str = "id", text: str = "essay") -> Data
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         figures = Figures()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for low, high in portions(batch.column(1)):
+                part = batch.slice(low, high - low)
                 out = figures(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[k], pa.float64()) for k in NAMES)], names=["_key", *NAMES])
 

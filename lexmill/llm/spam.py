@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm._minhash import BASE, POWERS, U, mixed
+from lexmill.llm._minhash import BASE, POWERS, U, mixed, portions
 from lexmill.llm._words import ENGLISH, GERMAN
 from lexmill.session import stored
 
@@ -155,8 +155,8 @@ def page_evidence(pages: DataFrame, key: str = "doc_id", text: str = "text", hos
         np.seterr(over="ignore")
         function_words = word_hashes(ENGLISH + GERMAN)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for low, high in portions(batch.column(2)):
+                part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *phrase_rows(part.column(2), function_words)], names=names)
 
     rows = pages.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(
