@@ -57,9 +57,9 @@ def _in(words: str) -> str:
 
 def tag_sql(text: str, low: str, at: str) -> str:
     """CASE that gives a token's tag from its text, its lower case and its place in the sentence."""
-    lines = [f"WHEN substr({low}, 1, 1) BETWEEN '0' AND '9' THEN 'CD'", f"WHEN lower({text}) = upper({text}) THEN '.'"]
+    lines = [f"WHEN substr({low}, 1, 1) BETWEEN '0' AND '9' THEN 'CD'", f"WHEN {low} = upper({text}) THEN '.'"]
     lines += [f"WHEN {low} IN {_in(words)} THEN '{tag}'" for tag, words in CLOSED.items()]
-    lines.append(f"WHEN {at} > 0 AND substr({text}, 1, 1) <> lower(substr({text}, 1, 1)) THEN 'NNP'")
+    lines.append(f"WHEN {at} > 0 AND substr({text}, 1, 1) <> substr({low}, 1, 1) THEN 'NNP'")
     for tag, ends in ENDINGS:
         lines.append("WHEN " + " OR ".join(f"({low} LIKE '%{e}' AND length({low}) > {len(e) + 2})" for e in ends) + f" THEN '{tag}'")
     lines.append(f"WHEN {low} LIKE '%s' AND length({low}) > 3 AND NOT ({low} LIKE '%ss' OR {low} LIKE '%us' OR {low} LIKE '%is') THEN 'NNS'")
@@ -126,7 +126,8 @@ def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return rows.select("doc_id", "sent_id", F.explode(F.array(value)).alias("_t"))
 
     rows = step(rows, F.regexp_extract_all(F.col("_s"), F.lit(TOKEN), F.lit(0)))
-    rows = step(rows, F.expr(f"transform(_t, (x, i) -> named_struct('text', x, 'lower', lower(x), 'tag', {tag_sql('x', 'lower(x)', 'i')}))"))
+    rows = step(rows, F.expr("transform(_t, x -> named_struct('text', x, 'lower', lower(x)))"))
+    rows = step(rows, F.expr(f"transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', {tag_sql('x.text', 'x.lower', 'i')}))"))
     rows = step(rows, F.expr("transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', x.tag, 'before', get(_t, i - 1).tag))"))
     rows = step(rows, F.expr(f"transform(_t, x -> named_struct('text', x.text, 'lower', x.lower, 'tag', {retag_sql('x.tag', 'x.before')}))"))
     rows = step(rows, F.expr("transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', x.tag, 'before', get(_t, i - 1).tag, 'after', get(_t, i + 1).tag))"))

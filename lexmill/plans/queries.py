@@ -14,7 +14,7 @@ from lexmill.operators import sophistication, statistics as st, substitution, ta
 from lexmill.operators.annotate import annotate
 from lexmill.plans import sql as S
 from lexmill.plans.pipeline import Pipeline
-from lexmill.session import shared_folder, stored
+from lexmill.session import shared_folder, spread, stored
 from lexmill.sources import readers, sinks
 from lexmill.streaming import stream
 
@@ -49,7 +49,7 @@ def rounded(rows: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df itself, or, where it arrives in fewer partitions than there are cores (one small file), spread over all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one): survives the loss of executors."""
     shared_folder(df.sparkSession)
