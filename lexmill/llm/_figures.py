@@ -52,7 +52,8 @@ class Figures:
         out = {k: np.zeros(n) for k in NAMES}
         if not len(data):
             return out
-        p = passages(_plain(data), offsets)
+        data = _plain(data)
+        p = passages(data, offsets)
         token, at, start, end = p["token"], p["at"], p["start"], p["end"]
         if not len(token):
             return out

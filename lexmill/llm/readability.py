@@ -16,7 +16,7 @@ def english_prose(least: int = 40) -> Column:
 
 def _formulas(wps: Column) -> dict[str, Column]:
     """Grade estimates from words a sentence and the figures of a text; the constants are the published ones."""
-    words = F.col("words")
+    words = F.nullif(F.col("words"), F.lit(0.0))
     spw, cpw, hard, long_ = (F.col(c) / words for c in ("syllables", "letters", "many_syllables", "long_words"))
     return {
         "flesch_kincaid": 0.39 * wps + 11.8 * spw - 15.59,
@@ -39,7 +39,7 @@ def reading_levels(figures: DataFrame, level: str = "level") -> DataFrame:
     """
     ok = english_prose()
     seen = F.col("words") / F.greatest(F.col("sentences"), F.lit(1.0))
-    spw = F.col("syllables") / F.col("words")
+    spw = F.try_divide(F.col("syllables"), F.col("words"))
     line = figures.where(ok & seen.between(3, 40)).agg(F.regr_slope(seen, spw).alias("b"), F.regr_intercept(seen, spw).alias("a")).first()
     slope, start = (line["b"], line["a"]) if line["b"] is not None else (0.0, 12.0)
     usual = F.greatest(F.lit(start) + F.lit(slope) * spw, F.lit(3.0))
