@@ -43,14 +43,14 @@ class NearDuplicates:
     def __init__(self, records: DataFrame, key: str = "id", text: str = "text", words: int = 5, threshold: float = 0.8, least: int = 1) -> None:
         self.words, self.threshold = words, threshold
         rows = records.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).where("id IS NOT NULL AND _text IS NOT NULL")
+        # Conditions on the normal form come after a stored table or in Python: as filters they would have it made twice a row.
         norm = normal_words(F.col("_text"))
-        nodes = rows.select("id", norm.alias("_norm")).where((F.col("_norm") != "") & (F.length("_norm") - F.length(F.replace("_norm", F.lit(" "))) >= least - 1))
-        nodes = nodes.select("id", F.xxhash64("_norm").alias("node"), "_norm")
-        self.members = stored(nodes.select("id", "node").distinct())
-        pairs = self._candidates(nodes.select("node", "_norm"))
+        counted = rows.select("id", F.xxhash64(norm).alias("node"), F.when(norm != "", F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1).otherwise(0).alias("n"))
+        self.members = stored(counted.distinct()).where(F.col("n") >= max(1, least)).select("id", "node")
+        pairs = self._candidates(rows.select(F.xxhash64(norm).alias("node"), norm.alias("_norm")), max(1, least))
         self.links = self._verified(rows, pairs)
 
-    def _candidates(self, nodes: DataFrame) -> DataFrame:
+    def _candidates(self, nodes: DataFrame, least: int) -> DataFrame:
         """(a, b) of nodes, a < b, that share a band and agree in their sketches."""
         words, (bands, rows) = self.words, band_plan(self.threshold)
         lanes = max(64, bands * rows)
@@ -66,10 +66,9 @@ class NearDuplicates:
                     texts = part.column(1).cast(pa.large_string())
                     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                     data = np.frombuffer(texts.buffers()[2], np.uint8)
-                    hashes, of, _ = M.shingles(data, bounds, words)
-                    table = M.signatures(hashes, of, len(texts), lanes)
-                    has = np.flatnonzero(np.bincount(of, minlength=len(texts)))
-                    table = table[has]
+                    hashes, of, counts = M.shingles(data, bounds, words)
+                    has = np.flatnonzero((counts >= max(least, words)))
+                    table = M.signatures(hashes, of, len(texts), lanes)[has]
                     one, two = M.sketch(table)
                     keys = M.band_keys(table, bands, rows)
                     node = part.column(0).to_numpy()[has]
