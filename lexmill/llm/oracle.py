@@ -35,7 +35,31 @@ grams AS (
 sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
 common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM common JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c"""
+    space = "'[\\s\\x{00a0}\\x{2000}-\\x{200b}\\x{202f}\\x{3000}\\x{feff}]+'"
+
+    def folded(c: str) -> str:
+        low = f"replace(lower(trim(regexp_replace({c}, {space}, ' ', 'g'), ' ')), chr(776), '')"
+        return f"regexp_replace(replace(translate({low}, 'äöüéèáàóòúùíìâêîôû', 'aoueeaaoouuiiaeiou'), 'ß', 'ss'), '([aou])e', '\\1', 'g')"
+
+    groups = f"""
+WITH RECURSIVE work AS (SELECT DISTINCT id, student, TRY_CAST(regexp_extract(session, '([0-9]+)', 1) AS INTEGER) AS no FROM flip_final WHERE student IS NOT NULL),
+named AS (SELECT DISTINCT student, {folded('student')} AS key FROM work),
+people AS (SELECT min(student_id) OVER (PARTITION BY name) AS node, name, long FROM (
+  SELECT student_id, {folded("split_part(trim(vorname), ' ', 1) || ' ' || nachname")} AS name, {folded("vorname || ' ' || nachname")} AS long FROM students WHERE vorname IS NOT NULL AND nachname IS NOT NULL)),
+alias AS (SELECT alias, min(node) AS node FROM (SELECT name AS alias, node FROM people UNION SELECT long, node FROM people) GROUP BY alias),
+pieces AS (SELECT student, {folded("regexp_replace(piece, '^([^,]+),\\s*(.+)$', '\\2 \\1')")} AS alias FROM (
+  SELECT student, unnest(string_split_regex(trim(regexp_replace(student, {space}, ' ', 'g'), ' '), '(?i)\\s+(?:und|and|u\\.)\\s+|\\s*[&+/;]\\s*')) AS piece FROM named WHERE NOT regexp_matches(key, '[0-9]'))),
+found AS (SELECT DISTINCT student, node FROM pieces JOIN alias USING (alias)),
+edges AS (SELECT DISTINCT x.node AS a, y.node AS b FROM found x JOIN found y USING (student)),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+root AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+stu AS (SELECT student, 'stu-' || min(root) AS stu FROM found JOIN root USING (node) GROUP BY student),
+acc AS (SELECT {folded('account_name')} AS key, 'acc-' || min(account_id) AS acc FROM course_accounts GROUP BY 1)
+SELECT id, min(k) AS group_key FROM (
+  SELECT w.id, coalesce(acc, CASE WHEN no IS NOT NULL AND regexp_matches(n.key, '^(?:seat|platz)[^0-9]*0*([0-9]+)$') THEN 'seat-' || regexp_extract(n.key, '^(?:seat|platz)[^0-9]*0*([0-9]+)$', 1) || '-' || no END, stu) AS k
+  FROM work w JOIN named n USING (student) LEFT JOIN acc USING (key) LEFT JOIN stu USING (student)) WHERE k IS NOT NULL GROUP BY id"""
     return {
+        "p6_found": groups,
         "p1_found": shingles,
         "p5_report": REPORT,
         "p5_found": f"SELECT level, vocab_band FROM ({REPORT}) WHERE exhausted",

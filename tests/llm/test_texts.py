@@ -45,7 +45,7 @@ def test_figures_of_words():
 
 
 LEVELS = {
-    "A1": "I have a dog. He is big. We run in the park. ", "A2": "Last summer my family went to the village and found some pictures of the river. ",
+    "A1": "I have a dog. He is big. We run in the park. ", "A2": "Last summer we went to the village and they found some pictures of the old river. ",
     "B1": "After the lesson the teacher decided that we should organise another meeting about our holiday plans. ",
     "B2": "Although responsible companies encourage education, many citizens are worried that pollution could increase in developing regions. ",
     "C1": "Notwithstanding the considerable resistance of institutions, it is often the administrators who systematically misrepresent the indispensable foundations of accountability. ",
