@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.llm.packing import ranked
 from lexmill.session import stored
 
 
@@ -26,7 +27,7 @@ class Mix:
             F.sum("target_permille").alias("target_permille"), F.max("max_repeats").alias("max_repeats")
         )
         self.items = items.select("doc_id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
-        histogram = stored(self.items.groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
+        self.histogram = histogram = stored(self.items.groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
         self.size = size if size is not None else histogram.agg(F.sum(F.expr("n * n_tokens"))).first()[0] or 0
         have = histogram.groupBy("source").agg(F.sum(F.expr("n * n_tokens")).alias("have"), F.max("n_tokens").alias("longest"))
         rows = goals.join(have, "source", "left").fillna({"have": 0, "longest": 1}).collect()  # one row a source of the targets
@@ -69,7 +70,12 @@ class Mix:
         return tilt
 
     def copies(self, seed: int = 7) -> DataFrame:
-        """(doc_id, source, n_tokens, copies): rates rounded at random to whole copies, at most max_repeats; zero copies are left out."""
+        """(doc_id, source, n_tokens, copies): rates rounded to whole copies, at most max_repeats; zero copies are left out.
+
+        Rounding is systematic: along a source's documents in order of size the copies follow the running sum of the rates,
+        from a random start, so that the tokens of the mix stay within about one document of the target. Documents of one
+        source and size share a rate, and so only need their rank among their equals.
+        """
         rows = [(s, self.tilt[s], int(g["max_repeats"])) for s, g in self.goals.items()]
         known = self.items.sparkSession.createDataFrame(rows, "source string, _l double, _cap long")
         rate = (
@@ -77,9 +83,14 @@ class Mix:
             .when(F.col("_l") == float("-inf"), 0.0)
             .otherwise(F.exp(F.least(F.col("_l") * F.col("n_tokens"), F.log(F.greatest(F.col("_cap"), F.lit(1))))))
         )
-        dice = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / float(1 << 53)
-        out = self.items.join(F.broadcast(known), "source").withColumn("_r", rate)
-        out = out.withColumn("copies", F.least((F.floor("_r") + F.when(dice < F.col("_r") - F.floor("_r"), 1).otherwise(0)), F.col("_cap")).cast("long"))
+        sizes = self.histogram.join(F.broadcast(known), "source").withColumn("_r", rate)  # known: one row a source of the targets
+        upto = F.sum(F.col("n") * F.col("_r")).over(Window.partitionBy("source").orderBy("n_tokens"))
+        start = F.shiftrightunsigned(F.xxhash64(F.col("source"), F.lit(seed)), 11) / float(1 << 53)
+        sizes = sizes.select("source", "n_tokens", "_r", "_cap", (upto - F.col("n") * F.col("_r") + start).alias("_at"))
+        out = ranked(self.items, ["source", "n_tokens"], ["doc_id"]).join(sizes, ["source", "n_tokens"])
+        steps = F.floor(F.col("_at") + (F.col("_rank") + 1) * F.col("_r")) - F.floor(F.col("_at") + F.col("_rank") * F.col("_r"))
+        whole = F.col("_r") == F.floor("_r")  # exact, whatever the running sum's last digits
+        out = out.withColumn("copies", F.when(whole, F.floor("_r")).otherwise(F.least(steps, F.col("_cap"))).cast("long"))
         return out.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
     def report(self) -> DataFrame:

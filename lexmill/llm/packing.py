@@ -97,14 +97,14 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
             out.append(first[n][k] + (r - starts[n][k]) // share[n][k])
         return pd.Series(out, dtype="int64")
 
-    return _ranked(rest).select("doc_id", "piece", F.col("_len").cast("long").alias("n_tokens"), container("_len", "_rank").alias("container"))
+    return ranked(rest, ["_len"], ["doc_id", "piece"]).select("doc_id", "piece", F.col("_len").cast("long").alias("n_tokens"), container("_len", "_rank").alias("container"))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """_rank of each row within its _len, from 0; summed over slices, so that one length may hold most rows."""
-    rows = rows.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
-    each = rows.groupBy("_len", "_slice").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("_len").orderBy("_slice")
-    before = each.select("_len", "_slice", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("_len", "_slice").orderBy("doc_id", "piece")
-    return rows.join(before, ["_len", "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
+def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """_rank of each row within `by`, from 0; summed over slices of a hash, so that one group may hold most rows."""
+    rows = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
+    each = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_slice")
+    before = each.select(*by, "_slice", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(*order)
+    return rows.join(before, [*by, "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
