@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from lexmill.llm._words import AFTER_DETERMINER, DETERMINERS, ENGLISH, FRENCH, GERMAN, ITALIAN, NOT_AFTER_PREPOSITION, PREPOSITIONS, PRONOMINAL, SPANISH, VERBAL
-from lexmill.llm.spam import passages, word_hashes
+from lexmill.llm.spam import passages, word_bytes, word_hashes
 
 #: Words on either side of a word that tell whether it stands in a running sentence.
 REACH = 6
@@ -15,7 +15,7 @@ REACH = 6
 ORDER_REACH = 20
 
 NAMES = (
-    "words", "word_length", "function_share", "verbal_share", "near_share", "sentence_share", "clause_share", "sound_share", "broken_share", "symbol_share", "digit_share",
+    "words", "runs", "word_length", "function_share", "verbal_share", "near_share", "sentence_share", "clause_share", "sound_share", "broken_share", "symbol_share", "digit_share",
     "lines", "words_per_line", "ended_lines", "bullet_lines", "vowelless_share", "long_share", "distinct_share", "english_share", "german_share",
     "sentences", "letters", "syllables", "many_syllables", "long_words",
 )
@@ -78,6 +78,11 @@ class Figures:
         syllables = self._syllables(data, start, end)
         clean = has_vowel & ~has_digit
         out["words"] = words
+        plain = word_bytes(data) & (data != 95) & (data != 39)  # runs of letters or digits alone
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        begins = plain.copy()
+        begins[1:] &= ~plain[:-1] | edge[1:-1]
         out["word_length"] = share(length.astype(float))
         out["function_share"], out["verbal_share"] = share(function), share(verbal)
         out["near_share"] = share(f[close_a] > f[close_b])
@@ -106,6 +111,7 @@ class Figures:
         solid = ~np.isin(data, [9, 10, 11, 12, 13, 32])
         size = np.bincount(of, weights=solid, minlength=n)
         symbol = solid & (data < 0x80) & ~((data >= 48) & (data < 58)) & ~((data >= 97) & (data < 123)) & ~np.isin(data, [*b".,!?'\""])
+        out["runs"] = np.bincount(of, weights=begins, minlength=n)
         part = lambda mask: np.divide(np.bincount(of, weights=mask, minlength=n), size, out=np.zeros(n), where=size > 0)
         out["symbol_share"] = part(symbol)
         out["digit_share"] = part((data >= 48) & (data < 58))

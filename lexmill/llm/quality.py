@@ -127,6 +127,6 @@ def prose_rules(size: int = LABELLED) -> RuleList:
 
 
 def quality(texts: DataFrame, key: str = "id", text: str = "essay", least: int = 8) -> DataFrame:
-    """text_figures with `kind`: 'prose', 'junk' or, under `least` words, 'short'. The learned thresholds run as SQL."""
-    kind: Column = F.when(F.col("words") < least, F.lit("short")).otherwise(F.expr(prose_rules().sql()))
+    """text_figures with `kind`: 'prose', 'junk' or, under `least` runs of letters or digits, 'short'. The learned thresholds run as SQL."""
+    kind: Column = F.when(F.col("runs") < least, F.lit("short")).otherwise(F.expr(prose_rules().sql()))
     return text_figures(texts, key, text).withColumn("kind", kind)

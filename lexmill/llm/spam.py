@@ -16,6 +16,8 @@ from lexmill.session import stored
 
 #: A page stuffs a phrase that it holds at least so often and that makes at least so much of its words.
 STUFFED_TIMES, STUFFED_SHARE = 4, 0.06
+#: Its surroundings change: a sentence said over and over keeps its phrases between the same words.
+SURROUNDINGS = 3
 #: A search phrase is stuffed by at least so many hosts, and by at least half of those that repeat it.
 HOSTS = 3
 #: A passage with fewer function words than this share is an entry of a list, not a sentence.
@@ -56,6 +58,13 @@ def word_hashes(words: list[str]) -> np.ndarray:
         return np.unique(hash_ranges(np.frombuffer(b"".join(encoded), np.uint8), ends - [len(x) for x in encoded], ends))
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a word: ASCII letters, digits, _ and ', and all letters beyond ASCII."""
+    odd = (data == 0xC2) | (data == 0xE2)  # signs and spaces beyond ASCII; letters have other lead bytes
+    odd |= _shift(odd, -1) | _shift(data == 0xE2, -2)
+    return _WORD[data] & ~odd
+
+
 def passages(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Words and passages (sentences, lines) of lower-cased texts that lie end to end in data.
 
@@ -63,9 +72,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     link label, a price or an article number.
     """
     n, texts = len(data), len(offsets) - 1
-    odd = (data == 0xC2) | (data == 0xE2)  # signs and spaces beyond ASCII; letters have other lead bytes
-    odd |= _shift(odd, -1) | _shift(data == 0xE2, -2)
-    word = _WORD[data] & ~odd
+    word = word_bytes(data)
     inner = np.zeros(n + 1, bool)
     inner[offsets] = True  # texts do not run together
     starts = np.flatnonzero(word & (~_shift(word, -1) | inner[:n]))
@@ -106,7 +113,7 @@ def phrase_rows(texts: pa.Array, function_words: np.ndarray) -> list[pa.Array]:
     data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
     offsets = bounds - bounds[0]
     count = len(low)
-    empty = [pa.array(np.zeros(count, np.int32))] * 2 + [pa.array([[]] * count, t) for t in (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+    empty = [pa.array(np.zeros(count, np.int32))] * 2 + [pa.array([[]] * count, t) for t in (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))]
     if not len(data):
         return empty
     p = passages(data, offsets)
@@ -122,8 +129,15 @@ def phrase_rows(texts: pa.Array, function_words: np.ndarray) -> list[pa.Array]:
     pair = np.flatnonzero((seg[1:] == seg[:-1]) & ~function[1:] & ~function[:-1])
     bound = np.flatnonzero((seg[2:] == seg[:-2]) & ~function[2:] & function[1:-1] & ~function[:-2])
     phrase = np.concatenate([mixed(token[pair] * U(BASE) + token[pair + 1]), mixed((token[bound] * U(BASE) + token[bound + 1]) * U(BASE) + token[bound + 2])])
+    last = np.concatenate([pair + 1, bound + 2])
     pair = np.concatenate([pair, bound])
     where, place = at[pair], seg[pair]
+    before, after = np.maximum(pair - 1, 0), np.minimum(last + 1, len(token) - 1)
+    around = np.where((before < pair) & (at[before] == where), token[before], U(0)) * U(BASE) + np.where((after > last) & (at[after] == where), token[after], U(0))
+    order = np.lexsort((around, phrase, where))
+    key = np.stack([where[order].astype(U), phrase[order], around[order]])
+    group = np.cumsum(np.append(np.ones(min(1, len(order)), bool), (key[:2, 1:] != key[:2, :-1]).any(axis=0))) - 1
+    varied = np.bincount(group[np.append(np.ones(min(1, len(order)), bool), (key[:, 1:] != key[:, :-1]).any(axis=0))])
     order = np.lexsort((place, phrase, where))
     phrase, where, place = phrase[order], where[order], place[order]
     new = np.ones(len(phrase), bool)
@@ -139,13 +153,13 @@ def phrase_rows(texts: pa.Array, function_words: np.ndarray) -> list[pa.Array]:
     lists = lambda of, *values: [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=count))]).astype(np.int32)), pa.array(v)) for v in values]
     return [
         pa.array(words.astype(np.int32)), pa.array(entries.astype(np.int32)),
-        *lists(where[first], phrase[first].view(np.int64), times[often].astype(np.int32)),
+        *lists(where[first], phrase[first].view(np.int64), times[often].astype(np.int32), varied[often].astype(np.int32)),
         *lists(where[fresh], phrase[fresh].view(np.int64), place[fresh].astype(np.int32), size[place[fresh]].astype(np.int32)),
     ]
 
 
 def page_evidence(pages: DataFrame, key: str = "doc_id", text: str = "text", host: str = "author_key") -> DataFrame:
-    """(doc_id, host, words, entries, phrases, counts, at_phrase, at_seg, at_words) of each page, whole texts, in one pass.
+    """(doc_id, host, words, entries, phrases, counts, varied, at_phrase, at_seg, at_words) of each page, whole texts, in one pass.
 
     Phrase shingles are two content words of one passage, side by side or around one function word ("notebook and pen");
     those a page holds twice or more are kept.
@@ -162,7 +176,7 @@ def page_evidence(pages: DataFrame, key: str = "doc_id", text: str = "text", hos
     rows = pages.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(host).cast("string"), F.concat(F.lit("page "), F.col(key).cast("string")))).alias("host"), F.col(text)
     )
-    schema = "doc_id long, host long, words int, entries int, phrases array<long>, counts array<int>, at_phrase array<long>, at_seg array<int>, at_words array<int>"
+    schema = "doc_id long, host long, words int, entries int, phrases array<long>, counts array<int>, varied array<int>, at_phrase array<long>, at_seg array<int>, at_words array<int>"
     names = [x.split()[0] for x in schema.split(", ")]
     return rows.mapInArrow(look, schema)
 
@@ -176,8 +190,8 @@ def spam_pages(pages: DataFrame, key: str = "doc_id", text: str = "text", host:
     word. Null texts give no row; texts without words give zeros; a repeated id gives the row of its wordiest text.
     """
     evidence = stored(page_evidence(pages, key, text, host))
-    repeated = evidence.select("host", "words", F.explode(F.arrays_zip("phrases", "counts")).alias("x"))
-    stuffed = (F.col("x.counts") >= STUFFED_TIMES) & (2 * F.col("x.counts") >= STUFFED_SHARE * F.col("words"))
+    repeated = evidence.select("host", "words", F.explode(F.arrays_zip("phrases", "counts", "varied")).alias("x"))
+    stuffed = (F.col("x.counts") >= STUFFED_TIMES) & (F.col("x.varied") >= SURROUNDINGS) & (2 * F.col("x.counts") >= STUFFED_SHARE * F.col("words"))
     by_host = repeated.select("host", F.col("x.phrases").alias("phrase"), stuffed.cast("int").alias("stuffed")).groupBy("phrase", "host").agg(F.max("stuffed").alias("stuffed"))
     search = by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("stuffed").alias("stuffing")).where(
         (F.col("stuffing") >= HOSTS) & (2 * F.col("stuffing") >= F.col("hosts"))

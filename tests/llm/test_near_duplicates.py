@@ -51,6 +51,14 @@ def test_groups_and_hot_copies(spark):
     assert near.links.count() == 0
 
 
+def test_very_long_texts(spark):
+    dice = random.Random(9)
+    w = [str(dice.randrange(10**6)) for _ in range(60_000)]
+    v = w[:30_000] + ["changed"] + w[30_001:]
+    near = NearDuplicates(spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v)), (3, " ".join(reversed(w)))], "id long, text string"))
+    assert [(r.id_a, r.id_b) for r in near.pairs().collect()] == [(1, 2)]
+
+
 def test_empty_table(spark):
     near = NearDuplicates(spark.createDataFrame([], "id long, text string"))
     assert near.pairs().count() == 0 and near.groups().count() == 0

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ def test_quality_kinds(spark):
 
 def test_figures_of_words():
     f = Figures()(pa.array(["The banana, made twice.\nNot  49!", None, "  "]))
-    assert f["words"].tolist() == [6, 0, 0] and f["lines"][0] == 2 and f["ended_lines"][0] == 1.0
+    assert Figures()(pa.array(["don't a_b c", "d"]))["runs"].tolist() == [5, 1]
+    assert f["words"].tolist() == [6, 0, 0] and f["runs"].tolist() == [6, 0, 0] and f["lines"][0] == 2 and f["ended_lines"][0] == 1.0
     assert f["syllables"][0] == 1 + 3 + 1 + 1 + 1 + 1 and set(RULE_FIGURES) <= set(f)
 
 
@@ -64,10 +67,12 @@ def test_levels_do_not_rise_with_missing_punctuation(spark):
 
 def test_spam_pages(spark):
     phrases = ["cheap shoes", "leather boots", "red sneakers"]
-    rows = [(i, f"host{i}", " ".join(phrases[(i + k) % 3] for k in range(60))) for i in range(5)]
+    dice = random.Random(1)
+    rows = [(i, f"host{i}", " ".join(dice.choice(phrases) for k in range(60))) for i in range(5)]
     rows += [(20, "h", "\n".join(f"Where can I find {phrases[k % 3]} for me?" for k in range(30))), (21, "h", "\n".join(f'<a href="http://a{k}.test/x">All about the {k} things you need</a>' for k in range(20)))]
+    rows += [(36, "y", "word list " * 100_000), (37, "z", PROSE * 20_000)]
     rows += [(30, None, PROSE * 5), (31, None, PROSE * 5 + "\nhttp://one.test/a\nhttp://two.test/b\nTags: big, house"), (32, None, "I have a dog. I have a cat. I have a bird. " * 10), (33, None, None), (34, None, " "), (35, "x", "Red Boots - RB-1234 - 12,50 EUR - sale\n" * 9)]
     table = spark.createDataFrame([(i, h, t, 1) for i, h, t in rows], "doc_id long, author_key string, text string, words int")
     got = {r.doc_id: r.is_spam for r in spam_pages(table).collect()}
-    assert got == {**dict.fromkeys(range(5), True), 20: True, 21: True, 30: False, 31: False, 32: False, 34: False, 35: True}
+    assert got == {**dict.fromkeys(range(5), True), 20: True, 21: True, 30: False, 31: False, 32: False, 34: False, 35: True, 36: True, 37: False}
     assert spam_pages(table.limit(0)).count() == 0
