@@ -237,7 +237,11 @@ def spelling_corrections(spark, sf_dir):
     return _best(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH all_ AS (SELECT x AS word, count(*) AS freq FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM documents) GROUP BY x),
+p AS (SELECT a.word, b.word AS best, b.freq FROM all_ a JOIN all_ b ON a.freq < 20 AND b.freq >= 20 AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1),
+best AS (SELECT word, best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY freq DESC, best) AS rn FROM p) WHERE rn = 1),
+w AS (SELECT doc_id, i, w[i] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))
+SELECT doc_id, string_agg(coalesce(best, w), ' ' ORDER BY i) || ' ' AS text FROM w LEFT JOIN best ON word = w GROUP BY doc_id""")
 def corrected_texts(spark, sf_dir):
     return accuracy.correct_spelling(docs(spark, sf_dir), _best(spark, sf_dir))
 
@@ -405,9 +409,10 @@ def threshold_table(spark, sf_dir):
     return fb.threshold_table(_known(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_SAMPLE}, l AS (SELECT feature, level || ' ' || printf('%.4f', mean) || ' ' || printf('%.4f', std) || ' ' || printf('%.4f', mean - std) || ' ' || printf('%.4f', mean + std) AS line FROM known WHERE std IS NOT NULL)
+SELECT feature, string_agg(line, chr(10) ORDER BY line) AS summary FROM l GROUP BY feature""")
 def threshold_summary(spark, sf_dir):
-    return sinks.threshold_summary(_given(spark, sf_dir))
+    return sinks.threshold_summary(_known(spark, sf_dir).where("std IS NOT NULL"))
 
 
 @query(f"""WITH {_SAMPLE}{_GIVEN}, f AS (SELECT level, feature, CASE WHEN round(value, 6) <= mean - std THEN 'positive' WHEN round(value, 6) >= mean + std THEN 'negative' ELSE 'none' END AS feedback FROM long JOIN given USING (level, feature))
@@ -725,7 +730,9 @@ def clauses(spark, sf_dir):
     return mutation.clauses(docs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_SPLIT}, x AS (SELECT doc_id, s, i, string_split_regex(s[i], ' +') AS w FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM parts)),
+c AS (SELECT doc_id, s, i, w, unnest(CASE WHEN len(w) >= 6 THEN range(0, len(w) // 6) ELSE [-1] END) AS k FROM x)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS sent_id, CAST(k AS INTEGER) AS clause_id, CASE WHEN k >= 0 THEN md5(array_to_string(list_concat(s[1:i - 1], [array_to_string(w[k * 6 + 1:k * 6 + 6], ' ') || CASE WHEN k < len(w) // 6 - 1 THEN '.' ELSE '' END], s[i + 1:len(s)]), '')) END AS hash FROM c""")
 def clause_mutations(spark, sf_dir):
     return mutation.clause_mutations(docs(spark, sf_dir)).select("doc_id", "sent_id", "clause_id", F.md5("text").alias("hash"))
 
@@ -929,7 +936,8 @@ def xml_roundtrip(spark, sf_dir):
     return readers.writings(spark, f"{where}/level_all.xml").drop("file")
 
 
-@query()
+@query(f"""SELECT replace(essay, chr(10), ' ') AS text, TRY_CAST(vocab_grade_avg AS DOUBLE) AS grade, level FROM flip_final
+WHERE essay <> '' AND regexp_matches(vocab_grade_avg, '^[0-9]+(\\.[0-9]+)?') AND TRY_CAST(vocab_grade_avg AS DOUBLE) IS NOT NULL AND level IN {curation.LEVELS}""")
 def csv_roundtrip(spark, sf_dir):
     where = _folder(spark)
     sinks.write_csv(table(spark, sf_dir, "flip_final").select(F.col("essay").alias("Essay"), F.col("vocab_grade_avg").alias("Vocab_Grade_AVG"), F.col("level").alias("Level")), where)
@@ -946,7 +954,7 @@ def threshold_files(spark, sf_dir):
     return readers.threshold_json(spark, f"{where}/t.json").crossJoin(F.broadcast(back))  # one row
 
 
-@query()
+@query(f"WITH {S.DOCS} SELECT CAST(len(w) AS VARCHAR) AS n_words, CAST(count(*) AS VARCHAR) AS n FROM docs GROUP BY len(w)")
 def frequency_file(spark, sf_dir):
     where = _folder(spark)
     sinks.write_frequencies(token_histogram(spark, sf_dir), where, "n_words")

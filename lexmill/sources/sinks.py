@@ -35,7 +35,8 @@ def write_frequencies(table: DataFrame, path: str, key: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    options = {"header": True, "quote": '"', "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(**options).csv(path)
 
 
 def threshold_summary(thresholds: DataFrame) -> DataFrame:
