@@ -58,7 +58,19 @@ acc AS (SELECT {folded('account_name')} AS key, 'acc-' || min(account_id) AS acc
 SELECT id, min(k) AS group_key FROM (
   SELECT w.id, coalesce(acc, CASE WHEN no IS NOT NULL AND regexp_matches(n.key, '^(?:seat|platz)[^0-9]*0*([0-9]+)$') THEN 'seat-' || regexp_extract(n.key, '^(?:seat|platz)[^0-9]*0*([0-9]+)$', 1) || '-' || no END, stu) AS k
   FROM work w JOIN named n USING (student) LEFT JOIN acc USING (key) LEFT JOIN stu USING (student)) WHERE k IS NOT NULL GROUP BY id"""
+    number = lambda c: f"TRY_CAST(replace(regexp_replace({c}, {space}, '', 'g'), ',', '.') AS DOUBLE)"
+    name = lambda c: f"regexp_replace({folded(c)}, '\\s*(\\(.*\\)|[.,;])$', '')"
+    agreement = f"""
+WITH long AS (SELECT DISTINCT id, k, r, l FROM (
+  SELECT id, 1 AS k, {name('graded_by_1st')} AS r, {number('vocab_grade_1st')} AS l FROM flip_final UNION ALL SELECT id, 2, {name('graded_by_2nd')}, {number('vocab_grade_2nd')} FROM flip_final)
+  WHERE l BETWEEN 0 AND 4 AND l = floor(l) AND r IN (SELECT {folded('grader_name')} FROM graders)),
+pairable AS (SELECT id, l, count(*) OVER (PARTITION BY id) AS m FROM long), used AS (SELECT id, l FROM pairable WHERE m = 2),
+pairs AS (SELECT min(l) AS a, max(l) AS b FROM used GROUP BY id), v AS (SELECT l, CAST(count(*) AS DOUBLE) AS c FROM used GROUP BY l),
+e AS (SELECT sum(CASE WHEN x.l <> y.l THEN x.c * y.c ELSE 0 END) AS nom, sum(x.c * y.c * pow(x.l - y.l, 2)) AS itv FROM v x, v y)
+SELECT count(*) AS items, 2 * count(*) AS pairable, round(1 - (2 * count(*) - 1) * sum(CASE WHEN a <> b THEN 2 ELSE 0 END) / any_value(nom), 6) AS alpha_nominal,
+  round(1 - (2 * count(*) - 1) * sum(2 * pow(a - b, 2)) / any_value(itv), 6) AS alpha_interval FROM pairs, e"""
     return {
+        "p4_agreement": agreement,
         "p6_found": groups,
         "p1_found": shingles,
         "p5_report": REPORT,

@@ -82,7 +82,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         grade = typed_number(F.col(f"vocab_grade_{n}"))
         ends += [name.alias(f"r{n}"), F.when((grade >= 0) & (grade <= 4) & (grade == F.floor(grade)), grade.cast("int")).alias(f"l{n}")]
     rows = wide.where("id IS NOT NULL").select("id", *ends).dropDuplicates(["id"])
-    pattern = F.xxhash64("r1st", "l1st", "r2nd", "l2nd")
+    # A hash passes over nulls, so that they need a stand-in to tell the first grading from the second.
+    pattern = F.xxhash64(*(F.coalesce(F.col(f"{c}{n}").cast("string"), F.lit("?")) for n in ("1st", "2nd") for c in "rl"))
     rows = rows.withColumn("item", pattern)
     counted = rows.groupBy("item", "r1st", "l1st", "r2nd", "l2nd").agg(F.count("*").alias("weight"))
     long = counted.select(
