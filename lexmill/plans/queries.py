@@ -801,16 +801,28 @@ SELECT b.pair, round(coalesce((d + sum) / (n + 1), -1), 6) AS "add", round(coale
   round(coalesce(exp((ln((d + 1) / 2) + logs) / (n + 1)), -1), 6) AS mult, round(coalesce(exp((n * ln((d + 1) / 2) + logs) / (2 * n)), -1), 6) AS bal_mult FROM b LEFT JOIN g USING (pair)"""
 
 
-@query(_SUBS)
-def substitution_scores(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
+def _substitution_scores(v: DataFrame, scored: DataFrame) -> DataFrame:
+    """Scores of a pair for each of the vectors `scored`, looked up among all vectors v."""
     keyed = v.select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vec"))
     i = F.col("vec_id")
-    pairs = v.where("label = 1").select(i.alias("pair"), i.cast("string").alias("synonym"), (i + 1).cast("string").alias("target"), F.array(*((i + k).cast("string") for k in (2, 3, 5, 900_000_000))).alias("contexts"))
+    pairs = scored.select(i.alias("pair"), i.cast("string").alias("synonym"), (i + 1).cast("string").alias("target"), F.array(*((i + k).cast("string") for k in (2, 3, 5, 900_000_000))).alias("contexts"))
     out = substitution.substitutability(pairs, keyed, keyed)
     return rounded(out, "add", "bal_add", "mult", "bal_mult")
 
 
+@query(_SUBS)
+def substitution_scores(spark, sf_dir):
+    """The pairs of the vectors that its SQL names, those of label 1; substitution_scores_all has a pair for every vector."""
+    v = _vectors(spark, sf_dir)
+    return _substitution_scores(v, v.where("label = 1"))
+
+
+@query()
+def substitution_scores_all(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _substitution_scores(v, v)
+
+
 @query(f"""WITH {S.TOKENS}, up AS (SELECT t.doc_id, t.sent_id, t.pos, lower(t.dep) || 'I_' || h.lower AS context FROM tokens t JOIN tokens h ON h.doc_id = t.doc_id AND h.sent_id = t.sent_id AND h.pos = t.head_pos WHERE t.head_pos <> t.pos),
 down AS (SELECT t.doc_id, t.sent_id, t.pos, lower(t.dep) || '_' || c.lower AS context FROM tokens t JOIN tokens c ON c.doc_id = t.doc_id AND c.sent_id = t.sent_id AND c.head_pos = t.pos AND c.pos <> t.pos)
 SELECT * FROM up UNION ALL SELECT * FROM down""")
