@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.python_text import expand_contractions
+from lexmill.functions.text import words as words_of
+from lexmill.session import stored
+
 
 def spelling_errors(tokens: DataFrame, *dictionaries: DataFrame) -> DataFrame:
     """Tokens of ASCII letters that are no entity and stand in none of the dictionaries (word, lower case)."""
@@ -47,3 +51,27 @@ def correct_spelling(texts: DataFrame, best: DataFrame, key: str = "doc_id", tex
     words = texts.select(F.col(key), F.posexplode(F.split(text, " ")).alias("_at", "_w")).join(best.select(F.col("word").alias("_w"), "best"), "_w", "left")
     rows = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("best", "_w").alias("_w")))).alias("_all"))
     return rows.select(key, F.concat(F.array_join(F.transform("_all", lambda x: x["_w"]), " "), F.lit(" ")).alias("text"))
+
+
+def preprocessed(texts: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """texts to (key, text) as collocations are looked for in: contractions expanded, then misspelt words replaced.
+
+    A word is a run of letters, whatever stands around it; one that is not in the dictionary (word, lower case) becomes its
+    correction, with a capital where it had one. Candidates are weighed by their occurrences in the texts. Words without a
+    correction stay, and so does all that parts words. A repeated key gives its texts again; null texts stay null.
+    """
+    rows = stored(texts.select(F.col(key), expand_contractions(F.col(text)).alias("text")))
+    each = rows.select(key, F.explode(words_of(F.col("text"))).alias("word"))
+    counts = stored(each.groupBy("word").agg(F.count("*").alias("freq")))
+    known = dictionary.select("word").distinct()
+    best = stored(corrections(counts.join(known, "word", "left_anti"), known.join(counts, "word", "left").select("word", F.coalesce("freq", F.lit(0)).alias("freq"))))
+    swaps = each.join(best, "word").distinct().groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("word", "best"))).alias("_swaps"))
+    low, first = lambda x: F.lower(x), lambda x: F.substring(x, 1, 1)
+
+    def swapped(x: F.Column) -> F.Column:
+        new = F.element_at("_swaps", low(x))
+        return F.coalesce(F.when(first(x) == low(first(x)), new).otherwise(F.concat(F.upper(first(new)), F.substring(new, F.lit(2), F.length(new)))), x)
+
+    runs = F.regexp_extract_all("text", F.lit("\\p{L}+|\\P{L}+"), F.lit(0))
+    changed = F.when(F.col("_swaps").isNull(), F.col("text")).otherwise(F.array_join(F.transform(runs, swapped), ""))
+    return rows.join(swaps, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, changed.alias("text"))

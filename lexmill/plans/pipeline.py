@@ -69,7 +69,11 @@ class Pipeline:
         return [*self.components, *self.custom]
 
     def transform(self, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc_id, features in the order of the vector, then all others)."""
+        """(doc_id, features in the order of the vector, then all others).
+
+        Collocations are looked for in the preprocessed texts, annotated again; all else is counted on the texts as they are.
+        The component coreference has no work of its own: the annotator marks pronouns.
+        """
         texts = texts.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         tokens = self.annotator(texts)
         r = self.resources
@@ -84,10 +88,12 @@ class Pipeline:
             ranked = r.ranked or dict.fromkeys(("CA", "CT", "CG"), stored(lexicon.ranked_list(tokens)))
             lists = r.word_lists or {k: lexicon.word_list(ranked["CG"], i * 500, i * 500 + 500) for i, k in enumerate(("NG", "NA", "TC", "BS"))}
             tables.append(sophistication.lexical_sophistication(tokens, lists, ranked))
-        if has & {"collocation_detector", "spell_checker"}:
+        if "spell_checker" in has:
             words = r.dictionary if r.dictionary is not None else stored(lexicon.dictionary(texts))
+        if "collocation_preprocessor" in has:
+            clean = self.annotator(accuracy.preprocessed(texts, words))
         if "collocation_detector" in has:
-            found = stored(collocations.collocations(tokens))
+            found = stored(collocations.collocations(clean))
             edges = r.edges if r.edges is not None else stored(collocations.edge_table(found))
             measured = collocations.with_metric(found, edges)
         if "lexical_accuracy" in has:

@@ -266,6 +266,12 @@ def _found(spark, sf_dir):
     return stored(collocations.collocations(tokens(spark, sf_dir)))
 
 
+def _preprocessed(spark, sf_dir):
+    """Collocations of the preprocessed texts, as the pipeline looks for them; _found is held to its SQL, which takes the raw tokens."""
+    texts = docs(spark, sf_dir)
+    return stored(collocations.collocations(annotate(accuracy.preprocessed(texts, stored(lexicon.dictionary(texts))))))
+
+
 @query(f"WITH {_FOUND} SELECT * FROM deps")
 def dependencies(spark, sf_dir):
     return collocations.dependencies(tokens(spark, sf_dir))
@@ -276,6 +282,11 @@ def collocation_match(spark, sf_dir):
     return collocations.collocations(tokens(spark, sf_dir))
 
 
+@query()
+def collocation_match_preprocessed(spark, sf_dir):
+    return _preprocessed(spark, sf_dir)
+
+
 @query(f"WITH {_EDGES} SELECT lempos1, lempos2, type, round(metric, 6) AS metric, raw_freq FROM edges")
 def collocation_edges(spark, sf_dir):
     return rounded(collocations.edge_table(_found(spark, sf_dir)), "metric")
@@ -292,7 +303,15 @@ def collocation_metric(spark, sf_dir):
 g AS (SELECT doc_id, count(*) AS n, count(metric) AS k, count(*) FILTER (metric < 1.064) AS "CA_BIN1", count(*) FILTER (metric >= 1.064 AND metric < 1.64) AS "CA_BIN2", count(*) FILTER (metric >= 1.64) AS "CA_BIN3" FROM m GROUP BY doc_id)
 SELECT doc_id, round((n - k) / n, 6) AS "LA_COL_ERR_R", "CA_BIN1", "CA_BIN2", "CA_BIN3", {", ".join(f'round(coalesce("CA_BIN{i}" / nullif(k, 0), 0), 6) AS "CA_BIN{i}_R"' for i in (1, 2, 3))} FROM g""")
 def collocation_indices(spark, sf_dir):
-    found = _found(spark, sf_dir)
+    return _indices(_found(spark, sf_dir))
+
+
+@query()
+def collocation_indices_preprocessed(spark, sf_dir):
+    return _indices(_preprocessed(spark, sf_dir))
+
+
+def _indices(found: DataFrame) -> DataFrame:
     out = collocations.collocation_indices(collocations.with_metric(found, collocations.edge_table(found)))
     return rounded(out, "LA_COL_ERR_R", "CA_BIN1_R", "CA_BIN2_R", "CA_BIN3_R")
 
@@ -315,26 +334,26 @@ _SCORES = f"""{_EDGES}, d AS (SELECT DISTINCT doc_id, lempos1, lempos2, type FRO
   pow(o11 - e11, 2) / e11 + pow(o12 - e12, 2) / e12 + pow(o21 - e21, 2) / e21 + pow(o22 - e22, 2) / e22 AS chi2 FROM e)"""
 
 
-def _scores(spark, sf_dir):
-    found = _found(spark, sf_dir)
+def _scores(found: DataFrame) -> DataFrame:
     return association.scored(found, stored(collocations.edge_table(found)))
 
 
 @query(f"WITH {_SCORES} SELECT doc_id, lempos1, lempos2, type, round(o11, 3) AS o11, round(mi, 3) AS mi, round(mi3, 3) AS mi3 FROM scores")
 def association_scores(spark, sf_dir):
-    return rounded(_scores(spark, sf_dir), "o11", "mi", "mi3", digits=3).select("doc_id", "lempos1", "lempos2", "type", "o11", "mi", "mi3")
+    return rounded(_scores(_found(spark, sf_dir)), "o11", "mi", "mi3", digits=3).select("doc_id", "lempos1", "lempos2", "type", "o11", "mi", "mi3")
 
 
 @query(f"""WITH {_SCORES}, k AS (SELECT * FROM scores WHERE o11 > 0.5) SELECT doc_id, {", ".join(f"round({f}({m}), 3) AS {m}_{n}" for m in association.MEASURES for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))} FROM k GROUP BY doc_id""")
 def association_indices(spark, sf_dir):
     """Over the pairs that have an edge; for others t and chi2 run to numbers of thirty digits, where rounding differs."""
-    out = association.association_indices(_scores(spark, sf_dir).where("o11 > 0.5"))
+    out = association.association_indices(_scores(_found(spark, sf_dir)).where("o11 > 0.5"))
     return rounded(out, *out.columns[1:], digits=3)
 
 
 @query()
 def association_all(spark, sf_dir):
-    return association.association_indices(_scores(spark, sf_dir))
+    """Of all pairs, in the preprocessed texts."""
+    return association.association_indices(_scores(_preprocessed(spark, sf_dir)))
 
 
 # Repetition ----------------------------------------------------------------------------------------------------------
@@ -754,7 +773,7 @@ def ranked_sentences(spark, sf_dir):
 
 def _synonyms(spark, sf_dir):
     """Stand-in synonyms: lemmas that share a partner and a type in the edge table, scored by how many they share."""
-    e = collocations.edge_table(_found(spark, sf_dir), least=5).select("lempos1", "lempos2", "type")
+    e = collocations.edge_table(_preprocessed(spark, sf_dir), least=5).select("lempos1", "lempos2", "type")
     pairs = e.join(e.withColumnRenamed("lempos1", "other"), ["lempos2", "type"]).where("lempos1 <> other").groupBy("lempos1", "other").agg(F.count("*").alias("n"))
     return pairs.select(F.substring_index("lempos1", "_", 1).alias("lemma"), F.substring_index("other", "_", 1).alias("synonym"), F.col("n").cast("double").alias("score"))
 

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from lexmill.operators import accuracy
 from lexmill.plans import queries as q
+from lexmill.plans.pipeline import Pipeline, Resources
 
 
 def test_every_vector_gives_a_pair(spark, tmp_path):
@@ -25,3 +27,25 @@ def test_every_vector_gives_a_pair(spark, tmp_path):
         assert got[i].bal_add == pytest.approx((n * d + sum(near)) / (2 * n), abs=1e-5)
         assert got[i].mult == pytest.approx(np.exp((np.log((d + 1) / 2) + logs) / (n + 1)), abs=1e-5)
         assert got[i].bal_mult == pytest.approx(np.exp((n * np.log((d + 1) / 2) + logs) / (2 * n)), abs=1e-5)
+
+
+def test_collocations_are_looked_for_in_preprocessed_texts(spark):
+    known = "they like big dogs the could eat not but do".split()
+    edges = [("big_ADJ", "dog_NOUN", "ADJ+NOUN", 1.1, 5), ("like_VERB", "they_NOUN", "NOUN+VERB", 2.0, 5)]
+    r = Resources(
+        dictionary=spark.createDataFrame([(w,) for w in known], "word string"),
+        edges=spark.createDataFrame(edges, "lempos1 string, lempos2 string, type string, metric double, raw_freq long"),
+    )
+    rows = spark.createDataFrame([(1, "Big dogs."), (2, "They like \"biig dogs\"."), (3, "Biig dogs."), (4, None), (5, "")], "doc_id long, text string")
+    got = {x.doc_id: x for x in Pipeline(r).collocational_aspects().lexical_accuracy().transform(rows).collect()}
+    assert (got[1].CA_BIN2, got[1].LA_COL_ERR_R, got[1].LA_E) == (1, 0.0, 0)
+    assert [(got[i].CA_BIN2, got[i].LA_COL_ERR_R) for i in (2, 3)] == [(1, 0.0)] * 2 and got[3].LA_E == 1  # errors are counted in the text as it is
+    assert len(got) == 5
+
+
+def test_preprocessing_reaches_words_beside_punctuation(spark):
+    known = spark.createDataFrame([(w,) for w in ("house", "is", "not", "red", "the")], "word string")
+    rows = spark.createDataFrame([(1, "The hoose, isn't red. Huose!"), (1, "hoose"), (None, "(hoose)"), (2, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in accuracy.preprocessed(rows, known).collect()}
+    assert {(1, "house"), (None, "(house)"), (2, None)} < got
+    assert any(t and t.startswith("The house, is not red. ") for _, t in got)
