@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lexmill.functions.text import sentences
+from lexmill.session import stored
 
 #: Tokens of a clause. Fixed value.
 CLAUSE = 6
+#: Parts of speech whose repetitions are replaced, and synonyms of a lemma that a document gets at first.
+CONTENT, FIRST = ("NOUN", "VERB", "ADJ", "ADV"), 20
 
 
 def leave_one_out(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,37 +69,54 @@ def rank_sentences(texts: DataFrame, score: Callable[[DataFrame], DataFrame], ke
     return out if worst is None else out.where(F.col("rank") <= worst)
 
 
-def revise(tokens: DataFrame, synonyms: DataFrame) -> DataFrame:
+def revise(tokens: DataFrame, synonyms: DataFrame, first: int = FIRST) -> DataFrame:
     """(doc_id, text): all but the last occurrence of each repeated content lemma replaced by synonyms not used in the text so far.
 
-    synonyms(lemma, synonym, score). A document's choices depend on one another, so each is revised as a whole in Python;
-    its synonyms arrive with its tokens, so that nothing but the document is held.
+    synonyms(lemma, synonym, score), best first, ties by synonym. A document's choices depend on one another, so each is
+    revised as a whole in Python; its synonyms arrive beside its tokens, so that nothing but the document is held. A
+    document gets the `first` synonyms of each lemma that it repeats; where they run out it is revised again with more of
+    those, until none is short that has more. So the result is that of all synonyms, and `first` is only a measure of effort.
     """
     best = synonyms.groupBy("lemma").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("synonym")))).alias("_y"))
-    rows = tokens.join(best.select("lemma", F.transform("_y", lambda x: x["synonym"]).alias("_y")), "lemma", "left")
-    word = F.struct("sent_id", "pos", "text", "lemma", "upos", "in_coref", "is_punct", F.coalesce("_y", F.array().cast("array<string>")).alias("_y"))
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
-
-    @F.pandas_udf("string")
-    def rewrite(words: pd.Series) -> pd.Series:
-        out = []
-        for doc in words:
-            used = {w["text"].lower() for w in doc}
-            left: dict[str, int] = {}
-            for w in doc:
-                if w["upos"] in ("NOUN", "VERB", "ADJ", "ADV") and not w["in_coref"]:
-                    left[w["lemma"]] = left.get(w["lemma"], 0) + 1
-            text = ""
-            for w in doc:
-                new = w["text"]
-                if w["upos"] in ("NOUN", "VERB", "ADJ", "ADV") and not w["in_coref"] and left[w["lemma"]] > 1:
-                    pick = next((y for y in w["_y"] if y.lower() not in used), None)
-                    if pick is not None:
-                        used.add(pick.lower())
-                        new = pick
-                        left[w["lemma"]] -= 1
-                text += new if not text or w["is_punct"] else " " + new
-            out.append(text)
-        return pd.Series(out)
-
-    return docs.select("doc_id", rewrite("w").alias("text"))
+    best = stored(best.select("lemma", F.array_distinct(F.transform("_y", lambda x: x["synonym"])).alias("_y")))
+    tokens = stored(tokens.select("doc_id", "sent_id", "pos", "text", "lemma", "is_punct", (F.col("upos").isin(*CONTENT) & ~F.col("in_coref")).alias("open")))
+    docs = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "pos", "text", "lemma", "open", "is_punct"))).alias("w"))
+    need = tokens.where("open").groupBy("doc_id", "lemma").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "lemma", F.lit(first).alias("k"))
+    done = []
+    while True:
+        need = stored(need)
+        given = need.join(best, "lemma").select("doc_id", F.struct("lemma", F.slice("_y", F.lit(1), F.col("k")).alias("y"), (F.size("_y") > F.col("k")).alias("more")).alias("s"))
+        given = given.groupBy("doc_id").agg(F.collect_list("s").alias("s"))
+        at = docs.join(given, "doc_id", "left") if not done else docs.join(given, "doc_id")
+        made = stored(at.select("doc_id", _rewrite("w", "s").alias("r")).select("doc_id", "r.*"))
+        done.append(made.where(F.size("short") == 0).select("doc_id", "text"))
+        short = made.where(F.size("short") > 0).select("doc_id", "short")
+        if short.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        need = need.join(short, "doc_id").select("doc_id", "lemma", F.when(F.array_contains("short", F.col("lemma")), F.col("k") * 8).otherwise(F.col("k")).cast("int").alias("k"))
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("short", ArrayType(StringType()))]))
+def _rewrite(words: pd.Series, synonyms: pd.Series) -> pd.DataFrame:
+    """The revised text, and the lemmas whose synonyms ran out though there are more."""
+    out = []
+    for doc, given in zip(words, synonyms):
+        used = {w["text"].lower() for w in doc}
+        more = {} if given is None else {g["lemma"]: g["more"] for g in given}
+        offers = {} if given is None else {g["lemma"]: iter(g["y"]) for g in given}
+        left = Counter(w["lemma"] for w in doc if w["open"])
+        short, text = set(), ""
+        for w in doc:
+            new = w["text"]
+            if w["open"] and left[w["lemma"]] > 1:
+                # What is passed over is used in this text, now and later on, so the offers are gone through once.
+                pick = next((y for y in offers.get(w["lemma"], ()) if y.lower() not in used), None)
+                if pick is not None:
+                    used.add(pick.lower())
+                    new = pick
+                    left[w["lemma"]] -= 1
+                elif more.get(w["lemma"]):
+                    short.add(w["lemma"])
+            text += new if not text or w["is_punct"] else " " + new
+        out.append((text, sorted(short)))
+    return pd.DataFrame(out, columns=["text", "short"])

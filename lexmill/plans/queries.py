@@ -773,15 +773,14 @@ def ranked_sentences(spark, sf_dir):
 
 def _synonyms(spark, sf_dir):
     """Stand-in synonyms: lemmas that share a partner and a type in the edge table, scored by how many they share."""
-    e = collocations.edge_table(_preprocessed(spark, sf_dir), least=5).select("lempos1", "lempos2", "type")
+    e = collocations.edge_table(_preprocessed(spark, sf_dir)).select("lempos1", "lempos2", "type")
     pairs = e.join(e.withColumnRenamed("lempos1", "other"), ["lempos2", "type"]).where("lempos1 <> other").groupBy("lempos1", "other").agg(F.count("*").alias("n"))
     return pairs.select(F.substring_index("lempos1", "_", 1).alias("lemma"), F.substring_index("other", "_", 1).alias("synonym"), F.col("n").cast("double").alias("score"))
 
 
 @query()
 def revised_texts(spark, sf_dir):
-    top = _synonyms(spark, sf_dir)
-    return mutation.revise(tokens(spark, sf_dir), curation.first_per_group(top.withColumn("_o", -F.col("score")), "lemma", "_o", 20).drop("_o"))
+    return mutation.revise(tokens(spark, sf_dir), _synonyms(spark, sf_dir))
 
 
 # Substitution ------------------------------------------------------------------------------------------------------------------

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from lexmill.operators import accuracy
+from lexmill.operators import accuracy, mutation
+from lexmill.operators.annotate import annotate
 from lexmill.plans import queries as q
 from lexmill.plans.pipeline import Pipeline, Resources
 
@@ -49,3 +50,22 @@ def test_preprocessing_reaches_words_beside_punctuation(spark):
     got = {(r.doc_id, r.text) for r in accuracy.preprocessed(rows, known).collect()}
     assert {(1, "house"), (None, "(house)"), (2, None)} < got
     assert any(t and t.startswith("The house, is not red. ") for _, t in got)
+
+
+def test_revision_takes_synonyms_beyond_the_first_twenty(spark):
+    rows = spark.createDataFrame([(1, "dog " * 31), (2, "The dog saw a dog."), (3, "cat " * 4)], "doc_id long, text string")
+    syn = [("dog", f"hound{chr(97 + i // 6)}{chr(97 + i % 6)}", 1.0) for i in range(36)] + [("cat", "dog", 2.0), ("cat", "hound", 1.0)]
+    synonyms = spark.createDataFrame(syn[::-1], "lemma string, synonym string, score double")
+    got = {r.doc_id: r.text.split() for r in mutation.revise(annotate(rows), synonyms).collect()}
+    assert got[1] == [s for _, s, _ in syn[:30]] + ["dog"]  # ties by synonym
+    assert got[2] == ["The", "houndaa", "saw", "a", "dog."] and got[3] == ["dog", "hound", "cat", "cat"]
+    assert {r.doc_id: r.text.split() for r in mutation.revise(annotate(rows), synonyms, first=1).collect()} == got
+
+
+def test_synonyms_and_revision_are_not_capped(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(q, "_preprocessed", lambda *a: spark.createDataFrame([(f"{w}_NOUN", "see_VERB", "VERB+NOUN") for w in [f"w{i}" for i in range(30)] for _ in range(2)], "lempos1 string, lempos2 string, type string"))
+    monkeypatch.setattr(q, "tokens", lambda *a: None)
+    monkeypatch.setattr(mutation, "revise", lambda t, s: seen.update(n=s.where("lemma = 'w0'").count()))
+    q.revised_texts(spark, "")
+    assert seen["n"] == 29
