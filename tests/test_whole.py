@@ -69,3 +69,9 @@ def test_synonyms_and_revision_are_not_capped(spark, monkeypatch):
     monkeypatch.setattr(mutation, "revise", lambda t, s: seen.update(n=s.where("lemma = 'w0'").count()))
     q.revised_texts(spark, "")
     assert seen["n"] == 29
+
+
+def test_short_texts_are_outliers(spark, tmp_path):
+    texts = {1: "a b c d", 2: " ".join(f"{chr(97 + i)}x" for i in range(10)), 3: "the cat " * 15, 4: " ".join(f"w{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(60)), 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in q.queries()["outliers"](spark, str(tmp_path)).collect()) == [1, 2, 3, 5]
