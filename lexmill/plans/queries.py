@@ -896,7 +896,7 @@ def elastic_net(spark, sf_dir):
 
 @query()
 def linear_classifier(spark, sf_dir):
-    return _predicted(spark, sf_dir, models.linear_classifier(list(S.FEATURES), "y", rounds=5))
+    return _predicted(spark, sf_dir, models.linear_classifier(list(S.FEATURES), "y"))
 
 
 @query()
@@ -906,8 +906,13 @@ def perceptron(spark, sf_dir):
 
 @query()
 def cross_validation(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    return models.cross_validated(rows, lambda: models.linear(["LV_W", "LV_WT"], "grade"), "grade", "id", folds=5)
+    """Correlations of ten folds, over all features."""
+    return models.cross_validated(_training(spark, sf_dir), lambda: models.linear(list(S.FEATURES), "grade"), "grade", "id")
+
+
+@query()
+def validation_summary(spark, sf_dir):
+    return models.validation_summary(stored(cross_validation(spark, sf_dir)))
 
 
 @query()

@@ -5,7 +5,7 @@ import pytest
 
 from lexmill.operators import accuracy, mutation
 from lexmill.operators.annotate import annotate
-from lexmill.plans import queries as q
+from lexmill.plans import queries as q, sql as S
 from lexmill.plans.pipeline import Pipeline, Resources
 
 
@@ -75,3 +75,18 @@ def test_short_texts_are_outliers(spark, tmp_path):
     texts = {1: "a b c d", 2: " ".join(f"{chr(97 + i)}x" for i in range(10)), 3: "the cat " * 15, 4: " ".join(f"w{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(60)), 5: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r.doc_id for r in q.queries()["outliers"](spark, str(tmp_path)).collect()) == [1, 2, 3, 5]
+
+
+def test_models_run_with_their_defaults(spark, monkeypatch):
+    rows = [(i, "A1", float(i % 5), *(float((i * (k + 3)) % 17 + (i % 5) * (k + 1)) for k in range(len(S.FEATURES)))) for i in range(200)]
+    made = spark.createDataFrame(rows, "id long, level string, grade double, " + ", ".join(f"{f} double" for f in S.FEATURES))
+    monkeypatch.setattr(q, "features", lambda *a: made)
+    folds = q.queries()["cross_validation"](spark, "").collect()
+    assert sorted(r.fold for r in folds) == list(range(10))
+    got = q.queries()["validation_summary"](spark, "").first()
+    r = np.array([f.r for f in folds])
+    assert got["mean"] == pytest.approx(r.mean()) and got.twice_std == pytest.approx(2 * r.std())
+    seen = {}
+    monkeypatch.setattr(q, "_predicted", lambda spark, sf, make: seen.update(rounds=make.getStages()[-1].getClassifier().getMaxIter()))
+    q.linear_classifier(spark, "")
+    assert seen["rounds"] == 20
