@@ -27,10 +27,10 @@ def usable_cells(records: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 class Reservoirs:
-    """Mergeable bottom-k reservoirs of each cell, made in one pass over rows(id, *cell).
+    """Unbounded reservoirs of each cell over rows(id, *cell): all rows are kept, as quotas follow from their number.
 
-    Each row has a fixed random priority from its id. A cell's reservoir of any size k is its k smallest priorities; two
-    reservoirs merge by keeping the smallest of both. Stored are the rows with their slice of the priority range and the
+    Each row has a fixed random priority from its id. A cell's sample of any size k is its k smallest priorities.
+    Stored are the rows with their slice of the priority range and the
     slices' counts; so any quota is met afterwards by dropping whole slices and ranking one slice, never a whole cell.
     """
 
