@@ -27,23 +27,39 @@ def lexical_accuracy(tokens: DataFrame, *dictionaries: DataFrame) -> DataFrame:
     )
 
 
-def _deletions(word: str) -> F.Column:
-    """The word and all it becomes by losing one letter."""
-    w = F.col(word)
-    less = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    return F.array_distinct(F.concat(F.array(w), less))
+def _deletions(word: str, letters: int = 1) -> F.Column:
+    """The word and all it becomes by losing up to so many letters."""
+    out = F.array(F.col(word))
+    for _ in range(letters):
+        less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, less))))
+    return out
+
+
+def _swaps(word: str) -> str:
+    """The word with each two neighbouring letters swapped, as SQL."""
+    return f"transform(sequence(1, greatest(length({word}) - 1, 1)), i -> concat(substr({word}, 1, i - 1), substr({word}, i + 1, 1), substr({word}, i, 1), substr({word}, i + 2)))"
 
 
-def corrections(wrong: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(word) and dictionary(word, freq) to (word, best): the entry at edit distance one with the highest frequency, ties by word.
+def corrections(wrong: DataFrame, dictionary: DataFrame, edits: int = 2) -> DataFrame:
+    """(word) and dictionary(word, freq) to (word, best): the nearest entry within `edits`, of those the most frequent, ties by word.
 
-    Words at distance one share the word or one of its deletions, so the search is an equi-join over deletions. Words
-    without such an entry give no row.
+    An edit is a letter more, less or another, or two neighbours swapped; with edits = 1 the swap is left out (Levenshtein
+    distance one). Words within so many edits share the word or one of its deletions, so the search is an equi-join over
+    deletions. Words without such an entry give no row; those longer than any entry and its edits are not looked up.
     """
-    left = wrong.select("word").distinct().select("word", F.explode(_deletions("word")).alias("_key"))
-    right = dictionary.select(F.col("word").alias("best"), "freq").select("best", "freq", F.explode(_deletions("best")).alias("_key"))
-    near = left.join(right, "_key").where((F.col("word") != F.col("best")) & (F.levenshtein("word", "best") == 1))
-    return near.groupBy("word").agg(F.min_by("best", F.struct(-F.col("freq"), F.col("best"))).alias("best"))
+    longest = dictionary.agg(F.max(F.length("word")).alias("_most"))
+    left = wrong.select("word").distinct().crossJoin(F.broadcast(longest)).where(F.length("word") <= F.col("_most") + edits)  # one row
+    left = left.select("word", F.explode(_deletions("word", edits)).alias("_key"))
+    right = dictionary.select(F.col("word").alias("best"), "freq").select("best", "freq", F.explode(_deletions("best", edits)).alias("_key"))
+    near = left.join(right, "_key").where(F.col("word") != F.col("best"))
+    if edits > 1:
+        near = near.select("word", "best", "freq").distinct()
+        near = near.withColumn("_d", F.expr(f"""CASE WHEN levenshtein(word, best) = 1 OR array_contains({_swaps("word")}, best) THEN 1 WHEN levenshtein(word, best) = 2
+          OR exists({_swaps("word")}, x -> levenshtein(x, best) = 1) OR arrays_overlap({_swaps("word")}, {_swaps("best")}) THEN 2 END""")).where("_d IS NOT NULL")
+    else:
+        near = near.where(F.levenshtein("word", "best") == 1).withColumn("_d", F.lit(1))
+    return near.groupBy("word").agg(F.min_by("best", F.struct("_d", -F.col("freq"), F.col("best"))).alias("best"))
 
 
 def correct_spelling(texts: DataFrame, best: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

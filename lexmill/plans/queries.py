@@ -224,10 +224,11 @@ def lexical_accuracy(spark, sf_dir):
     return rounded(accuracy.lexical_accuracy(tokens(spark, sf_dir), _dictionary(spark, sf_dir)), "LA_ER")
 
 
-def _best(spark, sf_dir):
+def _best(spark, sf_dir, edits=1):
+    """The SQL goes by Levenshtein distance one; the queries of two edits have none."""
     found = docs(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     found = stored(found)
-    return accuracy.corrections(found.where("freq < 20"), found.where("freq >= 20"))
+    return accuracy.corrections(found.where("freq < 20"), found.where("freq >= 20"), edits)
 
 
 @query(f"""WITH all_ AS (SELECT x AS word, count(*) AS freq FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM documents) GROUP BY x),
@@ -246,6 +247,16 @@ def corrected_texts(spark, sf_dir):
     return accuracy.correct_spelling(docs(spark, sf_dir), _best(spark, sf_dir))
 
 
+@query()
+def spelling_corrections_all(spark, sf_dir):
+    return _best(spark, sf_dir, 2)
+
+
+@query()
+def corrected_texts_all(spark, sf_dir):
+    return accuracy.correct_spelling(docs(spark, sf_dir), _best(spark, sf_dir, 2))
+
+
 # Collocations --------------------------------------------------------------------------------------------------------
 
 _RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(str(tuple(x if x is not None else "" for x in r)) for r in collocations.pattern_rules()) + ") AS v(ord, type, head_tag, dep, tag, head_class, class))"

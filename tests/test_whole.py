@@ -90,3 +90,10 @@ def test_models_run_with_their_defaults(spark, monkeypatch):
     monkeypatch.setattr(q, "_predicted", lambda spark, sf, make: seen.update(rounds=make.getStages()[-1].getClassifier().getMaxIter()))
     q.linear_classifier(spark, "")
     assert seen["rounds"] == 20
+
+
+def test_swapped_letters_and_two_errors_are_corrected(spark):
+    known = spark.createDataFrame([("because", 5), ("became", 90), ("house", 3), ("is", 9)], "word string, freq long")
+    wrong = ["becuase", "becuasse", "ebcuase", "hxuxe", "hxxxe", "bcause", "a", "x" * 500]
+    got = {r.word: r.best for r in accuracy.corrections(spark.createDataFrame([(w,) for w in wrong], "word string"), known).collect()}
+    assert got == {"becuase": "because", "becuasse": "because", "ebcuase": "because", "hxuxe": "house", "bcause": "because", "a": "is"}
