@@ -25,16 +25,30 @@ SELECT q.level, q.vocab_band, coalesce(c.n, 0) AS have, q.quota, least(coalesce(
 FROM quota q LEFT JOIN cells c USING (level, vocab_band)"""
 
 
-def oracle_sql() -> dict[str, str]:
-    shingles = """
-WITH rows AS (SELECT DISTINCT id, regexp_extract_all(lower(essay), '[\\p{L}\\p{N}_'']+') AS w FROM flip_final WHERE essay IS NOT NULL),
+#: found: pairs of essays of 20 words or more that share half of their runs of three words; links: the same between the smallest ids of different texts.
+NEAR = """
+WITH RECURSIVE rows AS (SELECT DISTINCT id, regexp_extract_all(lower(essay), '[\\p{L}\\p{N}_'']+') AS w FROM flip_final WHERE essay IS NOT NULL),
 grams AS (
   SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM rows WHERE len(w) >= 20)
 ),
 sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
-common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM common JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c"""
+common AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+found AS (
+  SELECT id_a, id_b, c / (x.n + y.n - c) AS similarity FROM common JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c
+),
+least AS (SELECT id, min(id) OVER (PARTITION BY md5(array_to_string(w, ' '))) AS representative FROM rows WHERE len(w) >= 20),
+links AS (
+  SELECT id_a, id_b, similarity FROM found JOIN least x ON x.id = id_a AND x.representative = id_a JOIN least y ON y.id = id_b AND y.representative = id_b
+)"""
+
+GROUPS = f"""{NEAR}, ends AS (SELECT id_a AS a, id_b AS b FROM found UNION ALL SELECT id_b, id_a FROM found),
+reach(a, b) AS (SELECT DISTINCT a, a FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),
+degree AS (SELECT r, count(*) AS links FROM (SELECT id_a AS r FROM links UNION ALL SELECT id_b FROM links) GROUP BY r)
+SELECT id, min(b) AS group_id, any_value(coalesce(links, 0)) AS links FROM reach JOIN least ON id = a LEFT JOIN degree ON r = representative GROUP BY id"""
+
+
+def oracle_sql() -> dict[str, str]:
     space = "'[\\s\\x{00a0}\\x{2000}-\\x{200b}\\x{202f}\\x{3000}\\x{feff}]+'"
 
     def folded(c: str) -> str:
@@ -70,9 +84,13 @@ e AS (SELECT sum(CASE WHEN x.l <> y.l THEN x.c * y.c ELSE 0 END) AS nom, sum(x.c
 SELECT count(*) AS items, 2 * count(*) AS pairable, round(1 - (2 * count(*) - 1) * sum(CASE WHEN a <> b THEN 2 ELSE 0 END) / any_value(nom), 6) AS alpha_nominal,
   round(1 - (2 * count(*) - 1) * sum(2 * pow(a - b, 2)) / any_value(itv), 6) AS alpha_interval FROM pairs, e"""
     return {
+        "p1_groups": GROUPS,
+        "p1_links": f"{NEAR} SELECT id_a, id_b, round(similarity, 6) AS similarity FROM links",
+        "p1_members": f"""{NEAR} SELECT * FROM least
+WHERE representative IN (SELECT representative FROM least GROUP BY 1 HAVING count(*) > 1 UNION SELECT id_a FROM links UNION SELECT id_b FROM links)""",
         "p4_agreement": agreement,
         "p6_found": groups,
-        "p1_found": shingles,
+        "p1_found": f"{NEAR} SELECT id_a, id_b FROM found",
         "p5_report": REPORT,
         "p5_found": f"SELECT level, vocab_band FROM ({REPORT}) WHERE exhausted",
     }

@@ -36,6 +36,16 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups()
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the smallest ids of different texts: what p1_found holds, copies aside."""
+    return _near(spark, sf_dir).representatives()[0].select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the smallest id of their text, of texts that have a copy or a link."""
+    return _near(spark, sf_dir).representatives()[1]
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Essays of which less than half is running prose, by the learned rules."""
     return quality(table(spark, sf_dir, "flip_final")).where("kind = 'junk'").select("id").distinct()

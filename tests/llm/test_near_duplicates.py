@@ -106,3 +106,37 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges + [(None, 3)], "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_are_never_broadcast(spark, monkeypatch):
+    """With default settings, whatever the optimizer believes of the size of the signed texts."""
+    from lexmill.llm import near_duplicates as N
+
+    plans, kept = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    rows = made(3, 20)
+    N.NearDuplicates(spark.createDataFrame(rows, "id long, text string"), words=3, threshold=0.5)
+    banded = [p for p in plans if "_last" in p]
+    assert len(banded) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in banded)
+
+
+@pytest.mark.parametrize("block", (1, 3, 2000))
+def test_hot_bands_are_divided_without_a_lost_pair(spark, monkeypatch, block):
+    """One third of the texts are edits of one text, so that their bands are far larger than a block."""
+    from lexmill.llm import near_duplicates as N
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    dice = random.Random(4)
+    base = [str(dice.randrange(999)) for _ in range(60)]
+    rows = [(i, " ".join(w if k != i % 50 + 3 else "edit" for k, w in enumerate(base)) + f" end{i}") for i in range(20)]
+    rows += [(1000 + i, " ".join(str(dice.randrange(999)) for _ in range(40))) for i in range(40)]
+    got = {(r.id_a, r.id_b) for r in N.NearDuplicates(spark.createDataFrame(rows, "id long, text string"), words=3, threshold=0.5).pairs().collect()}
+    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20)}
+
+
+def test_representatives(spark):
+    text = "a text of some words that is handed in by many people of one class again and again until the very end of the year"
+    rows = [(i, text) for i in range(5)] + [(9, text + " today"), (20, "nobody else has written this other text about a very small bird")]
+    links, members = NearDuplicates(spark.createDataFrame(rows, "id long, text string")).representatives()
+    assert [(r.id_a, r.id_b) for r in links.collect()] == [(0, 9)]
+    assert {(r.id, r.representative) for r in members.collect()} == {*((i, 0) for i in range(5)), (9, 9)}
