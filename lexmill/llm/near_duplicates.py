@@ -86,8 +86,8 @@ class NearDuplicates:
     def _candidates(self, nodes: DataFrame) -> DataFrame:
         """nodes(node, s1, s2, keys) to (a, b) of nodes, a < b, that share a band and agree in their sketches."""
         by_band = nodes.select("node", F.explode("keys").alias("key"))
-        sizes = by_band.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("_low"), F.max("node").alias("_high"))
-        sizes = sizes.where("_low < _high").select("key", F.expr(f"cast((_n - 1) div {BLOCK} as int)").alias("_last"))
+        # A text that several tasks have signed counts once for each; the distinct rows below make it one again.
+        sizes = by_band.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.expr(f"cast((_n - 1) div {BLOCK} as int)").alias("_last"))
         shared = by_band.hint("merge").join(sizes.hint("merge"), "key").distinct()
         # Sketches come back by node, once the bands that only one text has are gone.
         sketches = nodes.select("node", "s1", "s2").dropDuplicates(["node"])
