@@ -24,6 +24,11 @@ quota AS (
 SELECT q.level, q.vocab_band, coalesce(c.n, 0) AS have, q.quota, least(coalesce(c.n, 0), q.quota) AS taken, coalesce(c.n, 0) < q.quota AS exhausted
 FROM quota q LEFT JOIN cells c USING (level, vocab_band)"""
 
+SAMPLE = REPORT[: REPORT.rindex("SELECT q.level")] + """
+SELECT id, level, vocab_band FROM (
+  SELECT u.*, quota, row_number() OVER (PARTITION BY level, vocab_band ORDER BY left(md5('1:' || id), 15), id) AS place FROM usable u JOIN quota USING (level, vocab_band))
+WHERE place <= quota"""
+
 
 #: found: pairs of essays of 20 words or more that share half of their runs of three words; links: the same between the smallest ids of different texts.
 NEAR = """
@@ -92,5 +97,6 @@ WHERE representative IN (SELECT representative FROM least GROUP BY 1 HAVING coun
         "p6_found": groups,
         "p1_found": f"{NEAR} SELECT id_a, id_b FROM found",
         "p5_report": REPORT,
+        "p5_sample": SAMPLE,
         "p5_found": f"SELECT level, vocab_band FROM ({REPORT}) WHERE exhausted",
     }

@@ -129,11 +129,13 @@ def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    targets = table(spark, sf_dir, "sample_targets")
-    return proportional_sample(usable_cells(table(spark, sf_dir, "flip_final"), targets), targets)
+    targets, records = table(spark, sf_dir, "sample_targets"), table(spark, sf_dir, "flip_final")
+    # The number of rows, repeated ones among them, bounds that of the usable records; Parquet tells it without reading a column.
+    return proportional_sample(usable_cells(records, targets), targets, most=records.count())
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose drawn sample falls short of their quota."""
     return _sample(spark, sf_dir)[1].where("exhausted").select("level", "vocab_band")
 
 
