@@ -26,11 +26,12 @@ class Mix:
         goals = targets.where("source IS NOT NULL").groupBy("source").agg(
             F.sum("target_permille").alias("target_permille"), F.max("max_repeats").alias("max_repeats")
         )
-        self.items = items.select("doc_id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
+        # Stored once, as the sizes are dear to count and are read by the histogram, the ranks and the copies.
+        self.items = stored(items.select("doc_id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0"))
         self.histogram = histogram = stored(self.items.groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
         self.size = size if size is not None else histogram.agg(F.sum(F.expr("n * n_tokens"))).first()[0] or 0
-        have = histogram.groupBy("source").agg(F.sum(F.expr("n * n_tokens")).alias("have"), F.max("n_tokens").alias("longest"))
-        rows = goals.join(have, "source", "left").fillna({"have": 0, "longest": 1}).collect()  # one row a source of the targets
+        have = histogram.groupBy("source").agg(F.sum(F.expr("n * n_tokens")).alias("have"), F.max("n_tokens").alias("longest"), F.sum("n").alias("documents"))
+        rows = goals.join(have, "source", "left").fillna({"have": 0, "longest": 1, "documents": 0}).collect()  # one row a source of the targets
         self.goals = {r["source"]: r for r in rows}
         self.tilt = self._solve(histogram, steps)
 
@@ -94,14 +95,18 @@ class Mix:
         return out.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
     def report(self) -> DataFrame:
-        """(source, target_permille, have_tokens, mix_tokens, mix_documents, actual_permille, reachable), one row a source of the targets."""
-        rows = [
-            (s, int(g["target_permille"]), int(g["have"]), g["have"] * g["max_repeats"] * 1000 >= self.size * g["target_permille"])
-            for s, g in self.goals.items()
-        ]
-        goals = self.items.sparkSession.createDataFrame(rows, "source string, target_permille long, have_tokens long, reachable boolean")
+        """(source, target_permille, have_tokens, mix_tokens, mix_documents, actual_permille, reachable), one row a source of the targets.
+
+        Everything about the mix is counted from its copies. A source is not reachable where every document of it is used
+        max_repeats times and its tokens still fall short of its share.
+        """
+        rows = [(s, int(g["target_permille"]), int(g["have"]), int(g["documents"]), int(g["max_repeats"])) for s, g in self.goals.items()]
+        goals = self.items.sparkSession.createDataFrame(rows, "source string, target_permille long, have_tokens long, _documents long, _most long")
         got = self.copies().groupBy("source").agg(F.sum(F.expr("n_tokens * copies")).alias("mix_tokens"), F.sum("copies").alias("mix_documents"))
-        return goals.join(got, "source", "left").fillna({"mix_tokens": 0, "mix_documents": 0}).select(
+        out = goals.join(got, "source", "left").fillna({"mix_tokens": 0, "mix_documents": 0})
+        short = F.col("mix_tokens") * 1000 < F.lit(self.size) * F.col("target_permille")
+        spent = F.col("mix_documents") >= F.col("_documents") * F.col("_most")
+        return out.select(
             "source", "target_permille", "have_tokens", "mix_tokens", "mix_documents",
-            F.round(F.col("mix_tokens") * 1000.0 / max(1, self.size), 3).alias("actual_permille"), "reachable",
+            F.round(F.col("mix_tokens") * 1000.0 / max(1, self.size), 3).alias("actual_permille"), (~(short & spent)).alias("reachable"),
         )

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
 from collections import Counter, defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,35 +74,45 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     left = F.col("n_tokens") - F.col("piece").cast("long") * capacity
     rest = stored(items.select("doc_id", "piece", F.least(left, F.lit(capacity)).cast("int").alias("_len")))
     histogram = {r[0]: r[1] for r in rest.groupBy("_len").count().collect()}  # at most `capacity` rows
-    starts: dict[int, list[int]] = defaultdict(list)
-    first: dict[int, list[int]] = defaultdict(list)
-    share: dict[int, list[int]] = defaultdict(list)
+    places = rest.sparkSession.createDataFrame(places_by_rank(pack_histogram(histogram, capacity)), PLACES)
+    rows = ranked(rest, ["_len"], ["doc_id", "piece"], places.select("_len", "_width").distinct())
+    # Both tables are bounded by the capacity: one row a length, and about two a length and pattern.
+    rows = rows.withColumn("_bin", F.expr("_rank div _width")).join(F.broadcast(places.drop("_width")), ["_len", "_bin"]).where("_rank >= _start AND _rank < _end")
+    container = F.expr("_first + (_rank - _start) div _times")
+    return rows.select("doc_id", "piece", F.col("_len").cast("long").alias("n_tokens"), container.alias("container"))
+
+
+PLACES = "_len int, _width long, _bin long, _start long, _end long, _first long, _times int"
+
+
+def places_by_rank(packed: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple]:
+    """Patterns to rows of PLACES: the items of one length with ranks _start to _end - 1 go into containers from _first on,
+    _times into each. Ranks are binned by the mean width of a length's ranges, so that a range joins by equality of bins."""
+    ranges: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
     used: Counter = Counter()
     containers = 0
-    for count, pattern in pack_histogram(histogram, capacity):
+    for count, pattern in packed:
         for length, times in pattern:
-            starts[length].append(used[length])
-            first[length].append(containers)
-            share[length].append(times)
+            ranges[length].append((used[length], used[length] + count * times, containers, times))
             used[length] += count * times
         containers += count
+    rows = []
+    for length, of in ranges.items():
+        width = -(-used[length] // len(of))
+        rows += [(length, width, k, *one) for one in of for k in range(one[0] // width, (one[1] - 1) // width + 1)]
+    return rows
 
-    @F.pandas_udf("long")
-    def container(length: pd.Series, rank: pd.Series) -> pd.Series:
-        out = []
-        for n, r in zip(length, rank):
-            k = bisect_right(starts[n], r) - 1
-            out.append(first[n][k] + (r - starts[n][k]) // share[n][k])
-        return pd.Series(out, dtype="int64")
-
-    return ranked(rest, ["_len"], ["doc_id", "piece"]).select("doc_id", "piece", F.col("_len").cast("long").alias("n_tokens"), container("_len", "_rank").alias("container"))
 
+def ranked(rows: DataFrame, by: list[str], order: list[str], more: DataFrame | None = None) -> DataFrame:
+    """_rank of each row within `by`, from 0; summed over slices of a hash, so that one group may hold most rows.
 
-def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """_rank of each row within `by`, from 0; summed over slices of a hash, so that one group may hold most rows."""
+    more: further columns of each group, one row each, which ride along with the slices' sums.
+    """
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
     each = rows.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*by).orderBy("_slice")
     before = each.select(*by, "_slice", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    if more is not None:
+        before = before.join(more, by)
     inside = Window.partitionBy(*by, "_slice").orderBy(*order)
     return rows.join(before, [*by, "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)

@@ -172,8 +172,9 @@ def _capacity(spark: SparkSession, sf_dir: str) -> int:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that the packing had to cut."""
-    return pack(_sizes(spark, sf_dir), _capacity(spark, sf_dir)).where("piece > 0").select("doc_id").distinct()
+    """Documents whose pieces lie in more than one container."""
+    packed = pack(_sizes(spark, sf_dir), _capacity(spark, sf_dir)).groupBy("doc_id").agg(F.min("container").alias("low"), F.max("container").alias("high"))
+    return packed.where("low < high").select("doc_id")
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +195,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> Mix:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose copies fall short of their share though each document is repeated as often as it may be."""
     return _mix(spark, sf_dir).report().where("NOT reachable").select("source")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lexmill.llm._tokens import token_count
 from lexmill.llm.consensus import Consensus, digamma, krippendorff
 from lexmill.llm.mixing import Mix
-from lexmill.llm.packing import pack, pack_histogram
-from lexmill.llm.sampling import proportional_sample, usable_cells
+from lexmill.llm.packing import pack, pack_histogram, places_by_rank
+from lexmill.llm.sampling import Reservoirs, priority, proportional_sample, usable_cells
 from lexmill.llm.splits import author_groups, split_groups
 
 
@@ -66,6 +66,18 @@ def test_sample_meets_quotas(spark):
     assert sample.count() == 0 and report.where("exhausted").count() == 4
 
 
+def test_reservoirs_are_bounded_and_mergeable(spark):
+    """One cell holds most rows: no task keeps more than its bound, and the drawn rows are the smallest priorities of all."""
+    rows = spark.range(0, 20_000, 1, 8).select("id", F.lit("B1.1").alias("level"), F.when(F.col("id") % 10 == 0, "low").otherwise("mid").alias("vocab_band"))
+    bounds = spark.createDataFrame([("B1.1", "mid", 100), ("B1.1", "low", 5000)], "level string, vocab_band string, most long")
+    kept = Reservoirs(rows, ["level", "vocab_band"], bounds)
+    assert kept.rows.where("vocab_band = 'mid'").count() <= 8 * 100 and kept.rows.where("vocab_band = 'low'").count() == 2000
+    assert {r.vocab_band: r.have for r in kept.counts.collect()} == {"mid": 18_000, "low": 2000}
+    drawn = kept.trim(bounds.withColumnRenamed("most", "quota")).where("vocab_band = 'mid'")
+    want = rows.where("vocab_band = 'mid'").orderBy(priority(F.col("id")), "id").limit(100)
+    assert {r.id for r in drawn.collect()} == {r.id for r in want.collect()}
+
+
 STUDENTS = [(1, "Müller", "Ann Bea"), (2, "Berg", "Bob"), (3, "Zed", "Cleo"), (4, "Mueller", "Ann"), (5, "Solo", "Dora"), (None, "X", "Y"), (6, None, "Z")]
 
 
@@ -122,6 +134,9 @@ def test_histogram_packing_counts():
         for n, k in pattern:
             placed[n] += count * k
     assert placed == histogram
+    for length, n in histogram.items():
+        ranks = sorted({(r[3], r[4]) for r in places_by_rank(packed) if r[0] == length})
+        assert ranks[0][0] == 0 and ranks[-1][1] == n and all(x[1] == y[0] for x, y in zip(ranks, ranks[1:]))
 
 
 def test_mix_reaches_targets(spark):
