@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from lexmill.session import checkpoint
 
+#: Labels of patterns up to this number (some 10 MB) are worked on in one partition.
+ONE_TASK = 200_000
 
-def digamma(x: Column) -> Column:
-    """psi(x) for x > 0: six steps of the recurrence, then the asymptotic series."""
-    y = x + 6.0
-    inv = 1.0 / (y * y)
-    series = F.log(y) - 0.5 / y - inv * (1 / 12 - inv * (1 / 120 - inv * (1 / 252 - inv / 240)))
-    for k in range(6):
-        series = series - 1.0 / (x + float(k))
-    return series
+
+def digamma(x: str) -> str:
+    """SQL of psi(x) for x > 0: six steps of the recurrence, then the asymptotic series."""
+    y = f"({x} + 6)"
+    inner = f"(1D / 12 - (1D / 120 - (1D / 252 - 1D / 240 / pow({y}, 2)) / pow({y}, 2)) / pow({y}, 2)) / pow({y}, 2)"
+    return f"ln({y}) - 0.5D / {y} - {inner} - 1 / {x} - " + " - ".join(f"1 / ({x} + {k})" for k in range(1, 6))
+
+
+def log_gamma(x: str) -> str:
+    """SQL of the log of the gamma function for x > 0: six steps of the recurrence, then Stirling's series."""
+    y = f"({x} + 6)"
+    return f"({y} - 0.5D) * ln({y}) - {y} + 0.5D * ln(2 * pi()) + 1D / 12 / {y} - 1D / 360 / pow({y}, 3) - ln({x} * " + " * ".join(f"({x} + {k})" for k in range(1, 6)) + ")"
 
 
 class Consensus:
@@ -24,56 +30,94 @@ class Consensus:
     labels(item, rater, label, weight): label is a class number from 0 to classes - 1; weight counts items with the same
     labels (pre-aggregated patterns). Dirichlet priors: `flat` on the class shares; on the rows of an annotator's
     confusion matrix `base` on every cell, `hit` more on the diagonal and `near` on its neighbours, which names the
-    classes. Updates are group-bys over item and over (rater, label); nothing is collected but one number a round.
+    classes. Updates are group-bys over item and over (rater, label); what is collected is one row of sums a round. Rounds end
+    when the evidence lower bound grows by less than `tolerance` an item.
     Rows with a null or with a label out of range are dropped; items with one label follow the priors; of repeated
     (item, rater) rows each counts; no rows give empty results.
     """
 
-    def __init__(self, labels: DataFrame, classes: int, rounds: int = 25, tolerance: float = 1e-3, flat: float = 1.0, base: float = 0.5, hit: float = 4.0, near: float = 1.0) -> None:
+    def __init__(self, labels: DataFrame, classes: int, rounds: int = 25, tolerance: float = 1e-4, flat: float = 1.0, base: float = 0.5, hit: float = 4.0, near: float = 1.0) -> None:
         self.classes = k = range(classes)
-        self.size = classes
+        self.size, self.flat = classes, flat
         ok = (F.col("label") >= 0) & (F.col("label") < classes) & F.col("item").isNotNull() & F.col("rater").isNotNull()
         self.labels = checkpoint(labels.where(ok).select("item", "rater", F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight")))
+        if self.labels.count() <= ONE_TASK:
+            # Patterns that one task holds with ease need no exchanges: a round is then one stage. More keep their partitions; the results are the same.
+            self.labels = self.labels.coalesce(1)
         self.prior = lambda c, l: base + (hit if c == l else near if abs(c - l) == 1 else 0.0)
+        self._columns()
         # Start: each item's class follows the labels themselves.
         start = [F.sum(F.when(F.col("label") == c, 1.0).otherwise(0.0)) + 0.1 for c in k]
         q = self.labels.groupBy("item").agg(F.first("weight").alias("weight"), F.array(*start).alias("q"))
         q = q.select("item", "weight", F.transform("q", lambda x: x / F.aggregate("q", F.lit(0.0), lambda a, b: a + b)).alias("q"))
-        # Labels an item, so that the sums over labels give class shares in items.
-        self._each = self.labels.agg(F.try_divide(F.count("*"), F.count_distinct("item"))).first()[0] or 1.0
+        self.shares = self._shares(q.agg(*self._class_sums).first())
         before = None
         for self.rounds in range(1, rounds + 1):
             self.counts = checkpoint(self._counts(q))
-            sums = self.counts.agg(*(F.sum(F.col("n")[c]) for c in k)).first()
-            self.shares = [(x or 0.0) / max(1.0, self._each) + flat for x in sums]
-            q = checkpoint(self._items())
-            move = q.agg(F.sum(F.col("weight") * F.aggregate("q", F.lit(0.0), lambda a, b: a + b * b)) / F.sum("weight")).first()[0]
-            if move is None or (before is not None and abs(move - before) < tolerance):
+            full = checkpoint(self._items())
+            sums = full.agg(*self._class_sums, F.sum(F.col("weight") * F.col("z")).alias("z"), F.sum("weight").alias("w"))
+            sums = sums.crossJoin(F.broadcast(self._surplus())).crossJoin(F.broadcast(self._share_row.select(self._share_bound))).first()  # one row each
+            q = full.select("item", "weight", "q")
+            if not sums["w"]:
                 break
-            before = move
+            bound = (sums["z"] + sums["k"] + sums["s"]) / sums["w"]
+            self.shares = self._shares(sums)
+            if before is not None and abs(bound - before) < tolerance:
+                break
+            before = bound
         self.items = q
 
+    def _shares(self, sums) -> list[float]:
+        return [(sums[f"c{c}"] or 0.0) + self.flat for c in self.classes]
+
+    def _surplus(self) -> DataFrame:
+        """One row (k): what the annotators' posteriors add to the bound, constants of the priors aside."""
+        cells, ends = self._bound
+        by_rater = self.counts.join(self.counts.groupBy("rater").agg(self._totals), "rater").groupBy("rater").agg(F.sum(cells).alias("cells"), F.first("t").alias("t"))
+        return by_rater.agg(F.coalesce(F.sum(F.col("cells") - ends), F.lit(0.0)).alias("k"))
+
+    def _prior_of(self, c: int) -> Column:
+        return F.element_at(F.array(*(F.lit(self.prior(c, l)) for l in self.classes)), F.col("label") + 1)
+
     def _counts(self, q: DataFrame) -> DataFrame:
         """Expected labels of each annotator by true class: (rater, label, n), n an array over the classes."""
         rows = self.labels.join(q.select("item", "q"), "item")
         return rows.groupBy("rater", "label").agg(F.array(*(F.sum(F.col("weight") * F.col("q")[c]) for c in self.classes)).alias("n"))
 
     def _items(self) -> DataFrame:
-        """Class probabilities of each item: softmax of the expected log shares and confusions."""
-        by_label = F.array(*(F.array(*(F.lit(self.prior(c, l)) for c in self.classes)) for l in self.classes))
-        by_class = F.array(*(F.lit(sum(self.prior(c, l) for l in self.classes)) for c in self.classes))
-        total = self.counts.groupBy("rater").agg(F.array(*(F.sum(F.col("n")[c]) for c in self.classes)).alias("t"))
-        add, less = (lambda x, y: x + y), (lambda x, y: x - y)
-        cell = F.transform(F.zip_with("n", F.element_at(by_label, F.col("label") + 1), add), digamma)
-        row = F.transform(F.zip_with("t", by_class, add), digamma)
-        logs = self.counts.join(total, "rater").select("rater", "label", F.zip_with(cell, row, less).alias("e"))
-        shares = F.zip_with(F.transform(F.array(*(F.lit(x) for x in self.shares)), digamma), F.array_repeat(F.element_at(F.transform(F.array(F.lit(sum(self.shares))), digamma), 1), self.size), less)
-        of = self.labels.join(logs, ["rater", "label"]).groupBy("item").agg(
-            F.first("weight").alias("weight"), F.array(*(F.sum(F.col("e")[c]) for c in self.classes)).alias("l")
-        )
-        of = of.select("item", "weight", F.zip_with("l", shares, add).alias("l"))
-        of = of.select("item", "weight", F.transform("l", lambda v: F.exp(v - F.array_max("l"))).alias("x"))
-        return of.select("item", "weight", F.transform("x", lambda v: v / F.aggregate("x", F.lit(0.0), add)).alias("q"))
+        """(item, weight, q, z): class probabilities, the softmax of the expected log shares and confusions, and its normaliser's log."""
+        # The shares come as a row, not as literals, so that every round runs the same compiled code.
+        self._share_row = self.labels.sparkSession.createDataFrame([(self.shares, [sum(self.shares)] * self.size)], "a array<double>, b array<double>")
+        logs = self.counts.join(self.counts.groupBy("rater").agg(self._totals), "rater").select("rater", "label", self._logs)
+        of = self.labels.join(logs, ["rater", "label"]).groupBy("item").agg(*self._sums).crossJoin(F.broadcast(self._share_row.select(self._log_shares)))  # one row
+        for step in self._softmax:
+            of = of.select(*step)
+        return of
+
+    def _columns(self) -> None:
+        """The expressions of a round, built once: they are the same every time."""
+        k = self.classes
+        psi, gamma = (f"transform({{}}, v -> {f('v')})" for f in (digamma, log_gamma))
+        by_label = "array(" + ", ".join("array(" + ", ".join(f"{self.prior(c, l)}D" for c in k) + ")" for l in k) + ")"
+        prior, own = f"element_at({by_label}, label + 1)", "array(" + ", ".join(f"{sum(self.prior(c, l) for l in k)}D" for c in k) + ")"
+        add, less = "zip_with({}, {}, (x, y) -> x + y)", "zip_with({}, {}, (x, y) -> x - y)"
+        whole = "aggregate({}, 0D, (x, y) -> x + y)"
+        cell, row = add.format("n", prior), add.format("t", own)
+        self._totals = F.array(*(F.sum(F.col("n")[c]) for c in k)).alias("t")
+        logs = less.format(psi.format(cell), psi.format(row))
+        self._logs = F.expr(logs).alias("e")
+        self._log_shares = F.expr(less.format(psi.format("a"), psi.format("b"))).alias("_shares")
+        self._sums = [F.first("weight").alias("weight"), F.array(*(F.sum(F.col("e")[c]) for c in k)).alias("l")]
+        by_shares = f"zip_with(a, {less.format(psi.format('a'), psi.format('b'))}, (x, y) -> (x - {self.flat}D) * y)"
+        self._share_bound = F.expr(f"{whole.format(gamma.format('a'))} - {log_gamma('b[0]')} - {whole.format(by_shares)}").alias("s")
+        self._bound = F.expr(whole.format(less.format(gamma.format(cell), f"zip_with(n, {logs}, (x, y) -> x * y)"))), F.expr(whole.format(gamma.format(row)))
+        self._softmax = [
+            ["item", "weight", F.expr(add.format("l", "_shares")).alias("l")],
+            ["item", "weight", F.expr("array_max(l)").alias("m"), F.expr("transform(l, v -> exp(v - array_max(l)))").alias("x")],
+            ["item", "weight", "m", "x", F.expr(whole.format("x")).alias("s")],
+            ["item", "weight", F.expr("transform(x, v -> v / s)").alias("q"), F.expr("m + ln(s)").alias("z")],
+        ]
+        self._class_sums = [F.sum(F.col("weight") * F.col("q")[c]).alias(f"c{c}") for c in k]
 
     def posterior(self) -> DataFrame:
         """(rater, class, label, alpha, alpha_row): every cell of every annotator's Dirichlet posterior."""
@@ -84,7 +128,7 @@ class Consensus:
         cells = [
             F.struct(
                 F.lit(c).alias("class"),
-                (F.coalesce(F.col("n")[c], F.lit(0.0)) + F.element_at(F.array(*(F.lit(self.prior(c, l)) for l in self.classes)), F.col("label") + 1)).alias("alpha"),
+                (F.coalesce(F.col("n")[c], F.lit(0.0)) + self._prior_of(c)).alias("alpha"),
             )
             for c in self.classes
         ]

@@ -105,9 +105,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graders whose grades do not rise with the others': the posterior slope on the true class is near nought or below."""
+    """Graders whose grades do not rise with the others': the 95 % interval of their slope on the true class lies wholly below one half."""
     labels, _ = _labels(spark, sf_dir)
-    return Consensus(labels, 5).reliability().where("slope < 0.4").select(F.col("rater").alias("grader_name"))
+    return Consensus(labels, 5).reliability().where("slope_high < 0.5").select(F.col("rater").alias("grader_name"))
 
 
 def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm._tokens import token_count
-from lexmill.llm.consensus import Consensus, digamma, krippendorff
+from lexmill.llm.consensus import Consensus, digamma, krippendorff, log_gamma
 from lexmill.llm.mixing import Mix
 from lexmill.llm.packing import pack, pack_histogram, places_by_rank
 from lexmill.llm.sampling import Reservoirs, priority, proportional_sample, usable_cells
@@ -13,8 +14,10 @@ from lexmill.llm.splits import author_groups, split_groups
 
 
 def test_digamma(spark):
-    got = spark.range(1).select(*(digamma(F.lit(x)).alias(str(i)) for i, x in enumerate((1.0, 0.5, 10.0)))).first()
+    got = spark.range(1).select(*(F.expr(digamma(f"{x}D")).alias(str(i)) for i, x in enumerate((1.0, 0.5, 10.0)))).first()
     assert list(got) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525891], abs=1e-8)
+    got = spark.range(1).select(*(F.expr(log_gamma(f"{x}D")).alias(str(i)) for i, x in enumerate((1.0, 0.5, 10.0, 300.5)))).first()
+    assert list(got) == pytest.approx([math.lgamma(x) for x in (1.0, 0.5, 10.0, 300.5)], abs=1e-6)
 
 
 def test_consensus_finds_bad_annotators(spark):
@@ -28,10 +31,17 @@ def test_consensus_finds_bad_annotators(spark):
     rows += [(None, "good", 1, 1), (5, None, 1, 1), (5, "good", 9, 1), (5, "fine", None, 1)]
     model = Consensus(spark.createDataFrame(rows, "item long, rater string, label int, weight long"), 5)
     r = {x.rater: x for x in model.reliability().collect()}
-    assert {k for k, x in r.items() if x.slope < 0.4} == {"inverse", "random"}
+    assert {k for k, x in r.items() if x.slope_high < 0.5} == {"inverse", "random"}
     assert all(x.accuracy_low <= x.accuracy <= x.accuracy_high for x in r.values()) and model.consensus().count() == 400
 
 
+def test_class_shares_are_of_items(spark):
+    """Items with one label and with three count alike, and a pattern counts as often as its items."""
+    rows = [(i, "a", 0, 50) for i in range(2)] + [(10 + i, r, 2, 20) for i in range(5) for r in "abc"]
+    model = Consensus(spark.createDataFrame(rows, "item long, rater string, label int, weight long"), 3)
+    assert sum(model.shares) == pytest.approx(100 + 100 + 3) and model.shares[2] == pytest.approx(101, abs=12)
+
+
 def test_consensus_without_rows(spark):
     none = spark.createDataFrame([], "item long, rater string, label int, weight long")
     model = Consensus(none, 5)
