@@ -52,7 +52,7 @@ class Figures:
         out = {k: np.zeros(n) for k in NAMES}
         if not len(data):
             return out
-        data = _plain(data)
+        data = _plain(data, offsets)
         p = passages(data, offsets)
         token, at, start, end = p["token"], p["at"], p["start"], p["end"]
         if not len(token):
@@ -159,17 +159,32 @@ class Figures:
         return np.maximum(1, groups - mute)
 
 
-def _plain(data: np.ndarray) -> np.ndarray:
-    """Markup and entities blanked out, so that their names are no words."""
+def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Markup and entities blanked out, so that their names are no words; whole texts, whatever their length.
+
+    A tag runs from < and a letter or / to the next >, unless another < comes first; where it holds blanks it must hold an
+    = too or end in />, or it is text in angle brackets. An entity runs from & over letters, digits and # to a ; at once
+    after them. Neither goes beyond its text.
+    """
     out = data.copy()
-    for a, b, most in ((ord("<"), ord(">"), 200), (ord("&"), ord(";"), 8)):
-        opens, closes = np.flatnonzero(data == a), np.flatnonzero(data == b)
-        if not len(opens) or not len(closes):
-            continue
-        k = np.searchsorted(closes, opens)
-        ok = k < len(closes)
-        opens, until = opens[ok], closes[k[ok]]
-        for i, j in zip(opens, until):
-            if j - i <= most and (a != 60 or (data[i + 1] == 47 or 97 <= data[i + 1] < 123)) and not (a == 38 and (data[i:j] == 32).any()):
-                out[i : j + 1] = 32
+    after = np.append(data[1:], 0)
+    blanks, equals = (np.concatenate([[0], np.cumsum(x)]) for x in (np.isin(data, [9, 10, 13, 32]), data == 61))
+    for sign, close in ((60, 62), (38, 59)):
+        tag = sign == 60
+        opens = np.flatnonzero((data == sign) & ((after == 47) | ((after >= 97) & (after < 123)) if tag else _NAME[after]))
+        ends = np.flatnonzero((data == close) | (data == sign) if tag else ~_NAME[data])
+        k = np.searchsorted(ends, opens, side="right")
+        ok = k < len(ends)
+        opens = opens[ok]
+        until = ends[k[ok]]
+        closed = (data[until] == close) & (np.searchsorted(offsets, opens, side="right") == np.searchsorted(offsets, until, side="right"))
+        if tag:
+            closed &= (blanks[until] == blanks[opens]) | (equals[until] > equals[opens]) | (data[until - 1] == 47)
+        steps = np.zeros(len(data) + 1, np.int32)
+        np.add.at(steps, opens[closed], 1)
+        np.add.at(steps, until[closed] + 1, -1)
+        out[np.cumsum(steps[:-1]) > 0] = 32
     return out
+
+
+_NAME = np.isin(np.arange(256), [*range(48, 58), *range(97, 123), 35])

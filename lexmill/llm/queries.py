@@ -73,7 +73,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _levels(spark, sf_dir).where("text_band IS NOT NULL")
     grades = ("words_per_sentence", "flesch_kincaid", "fog", "smog", "coleman_liau", "automated", "lix")
-    return out.select("id", "level", *(F.round(c, 3).alias(c) for c in grades), "text_band").distinct()
+    return out.select("id", "level", *(F.round(c, 3).alias(c) for c in (*grades, "reading_ease", "sentence_words")), "text_band").distinct()
 
 
 def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

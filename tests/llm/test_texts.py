@@ -47,6 +47,12 @@ def test_figures_of_words():
     assert f["syllables"][0] == 1 + 3 + 1 + 1 + 1 + 1 and set(RULE_FIGURES) <= set(f)
 
 
+def test_markup_of_any_length_is_no_word():
+    long = '<a href="' + "x" * 5000 + '" class="big one">'
+    f = Figures()(pa.array([f"One {long}two</a> three &nbsp;&#8212; four<br/>", "i <love you and all of them :> five", "open <b and &", "; gt > end", "a &amp b; c"]))
+    assert f["words"].tolist() == [4, 8, 3, 2, 4]
+
+
 LEVELS = {
     "A1": "I have a dog. He is big. We run in the park. ", "A2": "Last summer we went to the village and they found some pictures of the old river. ",
     "B1": "After the lesson the teacher decided that we should organise another meeting about our holiday plans. ",
@@ -62,6 +68,10 @@ def test_levels_do_not_rise_with_missing_punctuation(spark):
     got = {r.id: r.text_band for r in reading_levels(quality(table).join(table.select("id", "level"), "id")).collect()}
     assert got[900] == "A1" and got[901] == "C1" and got[902] is None and got[903] is None and got[904] is None
     assert [got[i * 10] for i in range(5)] == list(LEVELS)
+    # The grades are the formulas of the text alone: they are the same in any company, and a text without stops is one long sentence.
+    alone = {r.id: r.flesch_kincaid for r in reading_levels(quality(table.where("id = 900 OR id = 0")).withColumn("level", F.lit("A1"))).collect()}
+    both = {r.id: (r.flesch_kincaid, r.words_per_sentence, r.sentence_words) for r in reading_levels(quality(table).join(table.select("id", "level"), "id")).collect()}
+    assert alone[900] == both[900][0] and alone[0] == both[0][0] and both[900][1] > 3 * both[900][2]
     assert reading_levels(quality(table.limit(0)).withColumn("level", F.lit("A1"))).count() == 0
 
 
