@@ -22,9 +22,11 @@ SURROUNDINGS = 3
 HOSTS = 3
 #: A passage with fewer function words than this share is an entry of a list, not a sentence.
 FEW_FUNCTION_WORDS = 0.1
-#: Ends of host names that mark an address without a scheme.
-ENDINGS = (b"com", b"org", b"net", b"info", b"de", b"eu", b"io", b"example", b"invalid", b"test")
+#: Common ends of host names: they mark an address without a scheme even where no path follows. Fixed values.
+ENDINGS = (b"com", b"org", b"net", b"info", b"edu", b"gov", b"de", b"at", b"ch", b"uk", b"eu", b"io")
 MONEY = (b"eur", b"usd", b"gbp", b"$", "€".encode(), "£".encode())
+#: Search phrases up to this number are broadcast (8 bytes each, some 64 in a hashed relation: 20 MB); more are joined by shuffle.
+BROADCAST_PHRASES = 300_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), 95, 39, *range(0xC3, 0x100), *range(0x80, 0xC0)]] = True
@@ -92,12 +94,16 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     before = _shift(data, -1)
     found = [np.flatnonzero(links)]
     raw = data.tobytes()
-    for i in np.flatnonzero((data == 46) & _ALNUM[before] & _ALNUM[after]):
-        piece = raw[i + 1 : i + 9]
-        if piece.startswith(ENDINGS) and any(piece.startswith(e) and not piece[len(e) : len(e) + 1].isalnum() for e in ENDINGS) or raw[i - 3 : i] == b"www":
+    breaks = np.append(np.flatnonzero(~_ALNUM[data]), n)
+    dots = np.flatnonzero((data == 46) & _ALNUM[before] & _ALNUM[after])
+    for i, end in zip(dots, breaks[np.searchsorted(breaks, dots, side="right")]):
+        # "name.end/path", "www.name", or a known end; a full stop without a blank behind it has none of them.
+        if raw[end : end + 1] == b"/" and not _DIGIT[data[i + 1]] or raw[i + 1 : end] in ENDINGS or raw[i - 3 : i] == b"www":
             found.append(np.array([i]))
-    for i in np.flatnonzero(((data == 44) | (data == 46)) & _DIGIT[before] & _DIGIT[after] & _DIGIT[two]):
-        if any(m in raw[i : i + 8] for m in MONEY):
+    digits = np.append(np.flatnonzero(~_DIGIT[data]), n)
+    cents = np.flatnonzero(((data == 44) | (data == 46)) & _DIGIT[before] & _DIGIT[after] & _DIGIT[two])
+    for i, end in zip(cents, digits[np.searchsorted(digits, cents, side="right")]):
+        if raw[end : end + 4].lstrip(b" ").startswith(MONEY) or raw[max(0, digits[np.searchsorted(digits, i) - 1] - 4) : i].rstrip(b"0123456789").rstrip(b" ").endswith(MONEY):
             found.append(np.array([i]))
     found.append(np.flatnonzero((data == 45) & (before >= 97) & (before < 123) & _DIGIT[after] & _DIGIT[two] & _DIGIT[_shift(data, 3)]))
     marked = np.unique(part[np.concatenate(found)])
@@ -107,7 +113,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def phrase_rows(texts: pa.Array, function_words: np.ndarray) -> list[pa.Array]:
-    """Of each text: words, words of list entries and links, repeated phrases and their counts, and where they occur."""
+    """Of each text: words, words of list entries and links, its distinct phrases and their counts, and where they occur."""
     low = pc.fill_null(pc.utf8_lower(texts), "").cast(pa.large_string())
     bounds = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
     data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
@@ -144,16 +150,14 @@ def phrase_rows(texts: pa.Array, function_words: np.ndarray) -> list[pa.Array]:
     new[1:] = (phrase[1:] != phrase[:-1]) | (where[1:] != where[:-1])
     group = np.cumsum(new) - 1
     times = np.bincount(group)
-    often = times >= 2
-    first = np.flatnonzero(new)[often]
-    hit = often[group]
-    fresh = hit.copy()
-    fresh[1:] &= new[1:] | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)
+    fresh = new.copy()
+    fresh[1:] |= place[1:] != place[:-1]
     fresh &= ~listed[place]
     lists = lambda of, *values: [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=count))]).astype(np.int32)), pa.array(v)) for v in values]
     return [
         pa.array(words.astype(np.int32)), pa.array(entries.astype(np.int32)),
-        *lists(where[first], phrase[first].view(np.int64), times[often].astype(np.int32), varied[often].astype(np.int32)),
+        *lists(where[first], phrase[first].view(np.int64), times.astype(np.int32), varied.astype(np.int32)),
         *lists(where[fresh], phrase[fresh].view(np.int64), place[fresh].astype(np.int32), size[place[fresh]].astype(np.int32)),
     ]
 
@@ -162,7 +166,7 @@ def page_evidence(pages: DataFrame, key: str = "doc_id", text: str = "text", hos
     """(doc_id, host, words, entries, phrases, counts, varied, at_phrase, at_seg, at_words) of each page, whole texts, in one pass.
 
     Phrase shingles are two content words of one passage, side by side or around one function word ("notebook and pen");
-    those a page holds twice or more are kept.
+    all of a page are kept, those it holds once as well.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,25 +185,35 @@ def page_evidence(pages: DataFrame, key: str = "doc_id", text: str = "text", hos
     return rows.mapInArrow(look, schema)
 
 
+def search_phrases(evidence: DataFrame) -> DataFrame:
+    """page_evidence() to (phrase, hosts, stuffing): phrases replicated over hosts to be found.
+
+    All phrases of all pages are exploded and counted over distinct hosts, a host's pages being one. A search phrase is
+    stuffed by HOSTS hosts or more, and by at least half of all that hold it, be it once: the phrases of natural language are
+    held by many and stuffed by few.
+    """
+    held = evidence.select("host", "words", F.explode(F.arrays_zip("phrases", "counts", "varied")).alias("x"))
+    stuffed = (F.col("x.counts") >= STUFFED_TIMES) & (F.col("x.varied") >= SURROUNDINGS) & (2 * F.col("x.counts") >= STUFFED_SHARE * F.col("words"))
+    by_host = held.select("host", F.col("x.phrases").alias("phrase"), stuffed.cast("int").alias("stuffed")).groupBy("phrase", "host").agg(F.max("stuffed").alias("stuffed"))
+    phrases = by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("stuffed").alias("stuffing"))
+    return phrases.where((F.col("stuffing") >= HOSTS) & (2 * F.col("stuffing") >= F.col("hosts")))
+
+
 def spam_pages(pages: DataFrame, key: str = "doc_id", text: str = "text", host: str = "author_key", share: float = 0.5) -> DataFrame:
-    """pages to (doc_id, words, spam_words, is_spam): pages more than `share` of which is made of search phrases, links and list entries.
+    """pages to (doc_id, words, spam_words, is_spam): pages more than `share` of which is stitched from search phrases, links and list entries.
 
-    A phrase counts as a search phrase where enough distinct hosts stuff it (an author, or the page itself where none is
-    known), so that one author's habits count once. Words of passages that hold one of the page's repeated search phrases
-    are joined with those of list-like passages: addresses, link labels, prices, article numbers, or hardly any function
-    word. Null texts give no row; texts without words give zeros; a repeated id gives the row of its wordiest text.
+    A host is an author, or the page itself where none is known. The words of passages that hold a search phrase, though it
+    stand once on the page, are joined with those of list-like passages: addresses, link labels, prices, article numbers, or
+    hardly any function word. Null texts give no row; texts without words give zeros; a repeated id gives the row of its
+    wordiest text.
     """
     evidence = stored(page_evidence(pages, key, text, host))
-    repeated = evidence.select("host", "words", F.explode(F.arrays_zip("phrases", "counts", "varied")).alias("x"))
-    stuffed = (F.col("x.counts") >= STUFFED_TIMES) & (F.col("x.varied") >= SURROUNDINGS) & (2 * F.col("x.counts") >= STUFFED_SHARE * F.col("words"))
-    by_host = repeated.select("host", F.col("x.phrases").alias("phrase"), stuffed.cast("int").alias("stuffed")).groupBy("phrase", "host").agg(F.max("stuffed").alias("stuffed"))
-    search = by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("stuffed").alias("stuffing")).where(
-        (F.col("stuffing") >= HOSTS) & (2 * F.col("stuffing") >= F.col("hosts"))
-    )
+    search = stored(search_phrases(evidence).select("phrase"))
+    search = F.broadcast(search) if search.count() <= BROADCAST_PHRASES else search.hint("merge")
     hits = evidence.select("doc_id", F.explode(F.arrays_zip("at_phrase", "at_seg", "at_words")).alias("x")).select(
         "doc_id", F.col("x.at_phrase").alias("phrase"), F.col("x.at_seg").alias("seg"), F.col("x.at_words").alias("n")
     )
-    hits = hits.join(search.select("phrase"), "phrase", "left_semi").groupBy("doc_id", "seg").agg(F.max("n").alias("n"))
+    hits = hits.join(search, "phrase", "left_semi").groupBy("doc_id", "seg").agg(F.max("n").alias("n"))
     hits = hits.groupBy("doc_id").agg(F.sum("n").alias("_hits"))
     sums = evidence.select("doc_id", "words", "entries").groupBy("doc_id").agg(F.max_by("entries", "words").alias("entries"), F.max("words").alias("words"))
     spam = (F.col("entries") + F.coalesce("_hits", F.lit(0))).cast("int")

@@ -75,14 +75,27 @@ def test_levels_do_not_rise_with_missing_punctuation(spark):
     assert reading_levels(quality(table.limit(0)).withColumn("level", F.lit("A1"))).count() == 0
 
 
+def test_links_and_prices_of_any_length():
+    from lexmill.llm.spam import passages
+
+    def marked(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return len(passages(data, np.array([0, len(data)]))["marked"])
+
+    yes = ["see www.some-page.at now", "shop.somethingverylong/path/x", "name.com", "it is 12.50 eur", "eur 1234567,99 only", "€ 5,00", "12.999999999 usd", "http://a.b"]
+    no = ["the end.then we went", "1.50 of them", "and/or", "3.5/4 points", "we got 12.50 and euro"]
+    assert [marked(t) for t in yes] == [1] * len(yes) and [marked(t) for t in no] == [0] * len(no)
+
+
 def test_spam_pages(spark):
     phrases = ["cheap shoes", "leather boots", "red sneakers"]
     dice = random.Random(1)
     rows = [(i, f"host{i}", " ".join(dice.choice(phrases) for k in range(60))) for i in range(5)]
     rows += [(20, "h", "\n".join(f"Where can I find {phrases[k % 3]} for me?" for k in range(30))), (21, "h", "\n".join(f'<a href="http://a{k}.test/x">All about the {k} things you need</a>' for k in range(20)))]
+    rows += [(22, "w", " ".join(f"{a} {b} are what everybody wants." for a, b in zip(["Cheap shoes", "Leather boots", "Red sneakers"], ["and more", "of course", "now"])))]  # each once
     rows += [(36, "y", "word list " * 100_000), (37, "z", PROSE * 20_000)]
     rows += [(30, None, PROSE * 5), (31, None, PROSE * 5 + "\nhttp://one.test/a\nhttp://two.test/b\nTags: big, house"), (32, None, "I have a dog. I have a cat. I have a bird. " * 10), (33, None, None), (34, None, " "), (35, "x", "Red Boots - RB-1234 - 12,50 EUR - sale\n" * 9)]
     table = spark.createDataFrame([(i, h, t, 1) for i, h, t in rows], "doc_id long, author_key string, text string, words int")
     got = {r.doc_id: r.is_spam for r in spam_pages(table).collect()}
-    assert got == {**dict.fromkeys(range(5), True), 20: True, 21: True, 30: False, 31: False, 32: False, 34: False, 35: True, 36: True, 37: False}
+    assert got == {**dict.fromkeys(range(5), True), 20: True, 21: True, 22: True, 30: False, 31: False, 32: False, 34: False, 35: True, 36: True, 37: False}
     assert spam_pages(table.limit(0)).count() == 0
