@@ -36,9 +36,9 @@ class Consensus:
     (item, rater) rows each counts; no rows give empty results.
     """
 
-    def __init__(self, labels: DataFrame, classes: int, rounds: int = 25, tolerance: float = 1e-4, flat: float = 1.0, base: float = 0.5, hit: float = 4.0, near: float = 1.0) -> None:
+    def __init__(self, labels: DataFrame, classes: int, rounds: int = 25, tolerance: float = 1e-3, flat: float = 1.0, base: float = 0.5, hit: float = 4.0, near: float = 1.0) -> None:
         self.classes = k = range(classes)
-        self.size, self.flat = classes, flat
+        self.flat = flat
         ok = (F.col("label") >= 0) & (F.col("label") < classes) & F.col("item").isNotNull() & F.col("rater").isNotNull()
         self.labels = checkpoint(labels.where(ok).select("item", "rater", F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight")))
         if self.labels.count() <= ONE_TASK:
@@ -50,74 +50,82 @@ class Consensus:
         start = [F.sum(F.when(F.col("label") == c, 1.0).otherwise(0.0)) + 0.1 for c in k]
         q = self.labels.groupBy("item").agg(F.first("weight").alias("weight"), F.array(*start).alias("q"))
         q = q.select("item", "weight", F.transform("q", lambda x: x / F.aggregate("q", F.lit(0.0), lambda a, b: a + b)).alias("q"))
-        self.shares = self._shares(q.agg(*self._class_sums).first())
+        self._totals = checkpoint(self._class_totals(q.withColumn("z", F.lit(0.0))))
         before = None
         for self.rounds in range(1, rounds + 1):
-            self.counts = checkpoint(self._counts(q))
+            self.counts = checkpoint(self._confusions(q))
             full = checkpoint(self._items())
-            sums = full.agg(*self._class_sums, F.sum(F.col("weight") * F.col("z")).alias("z"), F.sum("weight").alias("w"))
-            sums = sums.crossJoin(F.broadcast(self._surplus())).crossJoin(F.broadcast(self._share_row.select(self._share_bound))).first()  # one row each
             q = full.select("item", "weight", "q")
-            if not sums["w"]:
+            # What a rater's posterior adds to the bound, constants of the priors aside.
+            raters = self.counts.groupBy("rater").agg((F.sum("cells") - F.first("ends")).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0.0)).alias("k"))
+            self._totals = checkpoint(self._class_totals(full).crossJoin(F.broadcast(raters)))  # one row each
+            now = self._totals.first()
+            if not now["w"]:
                 break
-            bound = (sums["z"] + sums["k"] + sums["s"]) / sums["w"]
-            self.shares = self._shares(sums)
+            bound = (now["z"] + now["k"] + now["s"]) / now["w"]
             if before is not None and abs(bound - before) < tolerance:
                 break
             before = bound
-        self.items = q
+        self.items, self.shares = q, list(self._totals.first()["a"])
 
-    def _shares(self, sums) -> list[float]:
-        return [(sums[f"c{c}"] or 0.0) + self.flat for c in self.classes]
-
-    def _surplus(self) -> DataFrame:
-        """One row (k): what the annotators' posteriors add to the bound, constants of the priors aside."""
-        cells, ends = self._bound
-        by_rater = self.counts.join(self.counts.groupBy("rater").agg(self._totals), "rater").groupBy("rater").agg(F.sum(cells).alias("cells"), F.first("t").alias("t"))
-        return by_rater.agg(F.coalesce(F.sum(F.col("cells") - ends), F.lit(0.0)).alias("k"))
+    def _class_totals(self, items: DataFrame) -> DataFrame:
+        """One row: a, expected items of each class and the prior; their expected log shares; sums of the bound. It stays a
+        table, as literals of it would have each round compiled anew."""
+        sums = [F.coalesce(F.sum(F.col("weight") * F.col("q")[c]), F.lit(0.0)) + self.flat for c in self.classes]
+        out = items.agg(F.array(*sums).alias("a"), F.sum(F.col("weight") * F.col("z")).alias("z"), F.sum("weight").alias("w"))
+        for step in self._share_steps:
+            out = out.select(*step)
+        return out
 
     def _prior_of(self, c: int) -> Column:
         return F.element_at(F.array(*(F.lit(self.prior(c, l)) for l in self.classes)), F.col("label") + 1)
 
-    def _counts(self, q: DataFrame) -> DataFrame:
-        """Expected labels of each annotator by true class: (rater, label, n), n an array over the classes."""
+    def _confusions(self, q: DataFrame) -> DataFrame:
+        """(rater, label, n, e, cells, ends): expected labels of each annotator by true class, their expected log confusions, and
+        the cell's and the rater's parts of the bound."""
+        k = self.classes
         rows = self.labels.join(q.select("item", "q"), "item")
-        return rows.groupBy("rater", "label").agg(F.array(*(F.sum(F.col("weight") * F.col("q")[c]) for c in self.classes)).alias("n"))
+        rows = rows.groupBy("rater", "label").agg(F.array(*(F.sum(F.col("weight") * F.col("q")[c]) for c in k)).alias("n"))
+        rows = rows.join(rows.groupBy("rater").agg(F.array(*(F.sum(F.col("n")[c]) for c in k)).alias("t")), "rater")
+        for step in self._cell_steps:
+            rows = rows.select("rater", "label", "n", *step)
+        return rows
 
     def _items(self) -> DataFrame:
         """(item, weight, q, z): class probabilities, the softmax of the expected log shares and confusions, and its normaliser's log."""
-        # The shares come as a row, not as literals, so that every round runs the same compiled code.
-        self._share_row = self.labels.sparkSession.createDataFrame([(self.shares, [sum(self.shares)] * self.size)], "a array<double>, b array<double>")
-        logs = self.counts.join(self.counts.groupBy("rater").agg(self._totals), "rater").select("rater", "label", self._logs)
-        of = self.labels.join(logs, ["rater", "label"]).groupBy("item").agg(*self._sums).crossJoin(F.broadcast(self._share_row.select(self._log_shares)))  # one row
+        of = self.labels.join(self.counts.select("rater", "label", "e"), ["rater", "label"]).groupBy("item").agg(*self._sums)
+        of = of.crossJoin(F.broadcast(self._totals.select("shares")))  # one row
         for step in self._softmax:
             of = of.select(*step)
         return of
 
     def _columns(self) -> None:
-        """The expressions of a round, built once: they are the same every time."""
+        """The expressions of a round, built once and in small steps: they are the same every time."""
         k = self.classes
         psi, gamma = (f"transform({{}}, v -> {f('v')})" for f in (digamma, log_gamma))
         by_label = "array(" + ", ".join("array(" + ", ".join(f"{self.prior(c, l)}D" for c in k) + ")" for l in k) + ")"
-        prior, own = f"element_at({by_label}, label + 1)", "array(" + ", ".join(f"{sum(self.prior(c, l) for l in k)}D" for c in k) + ")"
-        add, less = "zip_with({}, {}, (x, y) -> x + y)", "zip_with({}, {}, (x, y) -> x - y)"
+        own = "array(" + ", ".join(f"{sum(self.prior(c, l) for l in k)}D" for c in k) + ")"
         whole = "aggregate({}, 0D, (x, y) -> x + y)"
-        cell, row = add.format("n", prior), add.format("t", own)
-        self._totals = F.array(*(F.sum(F.col("n")[c]) for c in k)).alias("t")
-        logs = less.format(psi.format(cell), psi.format(row))
-        self._logs = F.expr(logs).alias("e")
-        self._log_shares = F.expr(less.format(psi.format("a"), psi.format("b"))).alias("_shares")
+        steps = lambda *rows: [[F.expr(f"{v} AS {n}") for n, v in row.items()] for row in rows]
+        self._cell_steps = steps(
+            {"cell": f"zip_with(n, element_at({by_label}, label + 1), (x, y) -> x + y)", "row": f"zip_with(t, {own}, (x, y) -> x + y)"},
+            {"pc": psi.format("cell"), "pr": psi.format("row"), "gc": whole.format(gamma.format("cell")), "ends": whole.format(gamma.format("row"))},
+            {"e": "zip_with(pc, pr, (x, y) -> x - y)", "gc": "gc", "ends": "ends"},
+            {"e": "e", "cells": f"gc - {whole.format('zip_with(n, e, (x, y) -> x * y)')}", "ends": "ends"},
+        )
+        self._share_steps = steps(
+            {"a": "a", "b": whole.format("a"), "z": "z", "w": "w"},
+            {"a": "a", "b": "b", "pa": psi.format("a"), "pb": digamma("b"), "z": "z", "w": "w"},
+            {"a": "a", "b": "b", "shares": "transform(pa, x -> x - pb)", "z": "z", "w": "w"},
+            {"a": "a", "shares": "shares", "z": "z", "w": "w", "s": f"{whole.format(gamma.format('a'))} - ({log_gamma('b')}) - {whole.format(f'zip_with(a, shares, (x, y) -> (x - {self.flat}D) * y)')}"},
+        )
         self._sums = [F.first("weight").alias("weight"), F.array(*(F.sum(F.col("e")[c]) for c in k)).alias("l")]
-        by_shares = f"zip_with(a, {less.format(psi.format('a'), psi.format('b'))}, (x, y) -> (x - {self.flat}D) * y)"
-        self._share_bound = F.expr(f"{whole.format(gamma.format('a'))} - {log_gamma('b[0]')} - {whole.format(by_shares)}").alias("s")
-        self._bound = F.expr(whole.format(less.format(gamma.format(cell), f"zip_with(n, {logs}, (x, y) -> x * y)"))), F.expr(whole.format(gamma.format(row)))
-        self._softmax = [
-            ["item", "weight", F.expr(add.format("l", "_shares")).alias("l")],
-            ["item", "weight", F.expr("array_max(l)").alias("m"), F.expr("transform(l, v -> exp(v - array_max(l)))").alias("x")],
-            ["item", "weight", "m", "x", F.expr(whole.format("x")).alias("s")],
-            ["item", "weight", F.expr("transform(x, v -> v / s)").alias("q"), F.expr("m + ln(s)").alias("z")],
-        ]
-        self._class_sums = [F.sum(F.col("weight") * F.col("q")[c]).alias(f"c{c}") for c in k]
+        self._softmax = steps(
+            {"item": "item", "weight": "weight", "l": "zip_with(l, shares, (x, y) -> x + y)"},
+            {"item": "item", "weight": "weight", "m": "array_max(l)", "x": "transform(l, v -> exp(v - array_max(l)))"},
+            {"item": "item", "weight": "weight", "m": "m", "x": "x", "s": whole.format("x")},
+            {"item": "item", "weight": "weight", "q": "transform(x, v -> v / s)", "z": "m + ln(s)"},
+        )
 
     def posterior(self) -> DataFrame:
         """(rater, class, label, alpha, alpha_row): every cell of every annotator's Dirichlet posterior."""
