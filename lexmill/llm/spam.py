@@ -95,10 +95,16 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     found = [np.flatnonzero(links)]
     raw = data.tobytes()
     breaks = np.append(np.flatnonzero(~_ALNUM[data]), n)
+    outer = np.append(np.flatnonzero(~(_ALNUM[data] | (data == 45) | (data == 46))), n)
     dots = np.flatnonzero((data == 46) & _ALNUM[before] & _ALNUM[after])
-    for i, end in zip(dots, breaks[np.searchsorted(breaks, dots, side="right")]):
-        # "name.end/path", "www.name", or a known end; a full stop without a blank behind it has none of them.
-        if raw[end : end + 1] == b"/" and not _DIGIT[data[i + 1]] or raw[i + 1 : end] in ENDINGS or raw[i - 3 : i] == b"www":
+    for i, end, close in zip(dots, breaks[np.searchsorted(breaks, dots, side="right")], np.searchsorted(outer, dots)):
+        # "name.end/path", "www.name", a name of three parts, a dotted name alone in brackets, or a known end: a full stop
+        # without a blank behind it has none of them.
+        low, high = outer[close - 1] + 1 if close else 0, outer[close]
+        parts = raw[low:high].strip(b".-").split(b".")
+        named = all(len(x) > 1 and not x.isdigit() for x in parts)
+        bracketed = low > 0 and raw[low - 1 : low] in (b"(", b"[", b"<") and raw[high : high + 1] in (b")", b"]", b">")
+        if named and (len(parts) > 2 or bracketed or raw[end : end + 1] == b"/" or raw[i + 1 : end] in ENDINGS) or raw[i - 3 : i] == b"www":
             found.append(np.array([i]))
     digits = np.append(np.flatnonzero(~_DIGIT[data]), n)
     cents = np.flatnonzero(((data == 44) | (data == 46)) & _DIGIT[before] & _DIGIT[after] & _DIGIT[two])
@@ -186,17 +192,18 @@ def page_evidence(pages: DataFrame, key: str = "doc_id", text: str = "text", hos
 
 
 def search_phrases(evidence: DataFrame) -> DataFrame:
-    """page_evidence() to (phrase, hosts, stuffing): phrases replicated over hosts to be found.
+    """page_evidence() to (phrase, hosts, stuffing, repeating): phrases replicated over hosts to be found.
 
     All phrases of all pages are exploded and counted over distinct hosts, a host's pages being one. A search phrase is
-    stuffed by HOSTS hosts or more, and by at least half of all that hold it, be it once: the phrases of natural language are
-    held by many and stuffed by few.
+    replicated: HOSTS hosts or more stuff it, and so do at least half of those that repeat it on a page. Repetition is
+    evidence here, no filter: hosts that hold a phrase once count in `hosts`, and their passages are looked at like all others.
     """
     held = evidence.select("host", "words", F.explode(F.arrays_zip("phrases", "counts", "varied")).alias("x"))
     stuffed = (F.col("x.counts") >= STUFFED_TIMES) & (F.col("x.varied") >= SURROUNDINGS) & (2 * F.col("x.counts") >= STUFFED_SHARE * F.col("words"))
-    by_host = held.select("host", F.col("x.phrases").alias("phrase"), stuffed.cast("int").alias("stuffed")).groupBy("phrase", "host").agg(F.max("stuffed").alias("stuffed"))
-    phrases = by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("stuffed").alias("stuffing"))
-    return phrases.where((F.col("stuffing") >= HOSTS) & (2 * F.col("stuffing") >= F.col("hosts")))
+    rows = held.select("host", F.col("x.phrases").alias("phrase"), stuffed.cast("int").alias("stuffed"), (F.col("x.counts") > 1).cast("int").alias("repeated"))
+    by_host = rows.groupBy("phrase", "host").agg(F.max("stuffed").alias("stuffed"), F.max("repeated").alias("repeated"))
+    phrases = by_host.groupBy("phrase").agg(F.count("*").alias("hosts"), F.sum("stuffed").alias("stuffing"), F.sum("repeated").alias("repeating"))
+    return phrases.where((F.col("stuffing") >= HOSTS) & (2 * F.col("stuffing") >= F.col("repeating")))
 
 
 def spam_pages(pages: DataFrame, key: str = "doc_id", text: str = "text", host: str = "author_key", share: float = 0.5) -> DataFrame:

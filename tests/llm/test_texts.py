@@ -82,8 +82,8 @@ def test_links_and_prices_of_any_length():
         data = np.frombuffer(text.encode(), np.uint8)
         return len(passages(data, np.array([0, len(data)]))["marked"])
 
-    yes = ["see www.some-page.at now", "shop.somethingverylong/path/x", "name.com", "it is 12.50 eur", "eur 1234567,99 only", "€ 5,00", "12.999999999 usd", "http://a.b"]
-    no = ["the end.then we went", "1.50 of them", "and/or", "3.5/4 points", "we got 12.50 and euro"]
+    yes = ["see www.some-page.at now", "shop.somethingverylong/path/x", "name.com", "it is 12.50 eur", "eur 1234567,99 only", "€ 5,00", "12.999999999 usd", "http://a.b", "read this (de.some-page.xyz)", "(my-page.shop)", "one.two.three"]
+    no = ["the end.then we went", "1.50 of them", "and/or", "(see 1.5)", "e.g.this", "3.5/4 points", "we got 12.50 and euro"]
     assert [marked(t) for t in yes] == [1] * len(yes) and [marked(t) for t in no] == [0] * len(no)
 
 
