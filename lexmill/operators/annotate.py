@@ -116,8 +116,16 @@ def dep_sql(tag: str, before: str, after: str) -> str:
 STOP = " ".join(CLOSED[k] for k in ("DT", "PRP", "PRP$", "MD", "TO", "IN", "RP", "CC", "WDT", "WP", "WP$", "WRB", "EX")) + " is are am was were be been has have had do does did not very"
 
 
-def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """texts to tokens. Null and blank texts give no tokens; a repeated key gives its tokens again; other columns are left out."""
+#: Columns of a head that annotate() adds where asked.
+HEADS = ("head_text", "head_lemma", "head_tag")
+
+
+def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text", heads: bool = False) -> DataFrame:
+    """texts to tokens. Null and blank texts give no tokens; a repeated key gives its tokens again; other columns are left out.
+
+    heads adds the text, lemma and tag of each token's head, looked up within its sentence, so that nobody has to join
+    tokens with themselves.
+    """
     rows = texts.select(F.col(key).alias("doc_id"), F.posexplode(sentences(F.col(text))).alias("sent_id", "_s"))
 
     def step(rows: DataFrame, value: F.Column) -> DataFrame:
@@ -125,18 +133,28 @@ def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         pass out wherever the next one mentions it, which would run it again for every token."""
         return rows.select("doc_id", "sent_id", F.explode(F.array(value)).alias("_t"))
 
+    def made(rows: DataFrame, **fields: str) -> DataFrame:
+        return step(rows, F.expr("transform(_t, (x, i) -> named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + "))"))
+
+    base = {"text": "x.text", "lower": "x.lower", "tag": "x.tag"}
     rows = step(rows, F.regexp_extract_all(F.col("_s"), F.lit(TOKEN), F.lit(0)))
-    rows = step(rows, F.expr("transform(_t, x -> named_struct('text', x, 'lower', lower(x)))"))
-    rows = step(rows, F.expr(f"transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', {tag_sql('x.text', 'x.lower', 'i')}))"))
-    rows = step(rows, F.expr("transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', x.tag, 'before', get(_t, i - 1).tag))"))
-    rows = step(rows, F.expr(f"transform(_t, x -> named_struct('text', x.text, 'lower', x.lower, 'tag', {retag_sql('x.tag', 'x.before')}))"))
-    rows = step(rows, F.expr("transform(_t, (x, i) -> named_struct('text', x.text, 'lower', x.lower, 'tag', x.tag, 'before', get(_t, i - 1).tag, 'after', get(_t, i + 1).tag))"))
-    flat = rows.select("doc_id", "sent_id", F.posexplode("_t").alias("pos", "t")).select("doc_id", "sent_id", "pos", "t.*").withColumn("link", F.expr(dep_sql("tag", "before", "after")))
+    rows = made(rows, text="x", lower="lower(x)")
+    rows = made(rows, **base | {"tag": tag_sql("x.text", "x.lower", "i")})
+    rows = made(rows, **base, before="get(_t, i - 1).tag")
+    rows = made(rows, **base | {"tag": retag_sql("x.tag", "x.before")})
+    rows = made(rows, **base, before="get(_t, i - 1).tag", after="get(_t, i + 1).tag")
+    # The long rules run here and not on exploded tokens: compiled together they make a method too long for the JVM to optimise.
+    rows = made(rows, **base, lemma=lemma_sql("x.lower", "x.tag"), link=dep_sql("x.tag", "x.before", "x.after"))
+    more = ()
+    if heads:
+        head = "get(_t, i + CASE left(x.link, 1) WHEN 'n' THEN 1 WHEN 'p' THEN -1 ELSE 0 END)"
+        rows, more = made(rows, **base, lemma="x.lemma", link="x.link", **{k: f"{head}.{k[5:]}" for k in HEADS}), HEADS
+    flat = rows.select("doc_id", "sent_id", F.posexplode("_t").alias("pos", "t")).select("doc_id", "sent_id", "pos", "t.*")
     return flat.select(
-        "doc_id", "sent_id", "pos", "text", "lower", F.expr(lemma_sql("lower", "tag")).alias("lemma"), F.expr(upos_sql("tag")).alias("upos"), "tag",
+        "doc_id", "sent_id", "pos", "text", "lower", "lemma", F.expr(upos_sql("tag")).alias("upos"), "tag",
         F.expr("substr(link, 3)").alias("dep"), F.expr("pos + CASE left(link, 1) WHEN 'n' THEN 1 WHEN 'p' THEN -1 ELSE 0 END").alias("head_pos"),
         F.expr(f"lower IN {_in(STOP)}").alias("is_stop"), (F.col("tag") == ".").alias("is_punct"),
-        F.when(F.col("tag") == "NNP", "NAME").otherwise("").alias("ent_type"), F.col("tag").isin("PRP", "PRP$").alias("in_coref"),
+        F.when(F.col("tag") == "NNP", "NAME").otherwise("").alias("ent_type"), F.col("tag").isin("PRP", "PRP$").alias("in_coref"), *more,
     )
 
 

@@ -70,9 +70,16 @@ def collapsed_tag(tag: Column) -> Column:
 
 
 def dependencies(tokens: DataFrame) -> DataFrame:
-    """Tokens joined to their heads: (doc_id, sent_id, pos, head_text, head_lemma, head_tag, dep, text, lemma, tag)."""
+    """Tokens with their heads: (doc_id, sent_id, pos, head_text, head_lemma, head_tag, dep, text, lemma, tag).
+
+    A token table that brings the columns of the heads (annotate(heads=True)) is only projected; another one is joined with
+    itself. Tokens whose head is not in their sentence give no row.
+    """
+    names = ("doc_id", "sent_id", "pos", "head_text", "head_lemma", "head_tag", "dep", "text", "lemma", "tag")
+    if "head_lemma" in tokens.columns:
+        return tokens.where("head_lemma IS NOT NULL").select(*names)
     heads = tokens.select("doc_id", "sent_id", F.col("pos").alias("head_pos"), F.col("text").alias("head_text"), F.col("lemma").alias("head_lemma"), F.col("tag").alias("head_tag"))
-    return tokens.join(heads, ["doc_id", "sent_id", "head_pos"]).select("doc_id", "sent_id", "pos", "head_text", "head_lemma", "head_tag", "dep", "text", "lemma", "tag")
+    return tokens.join(heads, ["doc_id", "sent_id", "head_pos"]).select(*names)
 
 
 def collocations(tokens: DataFrame, active_only: bool = True, direction_fix: bool = False) -> DataFrame:

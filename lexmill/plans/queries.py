@@ -52,8 +52,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate(docs(spark, sf_dir))
+def tokens(spark: SparkSession, sf_dir: str, heads: bool = False) -> DataFrame:
+    return annotate(docs(spark, sf_dir), heads=heads)
 
 
 def grade(column: str) -> F.Column:
@@ -274,23 +274,23 @@ edges AS (SELECT lempos1, lempos2, type, raw_freq, ln(raw_freq * n / (r * c)) AS
 
 
 def _found(spark, sf_dir):
-    return stored(collocations.collocations(tokens(spark, sf_dir)))
+    return stored(collocations.collocations(tokens(spark, sf_dir, heads=True)))
 
 
 def _preprocessed(spark, sf_dir):
     """Collocations of the preprocessed texts, as the pipeline looks for them; _found is held to its SQL, which takes the raw tokens."""
     texts = docs(spark, sf_dir)
-    return stored(collocations.collocations(annotate(accuracy.preprocessed(texts, stored(lexicon.dictionary(texts))))))
+    return stored(collocations.collocations(annotate(accuracy.preprocessed(texts, stored(lexicon.dictionary(texts))), heads=True)))
 
 
 @query(f"WITH {_FOUND} SELECT * FROM deps")
 def dependencies(spark, sf_dir):
-    return collocations.dependencies(tokens(spark, sf_dir))
+    return collocations.dependencies(tokens(spark, sf_dir, heads=True))
 
 
 @query(f"WITH {_FOUND} SELECT * FROM found")
 def collocation_match(spark, sf_dir):
-    return collocations.collocations(tokens(spark, sf_dir))
+    return collocations.collocations(tokens(spark, sf_dir, heads=True))
 
 
 @query()
