@@ -11,43 +11,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Contractions by ending, and those that follow no ending.
-NOT = "are could did does do had has have is might must need ought should was were would may".split()
-WILL = "he I it she they we what who you how".split()
-HAVE = "could I might must should so they to we what when where who why will would you".split()
-IS = "he how it she so that there what when where who why".split()
-HAD = "he I it she that there they we you".split()
-ARE = "they we what you".split()
-OTHER = {
-    "ain't": "am not", "can't": "cannot", "'cause": "because", "how'd": "how did", "I'm": "I am", "let's": "let us",
-    "ma'am": "madam", "o'clock": "of the clock", "shan't": "shall not", "sha'n't": "shall not", "where'd": "where did",
-    "won't": "will not", "y'all": "you all", "'n'": " and ",
+#: Contractions and what they stand for. Fixed values.
+CONTRACTIONS = {
+    "'cause": "because", "'n'": " and ", "ain't": "am not", "aren't": "are not", "can't": "cannot", "could've": "could have", "couldn't": "could not",
+    "didn't": "did not", "doesn't": "does not", "don't": "do not", "hadn't": "had not", "hasn't": "has not", "haven't": "have not", "he'd": "he had",
+    "he'll": "he will", "he's": "he is", "how'd": "how did", "how'll": "how will", "how's": "how is", "I'd": "I had", "I'll": "I will", "I'm": "I am",
+    "I've": "I have", "isn't": "is not", "it'd": "it had", "it'll": "it will", "it's": "it is", "let's": "let us", "ma'am": "madam",
+    "mayn't": "may not", "might've": "might have", "mightn't": "might not", "must've": "must have", "mustn't": "must not", "needn't": "need not",
+    "o'clock": "of the clock", "oughtn't": "ought not", "sha'n't": "shall not", "shan't": "shall not", "she'd": "she had", "she'll": "she will",
+    "she's": "she is", "should've": "should have", "shouldn't": "should not", "so's": "so is", "so've": "so have", "that'd": "that had",
+    "that's": "that is", "there'd": "there had", "there's": "there is", "they'd": "they had", "they'll": "they will", "they're": "they are",
+    "they've": "they have", "to've": "to have", "wasn't": "was not", "we'd": "we had", "we'll": "we will", "we're": "we are", "we've": "we have",
+    "weren't": "were not", "what'll": "what will", "what're": "what are", "what's": "what is", "what've": "what have", "when's": "when is",
+    "when've": "when have", "where'd": "where did", "where's": "where is", "where've": "where have", "who'll": "who will", "who's": "who is",
+    "who've": "who have", "why's": "why is", "why've": "why have", "will've": "will have", "won't": "will not", "would've": "would have",
+    "wouldn't": "would not", "y'all": "you all", "you'd": "you had", "you'll": "you will", "you're": "you are", "you've": "you have",
 }
-
-
-def contractions() -> dict[str, str]:
-    """All contractions. Doubled forms (couldn't've) are never reached, as their first part matches before them."""
-    out = dict(OTHER)
-    for stems, ending, full in ((NOT, "n't", "not"), (WILL, "'ll", "will"), (HAVE, "'ve", "have"), (IS, "'s", "is"), (HAD, "'d", "had"), (ARE, "'re", "are")):
-        out |= {stem + ending: f"{stem} {full}" for stem in stems}
-    return out
+_ANY = re.compile("|".join(map(re.escape, CONTRACTIONS)), re.IGNORECASE)
 
 
 def expanded(text: str | None) -> str | None:
+    """A form of I in another case has no entry and drops out, as the table's keys are looked up as written or in lower case."""
     if text is None:
         return None
-    table = contractions()
-    anyone = re.compile("|".join(map(re.escape, table)), re.IGNORECASE)
-    # A form of I in another case has no entry and drops out, as the table's keys are looked up as written or in lower case.
-    return anyone.sub(lambda m: table.get(m[0]) or table.get(m[0].lower()) or "", text.replace("´", "'")).replace("'", "")
+    return _ANY.sub(lambda m: CONTRACTIONS.get(m[0]) or CONTRACTIONS.get(m[0].lower()) or "", text.replace("´", "'")).replace("'", "")
 
 
 @F.pandas_udf(StringType())
 def _expand(text: pd.Series) -> pd.Series:
-    table = contractions()
-    anyone = re.compile("|".join(map(re.escape, table)), re.IGNORECASE)
-    swap = lambda m: table.get(m[0]) or table.get(m[0].lower()) or ""
-    return text.map(lambda x: None if x is None else anyone.sub(swap, x.replace("´", "'")).replace("'", ""))
+    return text.map(expanded)
 
 
 @F.pandas_udf(StringType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.python_text import expand_contractions
 from lexmill.functions.text import words as words_of
+from lexmill.operators.lexicon import checked
 from lexmill.session import stored
 
 
@@ -14,17 +15,19 @@ def spelling_errors(tokens: DataFrame, *dictionaries: DataFrame) -> DataFrame:
     """Tokens of ASCII letters that are no entity and stand in none of the dictionaries (word, lower case)."""
     out = tokens.where((F.col("ent_type") == "") & F.col("text").rlike("^[A-Za-z]+$"))
     for words in dictionaries:
-        out = out.join(words.select(F.col("word").alias("lower")), "lower", "left_anti")
+        out = out.join(checked(words.select(F.col("word").alias("lower"))), "lower", "left_anti")
     return out
 
 
 def lexical_accuracy(tokens: DataFrame, *dictionaries: DataFrame) -> DataFrame:
     """tokens to (doc_id, LA_E, LA_ER): spelling errors, and their share of all tokens."""
-    n = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
-    wrong = spelling_errors(tokens, *dictionaries).groupBy("doc_id").agg(F.count("*").alias("e"))
-    return n.join(wrong, "doc_id", "left").select(
-        "doc_id", F.coalesce("e", F.lit(0)).alias("LA_E"), (F.coalesce("e", F.lit(0)) / F.col("n")).alias("LA_ER")
-    )
+    wrong = (F.col("ent_type") == "") & F.col("text").rlike("^[A-Za-z]+$")
+    rows = tokens.select("doc_id", "lower", wrong.alias("_wrong"))
+    for i, words in enumerate(dictionaries):
+        known = checked(words.select(F.col("word").alias("lower"), F.lit(True).alias(f"_in{i}")).distinct())
+        rows = rows.join(known, "lower", "left").withColumn("_wrong", F.col("_wrong") & F.col(f"_in{i}").isNull()).drop(f"_in{i}")
+    e = F.count_if("_wrong")
+    return rows.groupBy("doc_id").agg(e.alias("LA_E"), (e / F.count("*")).alias("LA_ER"))
 
 
 def _deletions(word: str, letters: int = 1) -> F.Column:
@@ -56,7 +59,7 @@ def corrections(wrong: DataFrame, dictionary: DataFrame, edits: int = 2) -> Data
     if edits > 1:
         near = near.select("word", "best", "freq").distinct()
         near = near.withColumn("_d", F.expr(f"""CASE WHEN levenshtein(word, best) = 1 OR array_contains({_swaps("word")}, best) THEN 1 WHEN levenshtein(word, best) = 2
-          OR exists({_swaps("word")}, x -> levenshtein(x, best) = 1) OR arrays_overlap({_swaps("word")}, {_swaps("best")}) THEN 2 END""")).where("_d IS NOT NULL")
+          OR exists({_swaps("word")}, x -> levenshtein(x, best) = 1) OR exists({_swaps("best")}, x -> levenshtein(word, x) = 1) OR arrays_overlap({_swaps("word")}, {_swaps("best")}) THEN 2 END""")).where("_d IS NOT NULL")
     else:
         near = near.where(F.levenshtein("word", "best") == 1).withColumn("_d", F.lit(1))
     return near.groupBy("word").agg(F.min_by("best", F.struct("_d", -F.col("freq"), F.col("best"))).alias("best"))

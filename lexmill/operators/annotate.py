@@ -117,7 +117,7 @@ STOP = " ".join(CLOSED[k] for k in ("DT", "PRP", "PRP$", "MD", "TO", "IN", "RP",
 
 
 #: Columns of a head that annotate() adds where asked.
-HEADS = ("head_text", "head_lemma", "head_tag")
+HEADS = ("head_text", "head_lower", "head_lemma", "head_tag", "head_dep")
 
 
 def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text", heads: bool = False) -> DataFrame:
@@ -148,7 +148,7 @@ def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text", heads: b
     more = ()
     if heads:
         head = "get(_t, i + CASE left(x.link, 1) WHEN 'n' THEN 1 WHEN 'p' THEN -1 ELSE 0 END)"
-        rows, more = made(rows, **base, lemma="x.lemma", link="x.link", **{k: f"{head}.{k[5:]}" for k in HEADS}), HEADS
+        rows, more = made(rows, **base, lemma="x.lemma", link="x.link", **{k: f"{head}.{k[5:]}" if k != "head_dep" else f"substr({head}.link, 3)" for k in HEADS}), HEADS
     flat = rows.select("doc_id", "sent_id", F.posexplode("_t").alias("pos", "t")).select("doc_id", "sent_id", "pos", "t.*")
     return flat.select(
         "doc_id", "sent_id", "pos", "text", "lower", "lemma", F.expr(upos_sql("tag")).alias("upos"), "tag",
@@ -172,7 +172,7 @@ def annotate_sql(table: str, key: str = "doc_id", text: str = "text") -> str:
 ), tag1 AS (SELECT *, {tag_sql('text', 'lower', 'pos')} AS tag1 FROM raws
 ), tag2 AS (SELECT doc_id, sent_id, pos, text, lower, {retag_sql('tag1', f'lag(tag1) {over}')} AS tag FROM tag1
 ), links AS (SELECT *, {dep_sql('tag', f'lag(tag) {over}', f'lead(tag) {over}')} AS link FROM tag2
-), tokens AS (
+), tokens AS MATERIALIZED (
   SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, CAST(pos AS INTEGER) AS pos, text, lower, {lemma_sql('lower', 'tag')} AS lemma, {upos_sql('tag')} AS upos, tag,
     substr(link, 3) AS dep, CAST(pos + CASE left(link, 1) WHEN 'n' THEN 1 WHEN 'p' THEN -1 ELSE 0 END AS INTEGER) AS head_pos,
     lower IN {_in(STOP)} AS is_stop, tag = '.' AS is_punct, CASE WHEN tag = 'NNP' THEN 'NAME' ELSE '' END AS ent_type, tag IN ('PRP', 'PRP$') AS in_coref FROM links)"""

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows up to which a list of words is broadcast (some 100 bytes each in a hashed relation: 10 MB); longer ones are joined by shuffle.
+SMALL = 100_000
+
+
+def checked(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it has no more than SMALL rows, and merged otherwise, whatever the optimizer estimates."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table.hint("merge")
+
+
 #: Rows of a ranked list; bands of it are [0, 3000), [3000, 6000), [6000, 9000).
 RANKS = 9000
 

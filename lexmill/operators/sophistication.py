@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.lexicon import checked
+from lexmill.session import stored
+
 #: Bands of the general ranked list. Fixed values.
 BANDS = {"CGA1": (0, 3000), "CGA2": (3000, 6000), "CGA3": (6000, 9000)}
 #: Labels of the mean frequencies in the order of the lists they are taken from: academic, technical, general bands 1 to 3.
 MEANS = ("LS_FOMN_NG", "LS_FOMN_NA", "LS_FOMN_TC", "LS_FOMN_BS", "LS_FOMN_CA")
-#: Rows up to which a list is broadcast; longer ones are joined by shuffle.
-SMALL = 100_000
-
-
-def _side(table: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(table) if size <= SMALL else table
 
 
 def lexical_sophistication(tokens: DataFrame, word_lists: dict[str, DataFrame], ranked: dict[str, DataFrame]) -> DataFrame:
@@ -26,27 +25,37 @@ def lexical_sophistication(tokens: DataFrame, word_lists: dict[str, DataFrame],
     reduced to distinct pairs of lemma and tag before any list is joined; texts without tokens give no row.
     """
     bag = tokens.groupBy("doc_id", F.lower("lemma").alias("word"), "tag").agg(F.count("*").alias("f"))
-    size = bag.groupBy("doc_id").agg(F.sum("f").alias("n"))
-    for name, table in word_lists.items():
-        rows = table.select("word").distinct().withColumn(f"in_{name}", F.lit(True))
-        bag = bag.join(_side(rows, rows.count()), "word", "left")
     bands = {f"{k}": (r, 0, 2**31 - 1) for k, r in ranked.items() if k != "CG"} | {k: (ranked["CG"], *b) for k, b in BANDS.items()}
-    for name, (table, low, high) in bands.items():
-        part = table.where((F.col("rank") >= low) & (F.col("rank") < high)).groupBy("word", "tag").agg(F.sum("freq").alias(f"freq_{name}"))
-        bag = bag.join(_side(part, part.count()), ["word", "tag"], "left")
-    sums = [F.count_distinct(F.when(F.col(f"in_{k}"), F.col("word"))).alias(f"m_{k}") for k in word_lists]
-    sums += [x for k in bands for x in (F.count(f"freq_{k}").alias(f"m_{k}"), F.sum(f"freq_{k}").alias(f"s_{k}"))]
+    # One lexicon of all lists: a row a word, with the lists that hold it and the frequencies of its tags.
+    rows = [t.select("word", F.lit(k).alias("list"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("double").alias("freq")) for k, t in word_lists.items()]
+    rows += [t.where((F.col("rank") >= low) & (F.col("rank") < high)).select("word", F.lit(k).alias("list"), "tag", F.col("freq").cast("double").alias("freq")) for k, (t, low, high) in bands.items()]
+    lexicon = reduce(DataFrame.union, rows).where("word IS NOT NULL").groupBy("word", "tag").agg(
+        *(F.max(F.col("list") == k).alias(f"in_{k}") for k in word_lists), *(F.sum(F.when(F.col("list") == k, F.col("freq"))).alias(f"freq_{k}") for k in bands)
+    )
+    tags = F.map_from_entries(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("tag", F.struct(*(f"freq_{k}" for k in bands)).alias("f")))))
+    lexicon = lexicon.groupBy("word").agg(*(F.max(f"in_{k}").alias(f"in_{k}") for k in word_lists), tags.alias("tags"))
+    bag = bag.join(checked(stored(lexicon)), "word", "left").withColumn("_f", F.col("tags")[F.col("tag")])
+    # A word is once in a list for a document, whatever its tags: its first tag counts for it.
+    first = F.col("tag") == F.col("_first")
+    bag = bag.withColumn("_first", F.min("tag").over(Window.partitionBy("doc_id", "word")))
+    sums = [F.count_if(F.col(f"in_{k}") & first).alias(f"m_{k}") for k in word_lists]
+    sums += [x for k in bands for x in (F.count(F.col(f"_f.freq_{k}")).alias(f"m_{k}"), F.sum(F.col(f"_f.freq_{k}")).alias(f"s_{k}"))]
     out = bag.groupBy("doc_id").agg(F.sum("f").alias("n"), *sums)
     shares = [(F.col(f"m_{k}") / F.col("n")).alias(f"LS_FPC_{k}") for k in [*word_lists, *bands]]
     means = [F.coalesce(F.try_divide(f"s_{k}", f"m_{k}"), F.lit(0.0)).alias(label) for label, k in zip(MEANS, bands)]
     return out.select("doc_id", *shares, *means)
 
 
-def matched_words(tokens: DataFrame, word_list: DataFrame) -> DataFrame:
-    """tokens and (word) to (doc_id, words): the distinct lemmas of a list that each document holds, sorted."""
-    rows = word_list.select("word").distinct()
-    found = tokens.select("doc_id", F.lower("lemma").alias("word")).distinct().join(_side(rows, rows.count()), "word", "left_semi")
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+def matched_words(tokens: DataFrame, word_lists: dict[str, DataFrame]) -> DataFrame:
+    """tokens and lists (word) by name to (list, doc_id, words): the distinct lemmas of each list that each document holds, sorted.
+
+    Documents without a match in a list give no row for it.
+    """
+    rows = reduce(DataFrame.union, (t.select("word", F.lit(k).alias("list")) for k, t in word_lists.items()))
+    lists = rows.groupBy("word").agg(F.collect_set("list").alias("lists"))  # a word's lists are as many as the lists at most
+    found = tokens.select("doc_id", F.lower("lemma").alias("word")).distinct().join(checked(lists), "word")
+    found = found.select("doc_id", "word", F.explode("lists").alias("list"))
+    return found.groupBy("list", "doc_id").agg(F.array_sort(F.collect_list("word")).alias("words"))
 
 
 def word_shape(tokens: DataFrame) -> DataFrame:

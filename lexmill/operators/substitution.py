@@ -45,7 +45,15 @@ def candidates(targets: DataFrame, *sources: DataFrame) -> DataFrame:
 
 
 def contexts(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, pos, context): for each token its head, as <dep>I_<word>, and its dependents, as <dep of the token>_<word>."""
+    """(doc_id, sent_id, pos, context): for each token its head, as <dep>I_<word>, and its dependents, as <dep of the token>_<word>.
+
+    A token table with the columns of the heads (annotate(heads=True)) is only projected; another one is joined with itself.
+    """
+    if "head_lower" in tokens.columns:
+        t = tokens.where("head_pos <> pos AND head_lower IS NOT NULL")
+        one = F.struct("pos", F.concat(F.lower("dep"), F.lit("I_"), F.col("head_lower")).alias("context"))
+        two = F.struct(F.col("head_pos").alias("pos"), F.concat(F.lower("head_dep"), F.lit("_"), F.col("lower")).alias("context"))
+        return t.select("doc_id", "sent_id", F.explode(F.array(one, two)).alias("x")).select("doc_id", "sent_id", "x.pos", "x.context")
     t = tokens.select("doc_id", "sent_id", "pos", "dep", "head_pos", "lower")
     heads = t.select("doc_id", "sent_id", F.col("pos").alias("head_pos"), F.col("lower").alias("_h"))
     up = t.where("head_pos <> pos").join(heads, ["doc_id", "sent_id", "head_pos"]).select("doc_id", "sent_id", "pos", F.concat(F.lower("dep"), F.lit("I_"), F.col("_h")).alias("context"))

@@ -110,7 +110,7 @@ class Pipeline:
             adjectives = r.adjectives if r.adjectives is not None else stored(tokens.where("tag = 'JJ'").select(F.col("lemma").alias("word")).distinct())
             tables.append(taaled.taaled_indices(taaled.classify(tokens, adjectives, real)))
         if "repetition_detector" in has:
-            tables.append(repetition.repetition_counts(repetition.repetitions(tokens))[0])
+            tables.append(repetition.repetition_counts(repetition.repetition_cells(tokens))[0])
         tables += [f(tokens) for f in self.custom.values()]
         out = texts.select("doc_id")
         for t in tables:

@@ -137,7 +137,7 @@ classified AS (SELECT doc_id, sent_id, pos, CASE WHEN item LIKE '%\\_fw' ESCAPE
 
 
 def _classified(spark, sf_dir):
-    t = tokens(spark, sf_dir)
+    t = stored(tokens(spark, sf_dir).select("doc_id", "sent_id", "pos", "lower", "lemma", "tag", "dep"))
     adjectives = t.where("tag = 'JJ'").select(F.col("lemma").alias("word")).distinct()
     return taaled.classify(t, adjectives, lexicon.dictionary(docs(spark, sf_dir)))
 
@@ -168,7 +168,9 @@ ranked AS (SELECT CAST(row_number() OVER (ORDER BY freq DESC, word, tag) - 1 AS
 
 
 def _ranked(spark, sf_dir):
-    return stored(lexicon.ranked_list(tokens(spark, sf_dir)))
+    """(tokens, ranked list), the tokens stored once for both."""
+    t = stored(tokens(spark, sf_dir).select("doc_id", "lemma", "tag", "is_punct"))
+    return t, stored(lexicon.ranked_list(t))
 
 
 @query(f"WITH {_RANKED} SELECT * FROM ranked")
@@ -187,15 +189,25 @@ g AS (SELECT doc_id, sum(f) AS n, {", ".join(f"count(DISTINCT l_{k}.word) AS m_{
   FROM bag {" ".join(f"LEFT JOIN l_{k} ON l_{k}.word = bag.word" for k in _LISTS)} {" ".join(f"LEFT JOIN r_{k} ON r_{k}.word = bag.word AND r_{k}.tag = bag.tag" for k in _PARTS)} GROUP BY doc_id)
 SELECT doc_id, {", ".join(f'round(m_{k} / n, 6) AS "LS_FPC_{k}"' for k in [*_LISTS, *_PARTS])}, {", ".join(f'round(coalesce(s_{k} / nullif(m_{k}, 0), 0), 6) AS "{m}"' for m, k in zip(sophistication.MEANS, _PARTS))} FROM g""")
 def ls_coverage(spark, sf_dir):
-    r = _ranked(spark, sf_dir)
+    t, r = _ranked(spark, sf_dir)
     lists = {k: lexicon.word_list(r, *b) for k, b in _LISTS.items()}
-    out = sophistication.lexical_sophistication(tokens(spark, sf_dir), lists, {"CA": r.where("rank % 2 = 0"), "CT": r.where("rank % 2 = 1"), "CG": r})
+    out = sophistication.lexical_sophistication(t, lists, {"CA": r.where("rank % 2 = 0"), "CT": r.where("rank % 2 = 1"), "CG": r})
     return rounded(out, *out.columns[1:])
 
 
-@query(f"""WITH {_RANKED} SELECT doc_id, list_sort(list(DISTINCT lower(lemma))) AS words FROM tokens WHERE lower(lemma) IN (SELECT word FROM ranked WHERE rank < 150) GROUP BY doc_id""")
+_MATCHED = _LISTS | _PARTS
+
+
+@query(f"WITH {_RANKED} " + " UNION ALL ".join(
+    f"SELECT '{k}' AS list, doc_id, list_sort(list(DISTINCT lower(lemma))) AS words FROM tokens WHERE lower(lemma) IN "
+    f"(SELECT word FROM ranked WHERE rank >= {a} AND rank < {b} AND {'rank % 2 = 0' if k == 'CA' else 'rank % 2 = 1' if k == 'CT' else 'TRUE'}) GROUP BY doc_id"
+    for k, (a, b) in _MATCHED.items()
+))
 def ls_matched_words(spark, sf_dir):
-    return sophistication.matched_words(tokens(spark, sf_dir), lexicon.word_list(_ranked(spark, sf_dir), 0, 150))
+    """Of each of the nine lists."""
+    t, r = _ranked(spark, sf_dir)
+    lists = {k: lexicon.word_list({"CA": r.where("rank % 2 = 0"), "CT": r.where("rank % 2 = 1")}.get(k, r), *b) for k, b in _MATCHED.items()}
+    return sophistication.matched_words(t, lists)
 
 
 @query(f"""WITH {S.TOKENS} SELECT doc_id, round(avg(length(lemma)), 6) AS "LD_AVG_CH", round(avg(greatest(len(regexp_extract_all(lower(lemma), '[aeiouy]+')), 1)), 6) AS "LD_NUM_SYLL"
@@ -382,7 +394,7 @@ s AS (SELECT doc_id, sent_id, count(*) FILTER (is_repetition) AS r, count(DISTIN
 v AS (SELECT 'essay' AS scope, r AS v FROM d UNION ALL SELECT 'essay_words', w FROM d UNION ALL SELECT 'sentence', r FROM s WHERE r > 0 UNION ALL SELECT 'sentence_words', w FROM s)
 SELECT scope, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, CAST(median(v) AS DOUBLE) AS median, round(100.0 * count(*) FILTER (v = 0) / count(*), 6) AS zeros_percent FROM v GROUP BY scope""")
 def repetition_stats(spark, sf_dir):
-    return rounded(repetition.repetition_statistics(repetition.repetitions(tokens(spark, sf_dir))), "mean", "zeros_percent")
+    return rounded(repetition.repetition_statistics(tokens(spark, sf_dir)), "mean", "zeros_percent")
 
 
 @query(f"""WITH {S.TOKENS} SELECT doc_id, lower(lemma) AS lemma, count(*) AS n FROM tokens WHERE upos IN ('NOUN', 'VERB', 'ADJ', 'ADV') AND NOT in_coref GROUP BY ALL HAVING count(*) > 1""")
@@ -857,7 +869,7 @@ def substitution_scores_all(spark, sf_dir):
 down AS (SELECT t.doc_id, t.sent_id, t.pos, lower(t.dep) || '_' || c.lower AS context FROM tokens t JOIN tokens c ON c.doc_id = t.doc_id AND c.sent_id = t.sent_id AND c.head_pos = t.pos AND c.pos <> t.pos)
 SELECT * FROM up UNION ALL SELECT * FROM down""")
 def context_items(spark, sf_dir):
-    return substitution.contexts(tokens(spark, sf_dir))
+    return substitution.contexts(tokens(spark, sf_dir, heads=True))
 
 
 @query("""WITH RECURSIVE r(word, related, d) AS (SELECT n_name, n_name, 0 FROM nation UNION SELECT r.word, e.t, d + 1 FROM r JOIN (SELECT n_name AS s, r_name AS t FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey) e ON e.s = r.related WHERE d < 2)
