@@ -7,6 +7,8 @@ is_stop, is_punct, ent_type, in_coref. The rules are SQL expressions; nothing is
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,29 +129,32 @@ def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text", heads: b
     tokens with themselves.
     """
     rows = texts.select(F.col(key).alias("doc_id"), F.posexplode(sentences(F.col(text))).alias("sent_id", "_s"))
-
-    def step(rows: DataFrame, value: F.Column) -> DataFrame:
-        """One pass over the tokens of a sentence. Going through a generator of one row keeps the optimizer from writing the
-        pass out wherever the next one mentions it, which would run it again for every token."""
-        return rows.select("doc_id", "sent_id", F.explode(F.array(value)).alias("_t"))
-
-    def made(rows: DataFrame, **fields: str) -> DataFrame:
-        return step(rows, F.expr("transform(_t, (x, i) -> named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + "))"))
-
-    base = {"text": "x.text", "lower": "x.lower", "tag": "x.tag"}
-    rows = step(rows, F.regexp_extract_all(F.col("_s"), F.lit(TOKEN), F.lit(0)))
-    rows = made(rows, text="x", lower="lower(x)")
-    rows = made(rows, **base | {"tag": tag_sql("x.text", "x.lower", "i")})
-    rows = made(rows, **base, before="get(_t, i - 1).tag")
-    rows = made(rows, **base | {"tag": retag_sql("x.tag", "x.before")})
-    rows = made(rows, **base, before="get(_t, i - 1).tag", after="get(_t, i + 1).tag")
-    # The long rules run here and not on exploded tokens: compiled together they make a method too long for the JVM to optimise.
-    rows = made(rows, **base, lemma=lemma_sql("x.lower", "x.tag"), link=dep_sql("x.tag", "x.before", "x.after"))
+    have = []
+
+    def made(**arrays: str) -> None:
+        """One pass over the words of a sentence for each array. Going through a generator of one row keeps the optimizer from
+        writing an array out wherever a later one mentions it, which would make it again for every token."""
+        nonlocal rows
+        have.extend(k for k in arrays if k not in have)
+        rows = rows.selectExpr("doc_id", "sent_id", "inline(array(named_struct(" + ", ".join(f"'{k}', {arrays.get(k, k)}" for k in have) + ")))")
+
+    head = "i + if(left(k, 1) = 'n', 1, if(left(k, 1) = 'p', -1, 0))"
+    rows = rows.select("doc_id", "sent_id", F.explode(F.array(F.regexp_extract_all(F.col("_s"), F.lit(TOKEN), F.lit(0)))).alias("_text"))
+    have.append("_text")
+    made(_lower="transform(_text, x -> lower(x))")
+    made(_tag=f"transform(_lower, (x, i) -> {_chain(tag_sql('get(_text, i)', 'x', 'i'))})")
+    made(_tag=f"transform(_tag, (x, i) -> {_chain(retag_sql('x', 'get(_tag, i - 1)'))})")
+    # The long rules run over arrays and not on exploded tokens: compiled together they make a method too long for the JVM to optimise.
+    made(
+        _lemma=f"transform(_lower, (x, i) -> {_chain(lemma_sql('x', 'get(_tag, i)'))})",
+        _link=f"transform(_tag, (x, i) -> {_chain(dep_sql('x', 'get(_tag, i - 1)', 'get(_tag, i + 1)'))})",
+    )
     more = ()
     if heads:
-        head = "get(_t, i + CASE left(x.link, 1) WHEN 'n' THEN 1 WHEN 'p' THEN -1 ELSE 0 END)"
-        rows, more = made(rows, **base, lemma="x.lemma", link="x.link", **{k: f"{head}.{k[5:]}" if k != "head_dep" else f"substr({head}.link, 3)" for k in HEADS}), HEADS
-    flat = rows.select("doc_id", "sent_id", F.posexplode("_t").alias("pos", "t")).select("doc_id", "sent_id", "pos", "t.*")
+        made(_head=f"transform(_link, (k, i) -> {head})")
+        made(**{f"_{k}": f"transform(_head, h -> get({'_link' if k == 'head_dep' else k[4:]}, h))" for k in HEADS})
+        more = tuple(F.expr("substr(head_dep, 3)").alias(k) if k == "head_dep" else k for k in HEADS)
+    flat = rows.select("doc_id", "sent_id", F.posexplode(F.arrays_zip(*have)).alias("pos", "t")).select("doc_id", "sent_id", "pos", *(F.col(f"t.{k}").alias(k[1:]) for k in have))
     return flat.select(
         "doc_id", "sent_id", "pos", "text", "lower", "lemma", F.expr(upos_sql("tag")).alias("upos"), "tag",
         F.expr("substr(link, 3)").alias("dep"), F.expr("pos + CASE left(link, 1) WHEN 'n' THEN 1 WHEN 'p' THEN -1 ELSE 0 END").alias("head_pos"),
@@ -158,6 +163,14 @@ def annotate(texts: DataFrame, key: str = "doc_id", text: str = "text", heads: b
     )
 
 
+def _chain(case: str) -> str:
+    """A CASE written by this module as nested IFs: inside lambdas Spark interprets a CASE by walking its list of branches once for each."""
+    body = case.strip()[len("CASE"):-len("END")].strip()
+    body, last = body.rsplit(" ELSE ", 1)
+    branches = [x.split(" THEN ") for x in re.split(r"\s*\bWHEN\b ", body)[1:]]
+    return "".join(f"if({when}, {then.strip()}, " for when, then in branches) + last + ")" * len(branches)
+
+
 def annotate_sql(table: str, key: str = "doc_id", text: str = "text") -> str:
     """The same tokens as ANSI SQL: a chain of common table expressions ending in `tokens`."""
     over = "OVER (PARTITION BY doc_id, sent_id ORDER BY pos)"
