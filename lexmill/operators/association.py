@@ -10,12 +10,12 @@ TINY = 1e-33
 MEASURES = ("mi", "mi3", "t", "z", "chi2")
 
 
-def scored(found: DataFrame, edges: DataFrame, standard_contingency: bool = False) -> DataFrame:
+def scored(found: DataFrame, edges: DataFrame, standard_contingency: bool = False, cells: bool = False) -> DataFrame:
     """Distinct collocations of each document with their scores: (doc_id, lempos1, lempos2, type, o11, mi, mi3, t, z, chi2).
 
     Frequencies come from the edge table whatever the type, from marginals summed once; a pair without edges has only the
     tiny constant. Like the original, the fourth cell is the total less the pair's frequency unless standard_contingency.
-    A collocation that a document repeats is scored once.
+    A collocation that a document repeats is scored once. cells adds the other observed and the expected frequencies.
     """
     pair = edges.groupBy("lempos1", "lempos2").agg(F.sum("raw_freq").cast("double").alias("_f"))
     row = edges.groupBy("lempos1").agg(F.sum("raw_freq").cast("double").alias("_r"))
@@ -35,6 +35,7 @@ def scored(found: DataFrame, edges: DataFrame, standard_contingency: bool = Fals
     return rows.select(
         "doc_id", "lempos1", "lempos2", "type", "o11", F.ln(o["o11"] / e).alias("mi"), (3 * F.ln(o["o11"]) - F.ln(e)).alias("mi3"),
         ((o["o11"] - e) / F.sqrt("o11")).alias("t"), ((o["o11"] - e) / F.sqrt(e)).alias("z"), chi.alias("chi2"),
+        *([F.col(f"_{k}").alias(k) for k in ("o12", "o21", "o22", "e11", "e12", "e21", "e22")] if cells else []),
     )
 
 
@@ -45,6 +46,11 @@ def association_indices(scores: DataFrame) -> DataFrame:
 
 
 def log_likelihood(scores: DataFrame, edges: DataFrame) -> DataFrame:
-    """The G2 statistic of each scored pair, in log space: (doc_id, lempos1, lempos2, type, g2)."""
-    base = scored(scores, edges, standard_contingency=True)
-    return base.select("doc_id", "lempos1", "lempos2", "type", (2 * F.col("o11") * F.col("mi")).alias("g2"))
+    """G2 = 2 * sum of o * ln(o / e) over the four cells, each distinct pair of a document once: (doc_id, lempos1, lempos2, type, g2).
+
+    Cells are those of the standard table; an empty cell adds nothing. A pair without edges has 0.
+    """
+    base = scored(scores, edges, standard_contingency=True, cells=True)
+    part = lambda o, e: F.when(F.col(o) > 1e-9, F.col(o) * (F.ln(o) - F.ln(e))).otherwise(0.0)
+    g2 = 2 * sum((part(f"o{k}", f"e{k}") for k in ("12", "21", "22")), part("o11", "e11"))
+    return base.select("doc_id", "lempos1", "lempos2", "type", F.when(F.col("o11") > 1e-9, g2).otherwise(0.0).alias("g2"))

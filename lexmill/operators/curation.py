@@ -26,6 +26,24 @@ def is_outlier(length: Column, hdd: Column, mattr: Column, duga: Column) -> Colu
     return (length < 5) | (length > 600) | (hdd == 0) | (mattr > 2) | (duga > 300)
 
 
+def dataset(rows: DataFrame, text: str, graded: tuple[str, ...], session: str, without: tuple[str, ...]) -> DataFrame:
+    """Rows with a text and every grade, none of the sessions `without`; null texts, sessions and grades are no rows of it."""
+    for c in (text, *graded):
+        rows = rows.where(F.col(c) != "")
+    return rows.where(~F.col(session).isin(*without))
+
+
+def positional_split(rows: DataFrame, order: str, held_out: int) -> DataFrame:
+    """rows with part: 'test' for the last `held_out` rows in order of a unique key, 'train' for those before; null keys come first.
+
+    Only the held-out rows are sorted out, as a top-k; the key of the first of them divides the rest. No more rows than
+    held_out are all 'test'.
+    """
+    first = rows.orderBy(F.desc_nulls_last(order)).limit(held_out).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    test = (F.col(order) >= F.col("_first")) | (F.col("_n") < held_out)
+    return rows.crossJoin(F.broadcast(first)).withColumn("part", F.when(test, "test").otherwise("train")).drop("_first", "_n")  # one row
+
+
 def closest_to_mean(rows: DataFrame, column: str, key: str, n: int = 10_000) -> DataFrame:
     """The n rows whose value is closest to the mean, ties by key; a top-k without a full sort."""
     mean = rows.agg(F.avg(column).alias("_mean"))

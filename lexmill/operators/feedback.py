@@ -52,17 +52,18 @@ def code(value: Column, mean: Column, std: Column, negated: Column, guard: bool
     return F.when((mean == 0) & (std == 0), 0).otherwise(sign) if guard else sign
 
 
-def feedback(long: DataFrame, known: DataFrame, by: list[str], negated: tuple[str, ...] = NEGATED, size: int | None = None) -> DataFrame:
+def feedback(long: DataFrame, known: DataFrame, by: list[str], negated: tuple[str, ...] = NEGATED, size: int | None = None, guard: bool = True) -> DataFrame:
     """long(by, key..., feature, value) with thresholds(by, feature, mean, std): adds feedback and code.
 
-    Features without a threshold give no row. Thresholds are one row for each feature and group; they are broadcast where
+    Features without a threshold give no row. guard=False is the older evaluator, which codes thresholds of mean and deviation
+    0 like all others. Thresholds are one row for each feature and group; they are broadcast where
     their counted number (or the given size) is under 100,000.
     """
     n = known.count() if size is None else size
     rows = long.join(F.broadcast(known) if n < 100_000 else known, [*by, "feature"])
     turned = F.col("feature").isin(*negated)
     args = (F.col("value"), F.col("mean"), F.col("std"), turned)
-    return rows.withColumns({"feedback": label(*args), "code": code(*args)})
+    return rows.withColumns({"feedback": label(*args), "code": code(*args, guard=guard)})
 
 
 def occupancy(long: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:

@@ -69,3 +69,13 @@ def weighted_kappa(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
     expected = F.col("qa") + F.col("qb") - 2 * F.col("sa") * F.col("sb") / F.col("n")
     return s.select(*by, (1.0 - F.try_divide(F.col("d"), expected)).alias("kappa"))
+
+
+def pair_agreement(pairs: DataFrame) -> DataFrame:
+    """rater_pairs() to (dimension, rater_a, rater_b, n, kappa, icc3k), one row for every two raters that share a target.
+
+    Null where the two have too little in common to tell: no variation for kappa, one target for the correlation.
+    """
+    by = ["dimension", "rater_a", "rater_b"]
+    kappa = weighted_kappa(pairs, by)
+    return intraclass(pairs, by).select(*by, "n", "icc3k").join(kappa, by).select(*by, "n", "kappa", "icc3k")

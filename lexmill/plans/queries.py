@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -236,39 +237,28 @@ def lexical_accuracy(spark, sf_dir):
     return rounded(accuracy.lexical_accuracy(tokens(spark, sf_dir), _dictionary(spark, sf_dir)), "LA_ER")
 
 
-def _best(spark, sf_dir, edits=1):
-    """The SQL goes by Levenshtein distance one; the queries of two edits have none."""
+def _best(spark, sf_dir):
     found = docs(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     found = stored(found)
-    return accuracy.corrections(found.where("freq < 20"), found.where("freq >= 20"), edits)
+    return accuracy.corrections(found.where("freq < 20"), found.where("freq >= 20"))
 
 
-@query(f"""WITH all_ AS (SELECT x AS word, count(*) AS freq FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM documents) GROUP BY x),
-p AS (SELECT a.word, b.word AS best, b.freq FROM all_ a JOIN all_ b ON a.freq < 20 AND b.freq >= 20 AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1)
-SELECT word, best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY freq DESC, best) AS rn FROM p) WHERE rn = 1""")
+_BEST = f"""all_ AS (SELECT x AS word, count(*) AS freq FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM documents) GROUP BY x),
+p AS (SELECT a.word, b.word AS best, b.freq, damerau_levenshtein(a.word, b.word) AS d FROM all_ a JOIN all_ b ON a.freq < 20 AND b.freq >= 20 AND abs(length(a.word) - length(b.word)) <= 2),
+best AS (SELECT word, best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, freq DESC, best) AS rn FROM p WHERE d <= 2) WHERE rn = 1)"""
+
+
+@query(f"WITH {_BEST} SELECT word, best FROM best")
 def spelling_corrections(spark, sf_dir):
     return _best(spark, sf_dir)
 
 
-@query(f"""WITH all_ AS (SELECT x AS word, count(*) AS freq FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM documents) GROUP BY x),
-p AS (SELECT a.word, b.word AS best, b.freq FROM all_ a JOIN all_ b ON a.freq < 20 AND b.freq >= 20 AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1),
-best AS (SELECT word, best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY freq DESC, best) AS rn FROM p) WHERE rn = 1),
-w AS (SELECT doc_id, i, w[i] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))
+@query(f"""WITH {_BEST}, w AS (SELECT doc_id, i, w[i] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))
 SELECT doc_id, string_agg(coalesce(best, w), ' ' ORDER BY i) || ' ' AS text FROM w LEFT JOIN best ON word = w GROUP BY doc_id""")
 def corrected_texts(spark, sf_dir):
     return accuracy.correct_spelling(docs(spark, sf_dir), _best(spark, sf_dir))
 
 
-@query()
-def spelling_corrections_all(spark, sf_dir):
-    return _best(spark, sf_dir, 2)
-
-
-@query()
-def corrected_texts_all(spark, sf_dir):
-    return accuracy.correct_spelling(docs(spark, sf_dir), _best(spark, sf_dir, 2))
-
-
 # Collocations --------------------------------------------------------------------------------------------------------
 
 _RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(str(tuple(x if x is not None else "" for x in r)) for r in collocations.pattern_rules()) + ") AS v(ord, type, head_tag, dep, tag, head_class, class))"
@@ -366,11 +356,32 @@ def association_scores(spark, sf_dir):
     return rounded(_scores(_found(spark, sf_dir)), "o11", "mi", "mi3", digits=3).select("doc_id", "lempos1", "lempos2", "type", "o11", "mi", "mi3")
 
 
-@query(f"""WITH {_SCORES}, k AS (SELECT * FROM scores WHERE o11 > 0.5) SELECT doc_id, {", ".join(f"round({f}({m}), 3) AS {m}_{n}" for m in association.MEASURES for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))} FROM k GROUP BY doc_id""")
+#: For pairs without an edge t and chi2 run to numbers of thirty digits: compared to six significant ones.
+_SIX = "CAST(printf('%.5e', {}) AS DOUBLE)"
+
+
+def six_digits(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumns({n: F.when(F.col(n).isNotNull(), F.format_string("%.5e", F.col(n)).cast("double")) for n in names})
+
+
+@query(f"""WITH {_SCORES} SELECT doc_id, {", ".join(f"{_SIX.format(f'{f}({m})')} AS {m}_{n}" for m in association.MEASURES for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))} FROM scores GROUP BY doc_id""")
 def association_indices(spark, sf_dir):
-    """Over the pairs that have an edge; for others t and chi2 run to numbers of thirty digits, where rounding differs."""
-    out = association.association_indices(_scores(_found(spark, sf_dir)).where("o11 > 0.5"))
-    return rounded(out, *out.columns[1:], digits=3)
+    out = association.association_indices(_scores(_found(spark, sf_dir)))
+    return six_digits(out, *out.columns[1:])
+
+
+_G2 = " + ".join(f"CASE WHEN o{i}{j} > 1e-9 THEN o{i}{j} * ln(o{i}{j} / (r{i} * c{j} / n)) ELSE 0 END" for i in (1, 2) for j in (1, 2))
+
+
+@query(f"""WITH {_EDGES}, m AS (SELECT lempos1, lempos2, type, CAST(sum(raw_freq) OVER (PARTITION BY lempos1, lempos2) AS DOUBLE) AS o11, CAST(sum(raw_freq) OVER (PARTITION BY lempos1) AS DOUBLE) AS r1,
+  CAST(sum(raw_freq) OVER (PARTITION BY lempos2) AS DOUBLE) AS c1, CAST(sum(raw_freq) OVER () AS DOUBLE) AS n FROM edges),
+o AS (SELECT *, r1 - o11 AS o12, c1 - o11 AS o21, n - r1 - c1 + o11 AS o22, n - r1 AS r2, n - c1 AS c2 FROM m)
+SELECT lempos1, lempos2, type, round(2 * ({_G2}), 4) AS g2 FROM o""")
+def log_likelihoods(spark, sf_dir):
+    """G2 of every edge."""
+    edges = stored(collocations.edge_table(_found(spark, sf_dir)))
+    pairs = edges.select(F.lit(0).alias("doc_id"), "lempos1", "lempos2", "type")
+    return rounded(association.log_likelihood(pairs, edges).drop("doc_id"), "g2", digits=4)
 
 
 @query()
@@ -440,6 +451,13 @@ def feedback_codes(spark, sf_dir):
     return fb.feedback(rows, _given(spark, sf_dir, True), ["level"]).select("id", "level", "feature", "code")
 
 
+@query(f"""WITH {_POPULATION}{_GIVEN} SELECT id, level, feature, CASE WHEN round(value, 6) >= mean + std THEN 1 WHEN round(value, 6) <= mean - std THEN -1 ELSE 0 END AS code FROM long JOIN given USING (level, feature)""")
+def feedback_codes_unguarded(spark, sf_dir):
+    """The older evaluator."""
+    rows = rounded(long(spark, sf_dir), "value")
+    return fb.feedback(rows, _given(spark, sf_dir, True), ["level"], guard=False).select("id", "level", "feature", "code")
+
+
 @query(f"""WITH {_POPULATION}{_GIVEN}, v AS (SELECT level, feature, round(value, 6) AS v, mean AS m, std AS s FROM long JOIN given USING (level, feature))
 SELECT level, feature, count(*) FILTER (v < m - s) AS bin1, count(*) FILTER (v >= m - s AND v < m) AS bin2, count(*) FILTER (v >= m AND v < m + s) AS bin3, count(*) FILTER (v >= m + s) AS bin4 FROM v GROUP BY ALL""")
 def bin_occupancy(spark, sf_dir):
@@ -619,6 +637,18 @@ def weighted_kappa(spark, sf_dir):
     return rounded(ratings.weighted_kappa(_pairs(spark, sf_dir), ["dimension"]), "kappa")
 
 
+@query(f"""WITH {_RPAIRS}, g AS (SELECT dimension, rater_a, rater_b, CAST(count(*) AS DOUBLE) AS n, avg(a) AS ma, avg(b) AS mb, sum(a * a + b * b) AS q, sum(pow(a + b, 2)) / 2 AS qr,
+  pow(sum(a + b), 2) / (2 * count(*)) AS m, (pow(sum(a), 2) + pow(sum(b), 2)) / count(*) AS qc FROM pairs GROUP BY ALL),
+t AS (SELECT dimension, rater_a, rater_b, n, (qr - m) / (n - 1) AS r, (q - m - (qr - m) - (qc - m)) / (n - 1) AS e FROM g WHERE n > 1),
+v AS (SELECT DISTINCT dimension, rater_a, rater_b, unnest([a, b]) AS v FROM pairs), i AS (SELECT *, CAST(row_number() OVER (PARTITION BY dimension, rater_a, rater_b ORDER BY v) AS DOUBLE) AS i FROM v),
+c AS (SELECT p.dimension, p.rater_a, p.rater_b, x.i AS ia, y.i AS ib FROM pairs p JOIN i x ON (x.dimension, x.rater_a, x.rater_b, x.v) = (p.dimension, p.rater_a, p.rater_b, p.a) JOIN i y ON (y.dimension, y.rater_a, y.rater_b, y.v) = (p.dimension, p.rater_a, p.rater_b, p.b)),
+k AS (SELECT dimension, rater_a, rater_b, count(*) AS n, sum(pow(ia - ib, 2)) AS d, sum(ia * ia) + sum(ib * ib) - 2 * sum(ia) * sum(ib) / count(*) AS x FROM c GROUP BY ALL)
+SELECT k.dimension, k.rater_a, k.rater_b, k.n, CASE WHEN x > 0.5 THEN round(1 - d / x, 6) END AS kappa, CASE WHEN r > 0.01 THEN round((r - e) / r, 6) END AS icc3k FROM k LEFT JOIN t USING (dimension, rater_a, rater_b)""")
+def rater_pair_agreement(spark, sf_dir):
+    """Kappa and intraclass correlation of every pair of raters in every dimension."""
+    return rounded(ratings.pair_agreement(_pairs(spark, sf_dir)), "kappa", "icc3k")
+
+
 # Curation ----------------------------------------------------------------------------------------------------------------
 
 
@@ -648,10 +678,11 @@ def chunked(spark, sf_dir):
     return curation.chunks(docs(spark, sf_dir).select("doc_id"), "doc_id", 8)
 
 
-@query(f"""WITH {S.DOCS}, c AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS n, CAST(len(list_distinct(w)) AS DOUBLE) AS t FROM docs)
-SELECT doc_id FROM c WHERE n < 5 OR n > 600 OR (n > t AND pow(ln(n), 2) / (ln(n) - ln(t)) > 300)""")
+@query(f"""WITH {S.DOCS}, c AS (SELECT doc_id, w, CAST(len(w) AS DOUBLE) AS n, CAST(len(list_distinct(w)) AS DOUBLE) AS t FROM docs)
+SELECT doc_id FROM c WHERE n < 5 OR n > 600 OR n < 35 OR (CASE WHEN n <= 25 THEN n ELSE list_avg(list_transform(range(1, len(w) - 23), lambda i: len(list_distinct(w[i:i + 24])) / 25.0)) END) > 2
+  OR (n > t AND pow(ln(n), 2) / (ln(n) - ln(t)) > 300)""")
 def outliers(spark, sf_dir):
-    """All five conditions. The SQL has three; the others hold for texts of 5 to 34 words alone, which the test tables do not have."""
+    """All five conditions; HDD is nought under 35 words."""
     v = variation.lexical_variation(docs(spark, sf_dir))
     return v.where(curation.is_outlier(*map(F.col, ("LV_W", "LV_HDD", "LV_MATTR", "LV_DUGA")))).select("doc_id")
 
@@ -664,21 +695,27 @@ def _graded(spark, sf_dir):
     return table(spark, sf_dir, "flip_final").select("id", T.level_name(F.col("level")).alias("level"), *cells).dropDuplicates(["id"])
 
 
-@query(f"SELECT id, level, (vocab_1st + grammar_1st + vocab_2nd + grammar_2nd) / 2 AS language, ({' + '.join(f'{d}_{n}' for n in ('1st', '2nd') for d in _DIMENSIONS)}) / 2 AS total FROM {_GRADED}")
+_MEANS = {**{d: (d,) for d in _DIMENSIONS}, "language": ("vocab", "grammar"), "total": _DIMENSIONS}
+
+
+@query("SELECT id, level, " + ", ".join(f"({' + '.join(f'{d}_{n}' for n in ('1st', '2nd') for d in of)}) / 2 AS {k}" for k, of in _MEANS.items()) + f" FROM {_GRADED}")
 def averaged_grades(spark, sf_dir):
     both = lambda *d: curation.averaged_grade([f"{x}_1st" for x in d], [f"{x}_2nd" for x in d])
-    return _graded(spark, sf_dir).select("id", "level", both("vocab", "grammar").alias("language"), both(*_DIMENSIONS).alias("total"))
+    return _graded(spark, sf_dir).select("id", "level", *(both(*of).alias(k) for k, of in _MEANS.items()))
 
 
 _NUMBER = "CASE left(level, 2) WHEN 'A1' THEN 1 WHEN 'A2' THEN 2 WHEN 'B1' THEN 3 WHEN 'B2' THEN 4 WHEN 'C1' THEN 5 WHEN 'C2' THEN 6 END"
 
 
-@query(f"SELECT id, {_NUMBER} AS level_number, " + ", ".join(f"({_NUMBER} - 1) * 4 * {len(p)} + {' + '.join(f'{x}_1st' for x in p)} AS \"{'_'.join(f'{x}_1st' for x in p)}\"" for p in (("content",), ("content", "organiz"), _DIMENSIONS)) + f" FROM {_GRADED}")
+_PARTS_OF = [p for k in range(1, 6) for p in combinations(_DIMENSIONS, k)]
+
+
+@query(f"SELECT id, {_NUMBER} AS level_number, " + ", ".join(f"({_NUMBER} - 1) * 4 * {len(p)} + {' + '.join(f'{x}_1st' for x in p)} AS \"{'_'.join(f'{x}_1st' for x in p)}\"" for p in _PARTS_OF) + f" FROM {_GRADED}")
 def combined_variables(spark, sf_dir):
+    """All 31."""
     rows = _graded(spark, sf_dir).withColumn("level_number", curation.level_number(F.col("level")))
     made = curation.combined_variables([f"{d}_1st" for d in _DIMENSIONS])
-    kept = ["content_1st", "content_1st_organiz_1st", "_".join(f"{d}_1st" for d in _DIMENSIONS)]
-    return rows.select("id", "level_number", *(made[k].alias(k) for k in kept))
+    return rows.select("id", "level_number", *(v.alias(k) for k, v in made.items()))
 
 
 @query(f"""WITH {S.RECORDS} SELECT id, left(level, 2) AS band, CASE left(level, 2) WHEN 'B1' THEN grade WHEN 'B2' THEN grade + 4 WHEN 'C1' THEN grade + 8 END AS shifted,
@@ -704,16 +741,17 @@ def _name(column: str) -> str:
 
 @query(f"""WITH s AS (SELECT {_name("split_part(vorname, ' ', 1) || ' ' || nachname")} AS name, level AS student_level FROM (SELECT DISTINCT student_id, vorname, nachname, level FROM students)),
 one AS (SELECT name, max(student_level) AS level FROM s GROUP BY name HAVING count(*) = 1), e AS (SELECT DISTINCT id, {_name('student')} AS name, {_squeezed('session')} AS session FROM flip_final WHERE student IS NOT NULL),
+g AS (SELECT name, max(overall) AS overall, max(vocab) AS vocab FROM (SELECT DISTINCT id, {_name('student')} AS name, overall_grade_1st AS overall, vocab_grade_avg AS vocab FROM flip_final WHERE student IS NOT NULL) GROUP BY name HAVING count(*) = 1),
 p AS (SELECT level, session, min(prompt_title) AS title FROM prompts GROUP BY ALL)
-SELECT e.id, one.level, e.session, p.title FROM e JOIN one USING (name) LEFT JOIN p ON p.level = one.level AND p.session = e.session""")
+SELECT e.id, one.level, e.session, p.title, coalesce(g.overall, 'N/A') AS overall, coalesce(g.vocab, 'N/A') AS vocab FROM e JOIN one USING (name) LEFT JOIN p ON p.level = one.level AND p.session = e.session LEFT JOIN g ON g.name = e.name""")
 def enriched_essays(spark, sf_dir):
     students = table(spark, sf_dir, "students").select("student_id", "vorname", "nachname", "level").distinct()
     students = students.select(T.squeezed(F.concat_ws(" ", F.substring_index("vorname", " ", 1), "nachname")).alias("name"), "level")
-    essays = table(spark, sf_dir, "flip_final").where("student IS NOT NULL").select(
-        "id", T.squeezed(F.col("student")).alias("name"), T.squeezed(F.col("session")).alias("session")
-    ).distinct()
+    records = table(spark, sf_dir, "flip_final").where("student IS NOT NULL").withColumn("name", T.squeezed(F.col("student")))
+    essays = records.select("id", "name", T.squeezed(F.col("session")).alias("session")).distinct()
+    grades = records.select("id", "name", F.col("overall_grade_1st").alias("overall"), F.col("vocab_grade_avg").alias("vocab")).distinct().drop("id")
     prompts = table(spark, sf_dir, "prompts").select("level", "session", F.col("prompt_title").alias("title"), F.col("prompt_description").alias("text"))
-    return curation.enriched(essays, students, prompts).select("id", "level", "session", "title")
+    return curation.enriched(essays, students, prompts, grades).select("id", "level", "session", "title", "overall", "vocab")
 
 
 @query("""SELECT 'both' AS part, count(*) AS n FROM (SELECT level FROM prompts INTERSECT SELECT level FROM students) UNION ALL SELECT 'only_documents', count(*) FROM (SELECT level FROM documents EXCEPT SELECT level FROM prompts)
@@ -730,6 +768,19 @@ def shared_columns(spark, sf_dir):
     return curation.stacked(table(spark, sf_dir, "prompts"), table(spark, sf_dir, "flip_final")).groupBy("level", "session").agg(F.count("*").alias("n"))
 
 
+@query("SELECT DISTINCT id, session, level FROM flip_final WHERE essay <> '' AND session NOT IN ('Session 1', 'Session 3', 'Session 5') AND vocab_grade_1st <> '' AND vocab_grade_2nd <> ''")
+def dataset_query(spark, sf_dir):
+    """Records with a text, outside three sessions, graded by both."""
+    rows = curation.dataset(table(spark, sf_dir, "flip_final"), "essay", ("vocab_grade_1st", "vocab_grade_2nd"), "session", ("Session 1", "Session 3", "Session 5"))
+    return rows.select("id", "session", "level").distinct()
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= (SELECT count(*) FROM documents) - 98 THEN 'train' ELSE 'test' END AS part FROM documents")
+def positional_split(spark, sf_dir):
+    """The last 98 rows are held out."""
+    return curation.positional_split(docs(spark, sf_dir).select("doc_id"), "doc_id", 98)
+
+
 # Texts and mutations -------------------------------------------------------------------------------------------------------
 
 
@@ -820,22 +871,18 @@ def american_spelling(spark, sf_dir):
     return substitution.american(words, mapping)
 
 
-def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings")
-
-
 @query("""WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q, v.vec_id, round(1 - list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS distance FROM q JOIN embeddings v ON v.vec_id <> q.q)
 SELECT q, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS rn FROM d) WHERE rn <= 5""")
 def nearest_vectors(spark, sf_dir):
     """The five nearest vectors of every fiftieth one, against all; the stated queries are broadcast behind a check of their number."""
-    v = _vectors(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
     near = v.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col("vec_id") != F.col("q"))
     near = near.select("q", "vec_id", F.round(T.cosine_distance(F.col("e"), F.col("embedding")), 6).alias("distance"))
     return curation.first_per_group(near.withColumn("_o", F.struct("distance", "vec_id")), "q", "_o", 5).drop("_o")
 
 
-_SUBS = """WITH p AS (SELECT vec_id AS pair, vec_id AS s, (vec_id + 1) AS t, [vec_id + 2, vec_id + 3, vec_id + 5, vec_id + 900000000] AS c FROM embeddings WHERE label = 1),
+_SUBS = """WITH p AS (SELECT vec_id AS pair, vec_id AS s, (vec_id + 1) AS t, [vec_id + 2, vec_id + 3, vec_id + 5, vec_id + 900000000] AS c FROM embeddings),
 b AS (SELECT pair, c, s, round(1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 12) AS d FROM p JOIN embeddings x ON x.vec_id = s LEFT JOIN embeddings y ON y.vec_id = t),
 k AS (SELECT pair, 1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])) AS cd FROM (SELECT pair, s, unnest(c) AS id FROM b) u JOIN embeddings x ON x.vec_id = s JOIN embeddings z ON z.vec_id = u.id),
 g AS (SELECT pair, count(*) AS n, sum(cd) AS sum, sum(ln((cd + 1) / 2)) AS logs FROM k GROUP BY pair)
@@ -843,26 +890,14 @@ SELECT b.pair, round(coalesce((d + sum) / (n + 1), -1), 6) AS "add", round(coale
   round(coalesce(exp((ln((d + 1) / 2) + logs) / (n + 1)), -1), 6) AS mult, round(coalesce(exp((n * ln((d + 1) / 2) + logs) / (2 * n)), -1), 6) AS bal_mult FROM b LEFT JOIN g USING (pair)"""
 
 
-def _substitution_scores(v: DataFrame, scored: DataFrame) -> DataFrame:
-    """Scores of a pair for each of the vectors `scored`, looked up among all vectors v."""
-    keyed = v.select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vec"))
-    i = F.col("vec_id")
-    pairs = scored.select(i.alias("pair"), i.cast("string").alias("synonym"), (i + 1).cast("string").alias("target"), F.array(*((i + k).cast("string") for k in (2, 3, 5, 900_000_000))).alias("contexts"))
-    out = substitution.substitutability(pairs, keyed, keyed)
-    return rounded(out, "add", "bal_add", "mult", "bal_mult")
-
-
 @query(_SUBS)
 def substitution_scores(spark, sf_dir):
-    """The pairs of the vectors that its SQL names, those of label 1; substitution_scores_all has a pair for every vector."""
-    v = _vectors(spark, sf_dir)
-    return _substitution_scores(v, v.where("label = 1"))
-
-
-@query()
-def substitution_scores_all(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return _substitution_scores(v, v)
+    """Scores of a pair for each vector, with its next as the target and three that follow, and one that is missing, as contexts."""
+    v = table(spark, sf_dir, "embeddings")
+    keyed = v.select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vec"))
+    i = F.col("vec_id")
+    pairs = v.select(i.alias("pair"), i.cast("string").alias("synonym"), (i + 1).cast("string").alias("target"), F.array(*((i + k).cast("string") for k in (2, 3, 5, 900_000_000))).alias("contexts"))
+    return rounded(substitution.substitutability(pairs, keyed, keyed), "add", "bal_add", "mult", "bal_mult")
 
 
 @query(f"""WITH {S.TOKENS}, up AS (SELECT t.doc_id, t.sent_id, t.pos, lower(t.dep) || 'I_' || h.lower AS context FROM tokens t JOIN tokens h ON h.doc_id = t.doc_id AND h.sent_id = t.sent_id AND h.pos = t.head_pos WHERE t.head_pos <> t.pos),

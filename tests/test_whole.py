@@ -14,7 +14,7 @@ def test_every_vector_gives_a_pair(spark, tmp_path):
     vec = {i: rng.normal(size=4).astype("float32") for i in range(12)}
     rows = [(i, [float(x) for x in v], i % 4) for i, v in vec.items()]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {r.pair: r for r in q.queries()["substitution_scores_all"](spark, str(tmp_path)).collect()}
+    got = {r.pair: r for r in q.queries()["substitution_scores"](spark, str(tmp_path)).collect()}
     assert set(got) == set(vec)
     away = lambda a, b: 1 - float(np.dot(a, b)) / float(np.linalg.norm(a) * np.linalg.norm(b))
     for i, v in vec.items():
