@@ -11,6 +11,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.statistics import correlation
+
 
 def _pipeline(model, names: list[str], scale: bool = False) -> Pipeline:
     stages = [VectorAssembler(inputCols=names, outputCol="_x" if scale else "features", handleInvalid="skip")]
@@ -59,7 +61,7 @@ def cross_validated(rows: DataFrame, make: Callable[[], Pipeline], label: str, k
     parts = []
     for k in range(folds):
         model = make().fit(rows.where(F.col("_fold") != k))
-        parts.append(model.transform(rows.where(F.col("_fold") == k)).agg(F.lit(k).alias("fold"), F.corr("prediction", label).alias("r")))
+        parts.append(model.transform(rows.where(F.col("_fold") == k)).agg(F.lit(k).alias("fold"), correlation("prediction", label).alias("r")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -76,8 +78,8 @@ def significance(rows: DataFrame, names: list[str], label: str) -> DataFrame:
     out = []
     for n in names:
         part = rows.where(F.col(n).isNotNull() & F.col(label).isNotNull())
-        spread = part.agg(F.stddev_pop(n), F.corr(n, label)).first()
-        if not spread[0]:
+        spread = part.agg(F.stddev_pop(n), correlation(n, label)).first()
+        if not spread[0] or spread[1] is None:
             out.append((n, None, None))
             continue
         out.append((n, float(spread[1]), float(linear([n], label).fit(part).stages[-1].summary.pValues[0])))

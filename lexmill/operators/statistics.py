@@ -49,9 +49,16 @@ def described_totals(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     return rows.rollup(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation over rows where both are known; null where either does not vary (the built-in one fails there in ANSI mode)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(long: DataFrame, target: str, by: list[str] | None = None) -> DataFrame:
     """(by, feature, r): correlation of each feature's value with the target."""
-    return long.groupBy(*(by or []), "feature").agg(F.corr("value", target).alias("r"))
+    return long.groupBy(*(by or []), "feature").agg(correlation("value", target).alias("r"))
 
 
 def average_ranks(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
@@ -70,7 +77,7 @@ def average_ranks(rows: DataFrame, columns: list[str], by: list[str]) -> DataFra
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """(by, rho) over rows where both are known."""
     ranked = average_ranks(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b], by)
-    return ranked.groupBy(*by).agg(F.corr(f"{a}_rank", f"{b}_rank").alias("rho"))
+    return ranked.groupBy(*by).agg(correlation(f"{a}_rank", f"{b}_rank").alias("rho"))
 
 
 def linear_fit(rows: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
@@ -80,7 +87,7 @@ def linear_fit(rows: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
 def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) for each pair of columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = rows.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    one = rows.agg(*(correlation(a, b).alias(f"{a}|{b}") for a, b in pairs))
     long = one.unpivot([], [F.col(f"`{c}`") for c in one.columns], "pair", "r")
     return long.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
 

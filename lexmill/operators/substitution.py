@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import cosine_distance
+from lexmill.operators.models import with_prediction
 
 #: Score under which a synonym is not offered. Fixed value.
 OFFERED = 0.3
+#: The four scores of a pair.
+SCORES = ("add", "bal_add", "mult", "bal_mult")
 
 
 def american(words: DataFrame, mapping: DataFrame, word: str = "word") -> DataFrame:
@@ -89,3 +93,9 @@ def substitutability(pairs: DataFrame, word_vectors: DataFrame, context_vectors:
 def offered(scored: DataFrame, by: list[str], score: str = "score", least: float = OFFERED) -> DataFrame:
     """Synonyms of at least the score, best first within `by`."""
     return scored.where(F.col(score) >= least).orderBy(*by, F.desc(score), "synonym")
+
+
+def ranked_by_model(scored: DataFrame, model: PipelineModel, by: list[str], least: float = OFFERED) -> DataFrame:
+    """substitutability() with a synonym each to the pairs offered, best first within `by`: the score is the model's prediction
+    from the four scores, -1 where one of them is missing."""
+    return offered(with_prediction(scored, model, "score"), by, least=least)

@@ -44,6 +44,7 @@ class Pipeline:
     def __init__(self, resources: Resources | None = None, annotator: Callable[..., DataFrame] = annotate) -> None:
         self.resources, self.annotator = resources or Resources(), annotator
         self.components: list[str] = []
+        self.asked: list[str] = []
         self.custom: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
     def add(self, name: str) -> Pipeline:
@@ -55,8 +56,16 @@ class Pipeline:
 
     def __getattr__(self, name: str):
         if name in NEEDS:
-            return lambda: self.add(name)
-        raise AttributeError(name)
+            return lambda: self.ask(name)
+        raise AttributeError(f"no component {name!r}; there are {', '.join(NEEDS)}")
+
+    def ask(self, name: str) -> Pipeline:
+        """Adds a component by name, and shows what it makes: those that others merely need work unseen."""
+        if name not in NEEDS:
+            raise ValueError(f"no component {name!r}; there are {', '.join(NEEDS)}")
+        if name not in self.asked:
+            self.asked.append(name)
+        return self.add(name)
 
     def component(self, name: str, function: Callable[[DataFrame], DataFrame]) -> Pipeline:
         self.custom[name] = function
@@ -72,7 +81,9 @@ class Pipeline:
         """(doc_id, features in the order of the vector, then all others).
 
         Collocations are looked for in the preprocessed texts, annotated again; all else is counted on the texts as they are.
-        The component coreference has no work of its own: the annotator marks pronouns.
+        Asked for by name, spell_checker adds spell_errors, coreference adds coreferent_tokens (those the annotator marks),
+        collocation_preprocessor adds preprocessed_text, collocation_detector adds collocations and taaled_token_classifier adds
+        content_words; the arrays are in the order of the text.
         """
         texts = texts.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         tokens = self.annotator(texts)
@@ -91,7 +102,8 @@ class Pipeline:
         if "spell_checker" in has:
             words = r.dictionary if r.dictionary is not None else stored(lexicon.dictionary(texts))
         if "collocation_preprocessor" in has:
-            clean = self.annotator(accuracy.preprocessed(texts, words))
+            plain = stored(accuracy.preprocessed(texts, words))
+            clean = self.annotator(plain, heads=True) if self.annotator is annotate else self.annotator(plain)
         if "collocation_detector" in has:
             found = stored(collocations.collocations(clean))
             edges = r.edges if r.edges is not None else stored(collocations.edge_table(found))
@@ -105,12 +117,22 @@ class Pipeline:
             tables.append(density.lexical_density(tokens))
         if "association_scores" in has:
             tables.append(association.association_indices(association.scored(found, edges)))
-        if "lexical_variation_taaled" in has:
+        if "taaled_token_classifier" in has:
             real = r.real_words if r.real_words is not None else stored(lexicon.dictionary(texts, least=1))
             adjectives = r.adjectives if r.adjectives is not None else stored(tokens.where("tag = 'JJ'").select(F.col("lemma").alias("word")).distinct())
-            tables.append(taaled.taaled_indices(taaled.classify(tokens, adjectives, real)))
+            classified = taaled.classify(tokens, adjectives, real)
+        if "lexical_variation_taaled" in has:
+            tables.append(taaled.taaled_indices(classified))
         if "repetition_detector" in has:
             tables.append(repetition.repetition_counts(repetition.repetition_cells(tokens))[0])
+        shown = {
+            "spell_checker": lambda: _in_order(accuracy.spelling_errors(tokens, words), "text", "spell_errors"),
+            "coreference": lambda: tokens.groupBy("doc_id").agg(F.count_if("in_coref").alias("coreferent_tokens")),
+            "collocation_preprocessor": lambda: plain.withColumnRenamed("text", "preprocessed_text"),
+            "collocation_detector": lambda: _in_order(found.withColumn("pair", F.concat_ws(" ", "lempos1", "lempos2")), "pair", "collocations"),
+            "taaled_token_classifier": lambda: _in_order(classified.where("class = 'content'"), "item", "content_words"),
+        }
+        tables += [shown[name]() for name in self.asked if name in shown]
         tables += [f(tokens) for f in self.custom.values()]
         out = texts.select("doc_id")
         for t in tables:
@@ -118,4 +140,22 @@ class Pipeline:
         ordered = [c for c in VECTOR if c in out.columns]
         return out.select("doc_id", *ordered, *(c for c in out.columns if c != "doc_id" and c not in ordered))
 
-    pipe = transform
+    def pipe(self, texts: DataFrame, key: str = "doc_id", text: str = "text", as_tuples: bool = False, save_period: int | None = None, save_to: str | None = None) -> DataFrame:
+        """transform() of many texts. as_tuples keeps the other columns of texts beside the features, under their names with
+        `context_` before them. With save_period and save_to the rows are written as they are made, in Parquet files of at
+        most so many rows, and read back; what a lost run has written stays."""
+        out = self.transform(texts, key, text)
+        if as_tuples:
+            context = texts.select(F.col(key).alias("doc_id"), *(F.col(c).alias(f"context_{c}") for c in texts.columns if c not in (key, text)))
+            out = out.join(context, "doc_id", "left")
+        if save_period is None:
+            return out
+        if save_to is None or save_period < 1:
+            raise ValueError("save_period must be positive and needs a folder to save to")
+        out.write.mode("append").option("maxRecordsPerFile", save_period).parquet(save_to)
+        return texts.sparkSession.read.schema(out.schema).parquet(save_to)
+
+
+def _in_order(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(doc_id, name): the values of each document in the order of its text."""
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "pos", F.col(column).alias("v")))).alias("_a")).select("doc_id", F.col("_a.v").alias(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -100,7 +101,18 @@ def lv_windows(spark, sf_dir):
     return rounded(variation.lexical_variation(docs(spark, sf_dir)).select("doc_id", "LV_MSTTR", "LV_MATTR"), "LV_MSTTR", "LV_MATTR", digits=9)
 
 
-@query()
+def _pass(w: str) -> str:
+    """SQL of one MTLD pass over a list of words: a fold that keeps the words of the open segment, its size and the segments closed."""
+    start = "{'seen': CAST([] AS VARCHAR[]), 'size': 0, 'full': 0}"
+    new = "CASE WHEN list_contains(a.seen, x.w) THEN a.seen ELSE list_append(a.seen, x.w) END"
+    fold = f"""list_reduce(list_prepend({{'w': CAST(NULL AS VARCHAR), 'a': {start}}}, list_transform({w}, lambda x: {{'w': x, 'a': {start}}})), lambda p, x: {{'w': x.w, 'a': list_transform([p.a], lambda a:
+      CASE WHEN len({new}) < 0.72 * (a.size + 1) THEN {{'seen': CAST([] AS VARCHAR[]), 'size': 0, 'full': a.full + 1}} ELSE {{'seen': {new}, 'size': a.size + 1, 'full': a.full}} END)[1]}}).a"""
+    return fold
+
+
+@query(f"""WITH {S.DOCS}, f AS (SELECT doc_id, len(w) AS n, {_pass('w')} AS a, {_pass('list_reverse(w)')} AS b FROM docs WHERE len(w) > 0),
+g AS (SELECT doc_id, n, a.full + CASE WHEN a.size > 0 THEN (1 - len(a.seen) / a.size) / (1 - 0.72) ELSE 0 END AS a, b.full + CASE WHEN b.size > 0 THEN (1 - len(b.seen) / b.size) / (1 - 0.72) ELSE 0 END AS b FROM f)
+SELECT doc_id, round(coalesce((n / CASE WHEN a > 0 THEN a ELSE 1 END + n / CASE WHEN b > 0 THEN b ELSE 1 END) / 2, 0), 6) AS "LV_MTLD" FROM docs LEFT JOIN g USING (doc_id)""")
 def lv_mtld(spark, sf_dir):
     return rounded(variation.lexical_variation(docs(spark, sf_dir)).select("doc_id", "LV_MTLD"), "LV_MTLD")
 
@@ -663,7 +675,7 @@ def range_filter(spark, sf_dir):
     return curation.within(density.token_counts(tokens(spark, sf_dir)).drop("lexical_strict"), tokens=(50, 200), lexical=(35, None))
 
 
-@query()
+@query("SELECT doc_id, source FROM documents WHERE n_chars >= 200 ORDER BY md5('0:' || doc_id), doc_id LIMIT 100")
 def shuffled_sample(spark, sf_dir):
     return curation.shuffled(docs(spark, sf_dir).where("n_chars >= 200").select("doc_id", "source"), 100, "doc_id")
 
@@ -794,7 +806,19 @@ def plain_essay(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.plain_essay(F.col("text")).alias("text"), T.one_line(F.col("text")).alias("line"))
 
 
-@query()
+def _contracted() -> str:
+    """SQL that replaces one contraction after the other, those with a capital I only as written."""
+    out = "replace(text, '´', '''')"
+    for short, full in python_text.CONTRACTIONS.items():
+        key = short.replace("'", "''")
+        if short != short.lower():
+            out = f"regexp_replace(replace({out}, '{key}', '{full}'), '{key}', '', 'gi')"
+        else:
+            out = f"regexp_replace({out}, '{key}', '{full}', 'gi')"
+    return f"replace({out}, '''', '')"
+
+
+@query(f"SELECT doc_id, {_contracted()} AS text FROM documents")
 def expanded_contractions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", python_text.expand_contractions(F.col("text")).alias("text"))
 
@@ -915,6 +939,33 @@ def related_words(spark, sf_dir):
     return substitution.related(relations, table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")), 2)
 
 
+_ONE_POS = "split_part(lempos1, '_', 2) = split_part(lempos2, '_', 2) AND type = 'NOUN+NOUN'"
+
+
+@query(f"""WITH {_EDGES}, v AS (SELECT * FROM (VALUES {", ".join(map(str, _VARIANTS))}) AS t(british, american)),
+s AS (SELECT split_part(lempos1, '_', 1) AS lemma, 'NOUN' AS pos, split_part(lempos2, '_', 1) AS synonym FROM edges WHERE {_ONE_POS} UNION ALL SELECT split_part(lempos2, '_', 1), 'NOUN', split_part(lempos1, '_', 1) FROM edges WHERE {_ONE_POS}),
+t AS (SELECT DISTINCT lemma, upos AS pos FROM tokens WHERE upos IN ('NOUN', 'VERB', 'ADJ', 'ADV')), k AS (SELECT lemma, pos, lemma AS key FROM t UNION SELECT lemma, pos, american FROM t JOIN v ON british = lemma)
+SELECT DISTINCT k.lemma, k.pos, s.synonym FROM k JOIN s ON s.lemma = k.key AND s.pos = k.pos WHERE s.synonym <> k.lemma""")
+def synonym_candidates(spark, sf_dir):
+    """Candidates of each lemma in both spellings from two sources: noun partners either way stand in for thesauri."""
+    t = stored(tokens(spark, sf_dir, heads=True))
+    e = collocations.edge_table(stored(collocations.collocations(t))).where("type = 'NOUN+NOUN'").select(*(F.split(c, "_") for c in ("lempos1", "lempos2"))).toDF("a", "b").where("a[1] = b[1]")
+    sources = [e.select(F.col(f"{x}")[0].alias("lemma"), F.lit("NOUN").alias("pos"), F.col(f"{y}")[0].alias("synonym")) for x, y in ("ab", "ba")]
+    mapping = spark.createDataFrame([(i, *v) for i, v in enumerate(_VARIANTS)], "rank int, british string, american string")
+    targets = t.where(F.col("upos").isin("NOUN", "VERB", "ADJ", "ADV")).select("lemma", F.col("upos").alias("pos")).distinct()
+    return substitution.candidates(substitution.american(targets, mapping, "lemma"), *sources)
+
+
+@query()
+def synonym_model_ranking(spark, sf_dir):
+    """Pairs of neighbouring vectors ranked by a model over the four scores; a pair is good where both carry one label."""
+    v = table(spark, sf_dir, "embeddings")
+    both = v.select(F.col("vec_id").alias("pair"), "label").join(v.select((F.col("vec_id") - 1).alias("pair"), F.col("label").alias("_l")), "pair")
+    rows = stored(substitution_scores(spark, sf_dir).join(both.select("pair", (F.col("label") == F.col("_l")).cast("double").alias("good")), "pair"))
+    model = models.linear(list(substitution.SCORES), "good").fit(rows)
+    return substitution.ranked_by_model(rows.withColumn("synonym", F.col("pair").cast("string")), model, ["good"], least=0.0).select("pair", "good", F.round("score", 6).alias("score"))
+
+
 @query()
 def synonym_ranking(spark, sf_dir):
     return substitution.offered(_synonyms(spark, sf_dir).withColumn("score", F.col("score") / (F.col("score") + 1)), ["lemma"])
@@ -988,10 +1039,27 @@ def pipeline_vector(spark, sf_dir):
     return p.association_scores().lexical_variation_taaled().repetition_detector().transform(docs(spark, sf_dir))
 
 
-@query()
+_LIST_OF = {k: f"SELECT word FROM ranked WHERE rank >= {a} AND rank < {b} AND {'rank % 2 = 0' if k == 'CA' else 'rank % 2 = 1' if k == 'CT' else 'TRUE'}" for k, (a, b) in _MATCHED.items()}
+
+
+@query(f"""WITH {_EDGES}, {_DICT}, {_RANKED.removeprefix(S.TOKENS + ", ")},
+r AS (SELECT f.*, metric, f.lempos1 || '<--[ ' || coalesce(CAST(round(metric, 2) + 0.0 AS VARCHAR), 'X') || ' ]--' || f.lempos2 AS r FROM found f LEFT JOIN edges USING (lempos1, lempos2, type)),
+c AS (SELECT doc_id, string_agg(r, ',' || chr(10) ORDER BY sent_id, pos, ord) FILTER (metric IS NOT NULL) AS good, string_agg(r, ',' || chr(10) ORDER BY sent_id, pos, ord) FILTER (metric IS NULL) AS bad FROM r GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS number_of_words, string_agg(text, ', ' ORDER BY sent_id, pos) FILTER (ent_type = '' AND regexp_matches(text, '^[A-Za-z]+$') AND lower NOT IN (SELECT word FROM dict)) AS wrong,
+  string_agg(text, ', ' ORDER BY sent_id, pos) FILTER (upos IN ('NOUN', 'VERB', 'ADJ', 'ADV') AND tag NOT IN ('NNP', 'NNPS', 'MD')) AS lexical, string_agg(text, ', ' ORDER BY sent_id, pos) FILTER (ent_type <> '') AS names,
+  {", ".join(f"array_to_string(list_sort(list(DISTINCT lower(lemma)) FILTER (lower(lemma) IN ({q}))), ', ') AS {k}" for k, q in _LIST_OF.items())},
+  round(count(*) FILTER (upos IN ('NOUN', 'VERB', 'ADJ', 'ADV')) / count(*), 6) AS "LD_LXUR", round(count(*) FILTER (upos || ':' || tag IN ({", ".join(f"'{x}'" for x in density.GRAMMATICAL)})) / count(*), 6) AS "LD_GRUR" FROM tokens GROUP BY doc_id)
+SELECT t.doc_id, coalesce(wrong, '') AS spelling_mistakes, coalesce(good, '') AS collocations, coalesce(bad, '') AS collocation_errors, coalesce(lexical, '') AS lexical_words, coalesce(names, '') AS named_entities, number_of_words,
+  {", ".join(f"coalesce({k}, '') AS {k.lower()}_words" for k in _LIST_OF)}, "LD_LXUR", "LD_GRUR" FROM t LEFT JOIN c USING (doc_id)""")
 def diagnostics(spark, sf_dir):
-    t = tokens(spark, sf_dir)
-    return sinks.diagnostics(t, density.lexical_density(t))
+    """The sixteen columns beside the features of density."""
+    t = stored(tokens(spark, sf_dir, heads=True))
+    r = stored(lexicon.ranked_list(t))
+    lists = {k: lexicon.word_list({"CA": r.where("rank % 2 = 0"), "CT": r.where("rank % 2 = 1")}.get(k, r), *b) for k, b in _MATCHED.items()}
+    found = stored(collocations.collocations(t))
+    measured = collocations.with_metric(found, collocations.edge_table(found))
+    features = rounded(density.lexical_density(t), "LD_LXUR", "LD_GRUR")
+    return sinks.diagnostics(t, accuracy.spelling_errors(t, _dictionary(spark, sf_dir)), measured, sophistication.matched_words(t, lists), list(lists), features)
 
 
 def _folder(spark: SparkSession) -> str:
@@ -1038,14 +1106,19 @@ def csv_roundtrip(spark, sf_dir):
     return readers.graded_csv(spark, where)
 
 
-@query()
+@query(f"WITH {_SAMPLE} SELECT lower(level) AS level, feature, round(mean, 6) AS mean, round(std, 6) AS std, count(*) OVER (PARTITION BY level) AS xml_features, round(sum(mean) OVER (PARTITION BY level), 3) AS xml_sum FROM known WHERE std IS NOT NULL")
 def threshold_files(spark, sf_dir):
+    """A JSON and an XML file for each level, read back."""
     where = _folder(spark)
-    given = _given(spark, sf_dir).where("level = 'B1.1'").drop("level").withColumn("feature_index", F.length("feature"))
-    sinks.write_threshold_json(given, f"{where}/t.json")
-    sinks.write_threshold_xml(given, f"{where}/bin_values_level_b1.xml")
-    back = readers.threshold_xml(spark, f"{where}/bin_values_level_b1.xml").groupBy("level").agg(F.count("*").alias("features"))
-    return readers.threshold_json(spark, f"{where}/t.json").crossJoin(F.broadcast(back))  # one row
+    given = _given(spark, sf_dir).withColumn("feature_index", F.array_position(F.array(*map(F.lit, S.FEATURES)), F.col("feature")).cast("int"))
+    back = []
+    for level in sorted(r.level for r in given.select("level").distinct().collect()):  # a dozen levels
+        one, name = given.where(F.col("level") == level).drop("level"), level.lower().replace(".", "-")
+        sinks.write_threshold_json(one, f"{where}/{name}.json")
+        sinks.write_threshold_xml(one, f"{where}/bin_values_level_{name}.xml")
+        xml = readers.threshold_xml(spark, f"{where}/bin_values_level_{name}.xml").groupBy("level").agg(F.count("*").alias("xml_features"), F.round(F.sum("mean"), 3).alias("xml_sum"))
+        back.append(readers.threshold_json(spark, f"{where}/{name}.json").crossJoin(F.broadcast(xml.withColumn("level", F.translate("level", "-", ".")))))  # one row
+    return reduce(DataFrame.unionByName, back)
 
 
 @query(f"WITH {S.DOCS} SELECT CAST(len(w) AS VARCHAR) AS n_words, CAST(count(*) AS VARCHAR) AS n FROM docs GROUP BY len(w)")

@@ -46,10 +46,13 @@ def writings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.where("text IS NOT NULL").select("level", F.col("grade").try_cast("int").alias("grade"), unescape_html(F.col("text")).alias("text"), F.input_file_name().alias("file"))
 
 
-def first_writings(rows: DataFrame, per_file: int) -> DataFrame:
-    """At most so many writings of each file, in the order in which Spark numbers rows (the file's)."""
-    w = Window.partitionBy("file").orderBy("_at")
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_file).drop("_at", "_n")
+def first_writings(spark: SparkSession, paths: str | list[str], per_file: int) -> DataFrame:
+    """writings(), at most the first so many of each file. A file is read whole, by one task, and its elements are numbered in it,
+    so that the order is the file's however many executors there are. Empty files give no rows."""
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_extract_all("value", F.lit("(?s)<writing[ >].*?</writing>"), F.lit(0)).alias("_w"))
+    parts = files.select("file", F.explode(F.slice(F.filter("_w", lambda x: x.rlike("<text[ >]")), 1, per_file)).alias("_x"))
+    value = lambda tag: F.nullif(F.regexp_extract("_x", f"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>", 1), F.lit(""))
+    return parts.select(value("level").alias("level"), value("grade").try_cast("int").alias("grade"), unescape_html(unescape_html(value("text"))).alias("text"), "file")
 
 
 def writings_by_level(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,8 +83,14 @@ def word_list(spark: SparkSession, path: str, column: str = "Word") -> DataFrame
 
 
 def ranked_list(spark: SparkSession, path: str, word: str = "word", tag: str = "SpaCy tag", freq: str = "COCA-Acad") -> DataFrame:
-    """(rank, word, tag, freq) of a list in rank order. A file is read as one split, so that its order can be numbered."""
-    rows = csv_rows(spark, path).coalesce(1).select((F.monotonically_increasing_id()).alias("rank"), F.col(f"`{word}`").alias("word"), F.col(f"`{tag}`").alias("tag"), frequency(F.col(f"`{freq}`")).alias("freq"))
+    """(rank, word, tag, freq) of a list in rank order: by its column `rank` where there is one (counted from 1), or else as it stands in
+    its one file, which is read as one split for that. Lists of words are small; a folder of several files needs the column."""
+    rows = csv_rows(spark, path)
+    if "rank" in rows.columns and "rank" not in (word, tag, freq):
+        at = F.col("rank").cast("long") - 1
+    else:
+        rows, at = rows.coalesce(1), F.monotonically_increasing_id()
+    rows = rows.select(at.alias("rank"), F.col(f"`{word}`").alias("word"), F.col(f"`{tag}`").alias("tag"), frequency(F.col(f"`{freq}`")).alias("freq"))
     return rows
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.collocations import rendered
+from lexmill.operators.density import is_lexical
+
 
 def write_matrix(rows: DataFrame, path: str, form: str = "parquet") -> None:
     """A feature matrix as Parquet or CSV."""
@@ -45,14 +50,34 @@ def threshold_summary(thresholds: DataFrame) -> DataFrame:
     return thresholds.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("summary"))
 
 
-def diagnostics(tokens: DataFrame, features: DataFrame) -> DataFrame:
-    """One row a document: its words, lemmas and tags as text, errors apart, beside its features."""
-    joined = lambda c, when=None: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("sent_id", "pos", c)) if when is not None else F.struct("sent_id", "pos", c))), lambda x: x[c]), " ")
-    rows = tokens.groupBy("doc_id").agg(
-        F.count("*").alias("n_tokens"), (F.max("sent_id") + 1).alias("n_sentences"), joined("text").alias("words"), joined("lemma").alias("lemmas"), joined("tag").alias("tags"),
-        joined("lemma", F.col("upos").isin("NOUN", "VERB", "ADJ", "ADV")).alias("lexical_lemmas"),
-    )
-    return rows.join(features, "doc_id", "left")
+def diagnostics(tokens: DataFrame, errors: DataFrame, measured: DataFrame, matched: DataFrame, lists: list[str], features: DataFrame) -> DataFrame:
+    """One row a document with tokens, for a CSV file: doc_id, spelling_mistakes, collocations, collocation_errors (those without an
+    edge), lexical_words, named_entities, number_of_words, <list>_words for each of the lists, and the features.
+
+    errors: spelling_errors(); measured: collocations with_metric(); matched: matched_words(). Words stand in order of the
+    text, those of lists sorted; what a document has none of is an empty text.
+    """
+    place = [F.col(c) for c in ("sent_id", "pos")]
+
+    def joined(value: Column, when: Column | None = None, between: str = ", ", more: tuple = ()) -> Column:
+        item = F.struct(*place, *more, value.alias("v"))
+        return F.array_join(F.array_sort(F.collect_list(item if when is None else F.when(when, item))).v, between)
+
+    m = F.col("metric")
+    parts = [
+        tokens.groupBy("doc_id").agg(
+            joined(F.col("text"), is_lexical(F.col("upos"), F.col("tag"))).alias("lexical_words"), joined(F.col("text"), F.col("ent_type") != "").alias("named_entities"), F.count("*").alias("number_of_words")
+        ),
+        errors.groupBy("doc_id").agg(joined(F.col("text")).alias("spelling_mistakes")),
+        measured.groupBy("doc_id").agg(
+            joined(rendered(measured), m.isNotNull(), ",\n", (F.col("ord"),)).alias("collocations"), joined(rendered(measured), m.isNull(), ",\n", (F.col("ord"),)).alias("collocation_errors")
+        ),
+        matched.groupBy("doc_id").pivot("list", lists).agg(F.array_join(F.first("words"), ", ")).withColumnsRenamed({k: f"{k.lower()}_words" for k in lists}),
+    ]
+    texts = ["spelling_mistakes", "collocations", "collocation_errors", "lexical_words", "named_entities"]
+    own = [f"{k.lower()}_words" for k in lists]
+    out = reduce(lambda a, b: a.join(b, "doc_id", "left"), [*parts, features])
+    return out.select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in texts), "number_of_words", *(F.coalesce(c, F.lit("")).alias(c) for c in own), *(c for c in features.columns if c != "doc_id"))
 
 
 def save_model(model, path: str) -> None:

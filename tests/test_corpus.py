@@ -15,6 +15,12 @@ def test_spearman_with_ties(spark):
     assert st.spearman(rows, "a", "b", ["g"]).first().rho == pytest.approx(want)
 
 
+def test_correlation_without_variation_is_null(spark):
+    rows = spark.createDataFrame([("g", "f", 1.0, 2.0), ("g", "f", 1.0, 3.0), ("h", "f", 1.0, 2.0), ("h", "f", 2.0, 4.0), ("h", "f", None, 9.0)], "g string, feature string, value double, t double")
+    got = {r.g: r.r for r in st.pearson(rows, "t", ["g"]).collect()}
+    assert got["g"] is None and got["h"] == pytest.approx(1.0)
+
+
 def test_kappa_and_intraclass(spark):
     pairs = spark.createDataFrame([("d", float(a), float(b)) for a, b in [(0, 0), (1, 2), (2, 2), (4, 2), (4, 4)]], "dimension string, a double, b double")
     index = {0: 0, 1: 1, 2: 2, 4: 3}
@@ -97,3 +103,30 @@ def test_files(spark, tmp_path):
     sinks.write_threshold_xml(known, str(tmp_path / "bin_values_level_b1.xml"))
     assert sorted(tuple(r) for r in readers.threshold_json(spark, str(tmp_path / "t.json")).collect()) == [("f", 0.5, 0.1), ("g", 1.5, 0.2)]
     assert sorted(tuple(r) for r in readers.threshold_xml(spark, str(tmp_path / "bin_values_level_b1.xml")).collect()) == [("b1", 1, 0.5, 0.1), ("b1", 2, 1.5, 0.2)]
+
+
+def test_components_show_what_they_make(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "The dog saw him. He don't like biig dogs dogs dogs.", "a"), (2, None, "b")], "doc_id long, text string, who string")
+    p = Pipeline().spell_checker().coreference().collocation_preprocessor().collocation_detector().taaled_token_classifier()
+    out = {r.doc_id: r for r in p.pipe(rows, as_tuples=True, save_period=1, save_to=str(tmp_path / "out")).collect()}
+    assert out[1].context_who == "a" and out[2].context_who == "b" and out[1].coreferent_tokens == 2 and "biig" in out[1].spell_errors
+    assert "He" in out[1].preprocessed_text and "'" not in out[1].preprocessed_text and out[1].content_words and out[2].preprocessed_text is None
+    assert len(list((tmp_path / "out").glob("*.parquet"))) >= 2
+    with pytest.raises(ValueError):
+        p.ask("nothing")
+    with pytest.raises(ValueError):
+        p.pipe(rows, save_period=5)
+
+
+def test_first_writings_follow_the_file(spark, tmp_path):
+    for f in "ab":
+        (tmp_path / f"{f}.xml").write_text("<writings>" + "".join(f"<writing id='{k}'><level>A1</level><grade>{k}</grade><text>{f}{k} &amp;amp; more</text></writing>" for k in range(30)) + "<writing><grade>1</grade></writing></writings>")
+    got = readers.first_writings(spark, [str(tmp_path / "a.xml"), str(tmp_path / "b.xml")], 3).collect()
+    assert sorted((r.level, r.grade, r.text) for r in got) == sorted(("A1", k, f"{f}{k} & more") for f in "ab" for k in range(3))
+
+
+def test_ranks_come_from_a_column_where_there_is_one(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "1.csv").write_text("rank,word,SpaCy tag,COCA-Acad\n3,c,NN,1\n")
+    (tmp_path / "l" / "2.csv").write_text('rank,word,SpaCy tag,COCA-Acad\n1,a,NN,"1,000"\n2,b,NN,5\n')
+    assert sorted((r.rank, r.word) for r in readers.ranked_list(spark, str(tmp_path / "l")).collect()) == [(0, "a"), (1, "b"), (2, "c")]

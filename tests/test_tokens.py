@@ -97,3 +97,84 @@ def test_feedback_covers_the_line(spark):
     assert [got["f", v] for v in (0.0, 1.0, 2.0, 3.0, 4.0)] == [("positive", -1), ("positive", -1), ("none", 0), ("negative", 1), ("negative", 1)]
     assert got["LA_ER", 4.0] == ("positive", -1) and got["zero", 0.0][1] == 0 and ("none", 1.0) not in got
     assert len(fb.VECTOR) == 35 and [fb.VECTOR[i] for i in (6, 28, 33)] == ["LV_HDD", "LA_ER", "LD_LXUR"]
+
+
+#: For each pattern a head and a dependent by hand, with the dependency and what is to come out, dependent first.
+BY_HAND = [
+    ("run", "VBZ", "nsubj", "dog", "NN", "NOUN+VERB", "dog_NOUN", "run_VERB"), ("man", "NN", "acl", "sing", "VBG", "NOUN+VERB", "sing_VERB", "man_NOUN"),
+    ("door", "NN", "compound", "car", "NN", "NOUN+NOUN", "car_NOUN", "door_NOUN"), ("car", "NNS", "amod", "red", "JJ", "ADJ+NOUN", "red_ADJ", "car_NOUN"),
+    ("eat", "VBD", "dobj", "apple", "NNS", "VERB+NOUN", "apple_NOUN", "eat_VERB"), ("book", "NN", "relcl", "buy", "VBN", "VERB+NOUN", "buy_VERB", "book_NOUN"),
+    ("go", "VB", "pobj", "school", "NN", "VERB+NOUN", "school_NOUN", "go_VERB"), ("look", "VBZ", "acomp", "good", "JJ", "VERB+ADJ", "good_ADJ", "look_VERB"),
+    ("able", "JJ", "auxpass", "be", "VBD", "VERB+ADJ", "be_VERB", "able_ADJ"), ("want", "VBP", "xcomp", "swim", "VB", "VERB+VERB", "swim_VERB", "want_VERB"),
+    ("speak", "VBZ", "advmod", "slowly", "RB", "ADV+VERB", "slowly_ADV", "speak_VERB"), ("how", "WRB", "xcomp", "cook", "VB", "ADV+toVERB", "cook_toVERB", "how_ADV"),
+    ("easy", "JJ", "xcomp", "see", "VB", "ADJ+toVERB", "see_toVERB", "easy_ADJ"), ("cold", "JJ", "advmod", "very", "RB", "ADV+ADJ", "very_ADV", "cold_ADJ"),
+]
+INACTIVE = [
+    ("way", "NN", "prep", "of", "IN", "NOUN+PREP", "of_PREP", "way_NOUN"), ("in", "IN", "pobj", "town", "NN", "PREP+NOUN", "town_NOUN", "in_PREP"),
+    ("dog", "NN", "det", "that", "DT", "DET+NOUN", "that_DET", "dog_NOUN"), ("look", "VB", "prep", "for", "IN", "VERB+PREP", "for_PREP", "look_VERB"),
+    ("afraid", "JJ", "prep", "of", "IN", "ADJ+PREP", "of_PREP", "afraid_ADJ"),
+]
+
+
+@pytest.mark.parametrize("active", (True, False))
+def test_every_pattern_by_hand(spark, active):
+    rows = []
+    for doc, (head, head_tag, dep, word, tag, *_) in enumerate(BY_HAND + INACTIVE):
+        rows += [token(0, head, "X", head_tag, dep="ROOT", head=0, doc=doc), token(1, word, "X", tag, dep=dep, head=0, doc=doc)]
+    rows += [token(0, "dog", "X", "NN", dep="ROOT", doc=90), token(1, "the", "X", "DT", dep="nmod", doc=90), token(2, "dog", "X", "NN", dep="compound", doc=90), token(3, "odd", "X", "JJ", dep="punct", doc=90)]
+    got = {r.doc_id: (r.type, r.lempos1, r.lempos2) for r in collocations.collocations(hand(spark, *rows), active_only=active).collect()}
+    want = BY_HAND if active else BY_HAND + INACTIVE
+    assert got == {doc: tuple(x[5:]) for doc, x in enumerate(want)}
+    turned = {r.doc_id: r.lempos1 for r in collocations.collocations(hand(spark, *rows), direction_fix=True).collect()}
+    assert turned[4] == "eat_VERB" and turned[0] == "dog_NOUN"
+
+
+def test_heads_in_the_sentence_equal_the_self_join(spark):
+    rows = texts(spark, "The big dogs can run quickly! We saw the old house in a small town.", "Dogs.", "", None)
+    names = ["doc_id", "sent_id", "pos", "head_text", "head_lemma", "head_tag", "dep", "text", "lemma", "tag"]
+    joined, looked_up = (sorted(map(tuple, collocations.dependencies(annotate(rows, heads=h)).select(names).collect())) for h in (False, True))
+    assert joined == looked_up and len(joined) > 10
+    from lexmill.operators.substitution import contexts
+    assert sorted(map(tuple, contexts(annotate(rows)).collect())) == sorted(map(tuple, contexts(annotate(rows, heads=True)).collect()))
+
+
+def test_collapsed_tags(spark):
+    tags = "NN NNS NNP VB VBD MD JJR RBS WRB RP DT WDT PDT IN".split()
+    got = spark.createDataFrame([(t,) for t in tags], "t string").select(collocations.collapsed_tag(F.col("t"))).collect()
+    assert [r[0] for r in got] == "NN NN NN VB VB MD JJ RB RB RB DT DT DT IN".split()
+
+
+def test_log_likelihood_by_hand(spark):
+    import math
+
+    edges = spark.createDataFrame([("a", "x", "T", 0.0, 10), ("a", "y", "T", 0.0, 5), ("b", "x", "T", 0.0, 3), ("b", "y", "T", 0.0, 20)], "lempos1 string, lempos2 string, type string, metric double, raw_freq long")
+    pairs = spark.createDataFrame([(1, "a", "x", "T"), (1, "q", "x", "T")], "doc_id long, lempos1 string, lempos2 string, type string")
+    got = {r.lempos1: r.g2 for r in association.log_likelihood(pairs, edges).collect()}
+    o, r, c = [[10, 5], [3, 20]], [15, 23], [13, 25]
+    assert got["a"] == pytest.approx(2 * sum(o[i][j] * math.log(o[i][j] * 38 / r[i] / c[j]) for i in (0, 1) for j in (0, 1))) and got["q"] == 0
+
+
+def test_older_evaluator_codes_without_the_guard(spark):
+    long = spark.createDataFrame([("A1", 1, "f", 0.0)], "level string, id long, feature string, value double")
+    known = spark.createDataFrame([("A1", "f", 0.0, 0.0)], "level string, feature string, mean double, std double")
+    assert [fb.feedback(long, known, ["level"], guard=g).first().code for g in (True, False)] == [0, 1]
+
+
+def test_wrapped_mtld_equals_the_plain_search():
+    import random
+
+    def plain(w):
+        lengths = []
+        for s in range(len(w)):
+            for size in range(10, len(w) + 1):
+                if len({w[(s + k) % len(w)] for k in range(size)}) / size < 0.72:
+                    lengths.append(size)
+                    break
+        return sum(lengths) / len(lengths) if lengths else 0.0
+
+    dice = random.Random(2)
+    for n in (0, 1, 9, 10, 25, 80):
+        for kinds in (2, 12, 60, 10_000):
+            w = [str(dice.randrange(kinds)) for _ in range(n)]
+            assert taaled.mtld_wrap(w) == pytest.approx(plain(w))
+    assert taaled.mtld_wrap([str(k) for k in range(20_000)]) == 0
