@@ -13,12 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
-    """Path of a vocabulary file; LEXMILL_TOKENIZERS may name another folder."""
-    folder = os.environ.get("LEXMILL_TOKENIZERS")
+def vocabulary(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
+    """Path of a vocabulary file: in `folder`, or the one that LEXMILL_TOKENIZERS names, or else that of the installed package of
+    public tokenizers. Executors need the file under the same path."""
+    folder = folder or os.environ.get("LEXMILL_TOKENIZERS")
     if not folder:
         spec = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(spec.origin) if spec else "/opt/tokenizers"
+        if spec is None:
+            raise ValueError("name the folder of the vocabulary files, or set LEXMILL_TOKENIZERS")
+        folder = os.path.dirname(spec.origin)
     return os.path.join(folder, name)
 
 

@@ -14,7 +14,7 @@ from lexmill.llm.quality import quality
 from lexmill.llm.readability import band_number, reading_levels
 from lexmill.llm.sampling import proportional_sample, usable_cells
 from lexmill.llm.spam import spam_pages
-from lexmill.llm.splits import author_groups, split_groups
+from lexmill.llm.splits import author_groups, split_groups, split_report
 from lexmill.llm._tokens import token_count
 from lexmill.session import stored
 
@@ -155,11 +155,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
-def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a known author, by group, stratified by the band of their level."""
+def _labelled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a known author with the band of their level."""
     levels = table(spark, sf_dir, "flip_final").select("id", F.substring(level_name(F.col("level")), 1, 2).alias("label"))
     levels = levels.groupBy("id").agg(F.max("label").alias("label"))
-    return split_groups(_groups(spark, sf_dir).join(levels, "id"), table(spark, sf_dir, "split_targets"))
+    return stored(_groups(spark, sf_dir).join(levels, "id"))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a known author, by group, stratified by the band of their level."""
+    return split_groups(_labelled_groups(spark, sf_dir), table(spark, sf_dir, "split_targets"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the splits and how far their bands are from those of all records."""
+    groups, targets = _labelled_groups(spark, sf_dir), table(spark, sf_dir, "split_targets")
+    return split_report(split_groups(groups, targets), groups, targets)
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,24 @@ LARGE = 0.002
 SLICES = 512
 
 
+#: A value that holds at least this part of the rows is joined by broadcast; there are at most 1 / HOT of them.
+HOT = 0.001
+
+
+def hot_join(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows joined to known(key, ...), unique by key, though one key hold a third of all rows.
+
+    Keys are counted with map-side combining; those that hold HOT of the rows or more, at most 1 / HOT by arithmetic, are
+    broadcast, and only the others are shuffled, so that no task is given a hot key.
+    """
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = known.join(F.broadcast(stored(sizes.where(F.col("_n") >= max(2.0, HOT * total)).select(key))), key)
+    hot = F.broadcast(stored(hot))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(known.hint("merge"), key))
+
+
 def author_groups(records: DataFrame, students: DataFrame, accounts: DataFrame) -> DataFrame:
     """records(id, session, student) to (id, group_key), one row per record whose author is known.
 
@@ -28,7 +46,7 @@ def author_groups(records: DataFrame, students: DataFrame, accounts: DataFrame)
     """
     entry = F.col("student")
     work = records.select("id", entry, F.regexp_extract(F.col("session"), "([0-9]+)", 1).try_cast("int").alias("_no"))
-    work = work.where("id IS NOT NULL AND student IS NOT NULL").distinct()
+    work = stored(work.where("id IS NOT NULL AND student IS NOT NULL").distinct())
     named = work.select("student").distinct().select("student", folded_name(entry).alias("_key"))
 
     held = accounts.select(folded_name("account_name").alias("_key"), "account_id").where("_key <> ''")
@@ -57,7 +75,7 @@ def author_groups(records: DataFrame, students: DataFrame, accounts: DataFrame)
         .where("_acc IS NOT NULL OR _stu IS NOT NULL OR _seat <> ''")
     )
     seat = F.when((F.col("_seat") != "") & F.col("_no").isNotNull(), F.concat(F.lit("seat-"), F.col("_seat"), F.lit("-"), F.col("_no")))
-    keyed = work.join(known, "student").select("id", F.coalesce("_acc", seat, "_stu").alias("group_key"))
+    keyed = hot_join(work, stored(known), "student").select("id", F.coalesce("_acc", seat, "_stu").alias("group_key"))
     return keyed.where("group_key IS NOT NULL").groupBy("id").agg(F.min("group_key").alias("group_key"))
 
 
@@ -130,7 +148,30 @@ def split_groups(groups: DataFrame, targets: DataFrame, label: str = "label") ->
         cuts[-1] = (*cuts[-1][:3], 2.0)
     bounds = spark.createDataFrame(cuts, "main string, split_name string, _low double, _high double")
     chosen = at.join(F.broadcast(bounds), "main").where("_at >= _low AND _at < _high").select("group_key", "split_name")
-    return groups.select("id", "group_key").join(chosen.unionByName(fixed), "group_key").select("id", "group_key", "split_name")
+    # Large groups, at most 1 / LARGE, go by broadcast; only the small ones are shuffled.
+    rows, fixed = groups.select("id", "group_key"), F.broadcast(fixed)
+    rest = rows.join(fixed.select("group_key"), "group_key", "left_anti").join(chosen.hint("merge"), "group_key")
+    return rows.join(fixed, "group_key").unionByName(rest).select("id", "group_key", "split_name")
+
+
+def split_report(split: DataFrame, groups: DataFrame, targets: DataFrame, label: str = "label") -> DataFrame:
+    """split_groups() of groups(id, group_key, <label>) to (split_name, groups, records, actual_permille, target_permille, label_deviation),
+    one row a target: label_deviation is half the sum of the differences between the split's label shares and those of all
+    records, in per mille: what part of the split would have to be exchanged. A split without records has null."""
+    named = groups.select("id", F.coalesce(F.col(label).cast("string"), F.lit("")).alias("_label")).dropDuplicates(["id"])
+    cells = stored(split.join(named, "id").groupBy("split_name", "group_key", "_label").agg(F.count("*").alias("n")))
+    by = cells.groupBy("split_name", "_label").agg(F.sum("n").alias("n"))
+    whole = cells.groupBy("_label").agg(F.sum("n").alias("all")).withColumn("share", F.col("all") / F.sum("all").over(Window.partitionBy()))  # one row a label
+    sums = cells.groupBy("split_name").agg(F.count_distinct("group_key").alias("groups"), F.sum("n").alias("records"))
+    grid = sums.select("split_name", "records").crossJoin(F.broadcast(whole.select("_label", "share")))  # targets by labels
+    off = grid.join(by, ["split_name", "_label"], "left").groupBy("split_name").agg((500 * F.sum(F.abs(F.coalesce("n", F.lit(0)) / F.col("records") - F.col("share")))).alias("label_deviation"))
+    total = cells.agg(F.sum("n").alias("total"))
+    goals = targets.groupBy("split_name").agg(F.sum("target_permille").alias("target_permille")).crossJoin(F.broadcast(total))  # one row
+    out = goals.join(sums, "split_name", "left").join(off, "split_name", "left")
+    return out.select(
+        "split_name", F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("records", F.lit(0)).alias("records"),
+        F.round(F.try_divide(1000.0 * F.coalesce("records", F.lit(0)), F.col("total")), 3).alias("actual_permille"), "target_permille", F.round("label_deviation", 3).alias("label_deviation"),
+    )
 
 
 def registered_label(level: Column) -> Column:

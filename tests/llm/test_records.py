@@ -10,7 +10,7 @@ from lexmill.llm.consensus import Consensus, digamma, krippendorff, log_gamma
 from lexmill.llm.mixing import Mix
 from lexmill.llm.packing import pack, pack_histogram, places_by_rank
 from lexmill.llm.sampling import Reservoirs, priority, proportional_sample, usable_cells
-from lexmill.llm.splits import author_groups, split_groups
+from lexmill.llm.splits import author_groups, hot_join, split_groups, split_report
 
 
 def test_digamma(spark):
@@ -121,6 +121,24 @@ def test_splits_keep_groups_and_shares(spark):
     assert split_groups(spark.createDataFrame([], "id long, group_key string, label string"), targets).count() == 0
 
 
+def test_split_report(spark):
+    dice = random.Random(5)
+    rows = [(i, f"g{dice.randrange(900)}" if i % 3 else "hot", dice.choice("AAB")) for i in range(9000)]
+    targets = spark.createDataFrame([("train", 800), ("validation", 100), ("test", 100), ("none", 0)], "split_name string, target_permille long")
+    groups = spark.createDataFrame(rows, "id long, group_key string, label string")
+    got = {r.split_name: r for r in split_report(split_groups(groups, targets), groups, targets).collect()}
+    assert sum(r.records for r in got.values()) == 9000 and got["none"].records == 0 and got["none"].label_deviation is None
+    assert all(abs(got[k].actual_permille - got[k].target_permille) < 25 and got[k].label_deviation < 40 for k in ("train", "validation", "test"))
+
+
+def test_hot_join_loses_and_repeats_nothing(spark):
+    rows = spark.range(0, 3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 4, None).otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("key"))
+    known = rows.select("key").distinct().where("key <> 'k5'").withColumn("v", F.concat("key", F.lit("!")))
+    want = rows.join(known, "key").select("id", "key", "v")
+    assert sorted(map(tuple, hot_join(rows, known, "key").select("id", "key", "v").collect())) == sorted(map(tuple, want.collect()))
+    assert hot_join(rows.limit(0), known, "key").count() == 0
+
+
 def test_packing_places_every_token_once(spark):
     dice = random.Random(6)
     items = [(i, dice.choice((1, 5, 60, 99, 100, 101, 250, dice.randrange(1, 400)))) for i in range(700)] + [(9000, 0), (9001, None)]
