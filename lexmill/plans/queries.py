@@ -870,16 +870,24 @@ def ranked_sentences(spark, sf_dir):
     return out.where("rank <= 5")
 
 
-def _synonyms(spark, sf_dir):
-    """Stand-in synonyms: lemmas that share a partner and a type in the edge table, scored by how many they share."""
-    e = collocations.edge_table(_preprocessed(spark, sf_dir)).select("lempos1", "lempos2", "type")
-    pairs = e.join(e.withColumnRenamed("lempos1", "other"), ["lempos2", "type"]).where("lempos1 <> other").groupBy("lempos1", "other").agg(F.count("*").alias("n"))
-    return pairs.select(F.substring_index("lempos1", "_", 1).alias("lemma"), F.substring_index("other", "_", 1).alias("synonym"), F.col("n").cast("double").alias("score"))
+_PARTNERS = "type IN ('NOUN+NOUN', 'VERB+VERB')"
+_SYNONYMS = f"""{_EDGES}, s AS (SELECT lempos1 AS a, lempos2 AS b, raw_freq FROM edges WHERE {_PARTNERS} UNION ALL SELECT lempos2, lempos1, raw_freq FROM edges WHERE {_PARTNERS}),
+syn AS (SELECT split_part(a, '_', 1) AS lemma, split_part(b, '_', 1) AS synonym, CAST(sum(raw_freq) AS DOUBLE) AS n FROM s GROUP BY ALL)"""
+
+
+def _synonyms(t: DataFrame) -> DataFrame:
+    """Stand-in thesaurus from tokens with heads: partners of one part of speech, either way, scored by how often they stand
+    together. It grows with the edges; no pairs of words under a common partner are formed."""
+    e = collocations.edge_table(stored(collocations.collocations(t))).where(_PARTNERS)
+    ends = F.array(F.struct(F.col("lempos1").alias("a"), F.col("lempos2").alias("b")), F.struct(F.col("lempos2").alias("a"), F.col("lempos1").alias("b")))
+    ways = e.select("raw_freq", F.explode(ends).alias("x")).select(*(F.substring_index(f"x.{c}", "_", 1).alias(k) for c, k in (("a", "lemma"), ("b", "synonym"))), "raw_freq")
+    return ways.where("lemma <> synonym").groupBy("lemma", "synonym").agg(F.sum("raw_freq").cast("double").alias("score"))
 
 
 @query()
 def revised_texts(spark, sf_dir):
-    return mutation.revise(tokens(spark, sf_dir), _synonyms(spark, sf_dir))
+    t = stored(tokens(spark, sf_dir, heads=True))
+    return mutation.revise(t, _synonyms(t))
 
 
 # Substitution ------------------------------------------------------------------------------------------------------------------
@@ -966,9 +974,10 @@ def synonym_model_ranking(spark, sf_dir):
     return substitution.ranked_by_model(rows.withColumn("synonym", F.col("pair").cast("string")), model, ["good"], least=0.0).select("pair", "good", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {_SYNONYMS} SELECT lemma, synonym, round(n / (n + 1), 6) AS score FROM syn WHERE lemma <> synonym AND n / (n + 1) >= {substitution.OFFERED}")
 def synonym_ranking(spark, sf_dir):
-    return substitution.offered(_synonyms(spark, sf_dir).withColumn("score", F.col("score") / (F.col("score") + 1)), ["lemma"])
+    rows = _synonyms(stored(tokens(spark, sf_dir, heads=True))).withColumn("score", F.col("score") / (F.col("score") + 1))
+    return rounded(substitution.offered(rows, ["lemma"]), "score")
 
 
 # Models --------------------------------------------------------------------------------------------------------------------------

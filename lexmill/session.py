@@ -41,23 +41,47 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back: a columnar, compressed lineage cut.
 
-    The files are dropped when the driver's process ends.
+    The files stay until release() is called or the driver's process ends, as lazy results read them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    if not _STORED:
+        atexit.register(_drop_all, spark)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM may be gone by then
-        if path.startswith("file://"):
-            shutil.rmtree(path[7:], ignore_errors=True)
+def release(spark: SparkSession) -> int:
+    """Drop all tables that stored() has written and the checkpoints of this session; returns the number of tables.
+
+    To be called between queries of a long session, once their results have been taken: lazy results made before it fail.
+    """
+    dropped = len(_STORED)
+    _drop_all(spark)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(known.get())
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(path):
+            for one in system.listStatus(path):
+                if one.getPath().getName().startswith("rdd-"):
+                    system.delete(one.getPath(), True)
+    return dropped
+
+
+def _drop_all(spark: SparkSession) -> None:
+    while _STORED:
+        path = _STORED.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone by then
+            if path.startswith("file://"):
+                shutil.rmtree(path[7:], ignore_errors=True)

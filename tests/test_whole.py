@@ -62,13 +62,12 @@ def test_revision_takes_synonyms_beyond_the_first_twenty(spark):
     assert {r.doc_id: r.text.split() for r in mutation.revise(annotate(rows), synonyms, first=1).collect()} == got
 
 
-def test_synonyms_and_revision_are_not_capped(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(q, "_preprocessed", lambda *a: spark.createDataFrame([(f"{w}_NOUN", "see_VERB", "VERB+NOUN") for w in [f"w{i}" for i in range(30)] for _ in range(2)], "lempos1 string, lempos2 string, type string"))
-    monkeypatch.setattr(q, "tokens", lambda *a: None)
-    monkeypatch.setattr(mutation, "revise", lambda t, s: seen.update(n=s.where("lemma = 'w0'").count()))
-    q.revised_texts(spark, "")
-    assert seen["n"] == 29
+def test_synonyms_are_not_capped(spark):
+    found = spark.createDataFrame([("w0_NOUN", f"w{i}_NOUN", "NOUN+NOUN") for i in range(1, 31) for _ in range(2)], "lempos1 string, lempos2 string, type string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(q.collocations, "collocations", lambda t: found)
+        got = q._synonyms(None)
+    assert got.where("lemma = 'w0'").count() == 30 and got.where("synonym = 'w0'").count() == 30
 
 
 def test_short_texts_are_outliers(spark, tmp_path):
