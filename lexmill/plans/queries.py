@@ -16,7 +16,7 @@ from lexmill.operators import sophistication, statistics as st, substitution, ta
 from lexmill.operators.annotate import annotate
 from lexmill.plans import sql as S
 from lexmill.plans.pipeline import Pipeline
-from lexmill.session import shared_folder, spread, stored
+from lexmill.session import shared_folder, ship, spread, stored
 from lexmill.sources import readers, sinks
 from lexmill.streaming import stream
 
@@ -43,6 +43,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

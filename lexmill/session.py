@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a context, unless it stands on their path or came in an archive itself."""
+    context, root = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_lexmill_shipped", False):
+        return
+    context._lexmill_shipped = True
+    if not os.path.isdir(root) or os.path.dirname(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    folder = tempfile.mkdtemp(prefix="lexmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "lexmill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for where, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(where, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)  # the driver serves it to the executors
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only in local mode when the setting is absent."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +59,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one): survives the loss of executors."""
+    ship(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -50,6 +73,7 @@ def stored(df: DataFrame) -> DataFrame:
     The files stay until release() is called or the driver's process ends, as lazy results read them.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _STORED:
