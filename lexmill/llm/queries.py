@@ -16,10 +16,11 @@ from lexmill.llm.sampling import proportional_sample, usable_cells
 from lexmill.llm.spam import spam_pages
 from lexmill.llm.splits import author_groups, split_groups, split_report
 from lexmill.llm._tokens import token_count
-from lexmill.session import stored
+from lexmill.session import ship, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
