@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import python_text, text as T
 from lexmill.operators import accuracy, association, collocations, curation, density, feedback as fb, lexicon, models, mutation, ratings, repetition
 from lexmill.operators import sophistication, statistics as st, substitution, taaled, variation
-from lexmill.operators.annotate import annotate
+from lexmill.operators.annotate import annotate, annotate_sql
 from lexmill.plans import sql as S
 from lexmill.plans.pipeline import Pipeline
 from lexmill.session import shared_folder, ship, spread, stored
@@ -272,6 +272,18 @@ def corrected_texts(spark, sf_dir):
     return accuracy.correct_spelling(docs(spark, sf_dir), _best(spark, sf_dir))
 
 
+def _contracted() -> str:
+    """SQL that replaces one contraction after the other, those with a capital I only as written."""
+    out = "replace(text, '´', '''')"
+    for short, full in python_text.CONTRACTIONS.items():
+        key = short.replace("'", "''")
+        if short != short.lower():
+            out = f"regexp_replace(replace({out}, '{key}', '{full}'), '{key}', '', 'gi')"
+        else:
+            out = f"regexp_replace({out}, '{key}', '{full}', 'gi')"
+    return f"replace({out}, '''', '')"
+
+
 # Collocations --------------------------------------------------------------------------------------------------------
 
 _RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(str(tuple(x if x is not None else "" for x in r)) for r in collocations.pattern_rules()) + ") AS v(ord, type, head_tag, dep, tag, head_class, class))"
@@ -308,7 +320,23 @@ def collocation_match(spark, sf_dir):
     return collocations.collocations(tokens(spark, sf_dir, heads=True))
 
 
-@query()
+#: Contractions expanded, then words outside the dictionary replaced by their correction; tokens of that.
+_PREPROCESSED = f"""expanded AS (SELECT doc_id, {_contracted()} AS text FROM documents),
+uses AS (SELECT x AS word, count(*) AS freq FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM expanded) GROUP BY x),
+known AS (SELECT x AS word FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM documents) GROUP BY x HAVING count(*) >= 3),
+close AS (SELECT a.word, b.word AS best, coalesce(u.freq, 0) AS freq, damerau_levenshtein(a.word, b.word) AS d FROM uses a ANTI JOIN known k ON k.word = a.word JOIN known b ON abs(length(a.word) - length(b.word)) <= 2 LEFT JOIN uses u ON u.word = b.word),
+best AS (SELECT word, best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, freq DESC, best) AS rn FROM close WHERE d <= 2) WHERE rn = 1),
+runs AS (SELECT doc_id, i, r[i] AS r FROM (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+|\\P{{L}}+') AS r FROM expanded))),
+plain AS (SELECT doc_id, string_agg(CASE WHEN best IS NULL THEN r WHEN left(r, 1) = lower(left(r, 1)) THEN best ELSE upper(left(best, 1)) || substr(best, 2) END, '' ORDER BY i) AS text FROM runs LEFT JOIN best ON word = lower(r) GROUP BY doc_id),
+{annotate_sql("plain")}"""
+
+
+def _on_plain(oracle: str) -> str:
+    """The SQL of a query over the raw texts, over the preprocessed ones."""
+    return oracle.replace(S.TOKENS, _PREPROCESSED)
+
+
+@query(_on_plain(_ORACLES["collocation_match"]))
 def collocation_match_preprocessed(spark, sf_dir):
     return _preprocessed(spark, sf_dir)
 
@@ -332,7 +360,7 @@ def collocation_indices(spark, sf_dir):
     return _indices(_found(spark, sf_dir))
 
 
-@query()
+@query(_on_plain(_ORACLES["collocation_indices"]))
 def collocation_indices_preprocessed(spark, sf_dir):
     return _indices(_preprocessed(spark, sf_dir))
 
@@ -397,10 +425,11 @@ def log_likelihoods(spark, sf_dir):
     return rounded(association.log_likelihood(pairs, edges).drop("doc_id"), "g2", digits=4)
 
 
-@query()
+@query(_on_plain(_ORACLES["association_indices"]))
 def association_all(spark, sf_dir):
     """Of all pairs, in the preprocessed texts."""
-    return association.association_indices(_scores(_preprocessed(spark, sf_dir)))
+    out = association.association_indices(_scores(_preprocessed(spark, sf_dir)))
+    return six_digits(out, *out.columns[1:])
 
 
 # Repetition ----------------------------------------------------------------------------------------------------------
@@ -807,24 +836,20 @@ def plain_essay(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.plain_essay(F.col("text")).alias("text"), T.one_line(F.col("text")).alias("line"))
 
 
-def _contracted() -> str:
-    """SQL that replaces one contraction after the other, those with a capital I only as written."""
-    out = "replace(text, '´', '''')"
-    for short, full in python_text.CONTRACTIONS.items():
-        key = short.replace("'", "''")
-        if short != short.lower():
-            out = f"regexp_replace(replace({out}, '{key}', '{full}'), '{key}', '', 'gi')"
-        else:
-            out = f"regexp_replace({out}, '{key}', '{full}', 'gi')"
-    return f"replace({out}, '''', '')"
-
-
 @query(f"SELECT doc_id, {_contracted()} AS text FROM documents")
 def expanded_contractions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", python_text.expand_contractions(F.col("text")).alias("text"))
 
 
-@query()
+def _unescaped() -> str:
+    """SQL of the entities that the texts hold; the ampersand last, as each is decoded once."""
+    out = "text"
+    for name, sign in {"nbsp": 160, "lt": 60, "gt": 62, "quot": 34, "#39": 39, "apos": 39, "auml": 228, "ouml": 246, "uuml": 252, "szlig": 223, "eacute": 233, "ndash": 8211, "hellip": 8230, "amp": 38}.items():
+        out = f"replace({out}, '&{name};', chr({sign}))"
+    return f"nfc_normalize({out})"
+
+
+@query(f"SELECT doc_id, {_unescaped()} AS text FROM documents")
 def composed_texts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", python_text.compose(python_text.unescape_html(F.col("text"))).alias("text"))
 
@@ -1003,9 +1028,24 @@ def forest_classification(spark, sf_dir):
     return _predicted(spark, sf_dir, models.forest_classifier(list(S.FEATURES), "y"))
 
 
-@query()
+def _det(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _cramer(k: int) -> str:
+    """SQL of the k-th coefficient of a regression on x0, x1, x2 from the covariances c<ij> and those with the target, g<i>."""
+    cells = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    swapped = [[f"g{i}" if j == k else c for j, c in enumerate(row)] for i, row in enumerate(cells)]
+    return f"{_det(swapped)} / {_det(cells)}"
+
+
+@query(f"""WITH {S.FEATURED}, t AS (SELECT id, grade AS y, "LV_W" / 100 AS x0, "LV_WT" / 100 AS x1, "LV_TTR" AS x2 FROM featured WHERE grade IS NOT NULL),
+m AS (SELECT avg(y) AS my, {", ".join(f"avg(x{i}) AS m{i}, covar_pop(x{i}, y) AS g{i}" for i in range(3))}, {", ".join(f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3))} FROM t),
+b AS (SELECT my, m0, m1, m2, {", ".join(f"{_cramer(k)} AS b{k}" for k in range(3))} FROM m)
+SELECT id, y AS grade, round(my + {" + ".join(f"b{k} * (x{k} - m{k})" for k in range(3))}, 4) AS predicted FROM t, b""")
 def linear_regression(spark, sf_dir):
-    return _predicted(spark, sf_dir, models.linear(["LV_W", "LV_WT", "LV_TTR"], "grade"))
+    return rounded(_predicted(spark, sf_dir, models.linear(["LV_W", "LV_WT", "LV_TTR"], "grade")), "predicted", digits=4)
 
 
 @query()
