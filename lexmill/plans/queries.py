@@ -841,6 +841,10 @@ def expanded_contractions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", python_text.expand_contractions(F.col("text")).alias("text"))
 
 
+#: SQL of a text without the signs that XML cannot hold.
+_VALID = "trim(regexp_replace(text, '[^\\x09\\x0a\\x0d\\x20-\\x{d7ff}\\x{e000}-\\x{fffd}]', ' ', 'g'), chr(32) || chr(10) || chr(9) || chr(13))"
+
+
 def _unescaped() -> str:
     """SQL of the entities that the texts hold; the ampersand last, as each is decoded once."""
     out = "text"
@@ -1140,7 +1144,7 @@ def stream_feedback(spark, sf_dir):
     return spark.read.parquet(f"{where}/out").distinct()
 
 
-@query()
+@query(f"SELECT level, CAST(doc_id AS INTEGER) AS grade, {_unescaped().removeprefix('nfc_normalize(')[:-1].replace('text', _VALID, 1)} AS text FROM documents WHERE text IS NOT NULL")
 def xml_roundtrip(spark, sf_dir):
     where = _folder(spark)
     rows = docs(spark, sf_dir).where("text IS NOT NULL").select(F.col("doc_id").cast("int").alias("grade"), "level", F.regexp_replace("text", "[^\\x09\\x0a\\x0d\\x20-\\ud7ff\\ue000-\\ufffd]", " ").alias("text"))
