@@ -250,6 +250,12 @@ def lexical_accuracy(spark, sf_dir):
     return rounded(accuracy.lexical_accuracy(tokens(spark, sf_dir), _dictionary(spark, sf_dir)), "LA_ER")
 
 
+def _away(a: str, b: str) -> str:
+    """SQL of the distance in letters: DuckDB counts bytes, so letters beyond ASCII become digits and capitals first, which no lower-cased word holds."""
+    plain = lambda x: f"translate({x}, 'äöüßéèêáàâóòôúùûíìîç', '0123456789ABCDEFGHIJ')"
+    return f"damerau_levenshtein({plain(a)}, {plain(b)})"
+
+
 def _best(spark, sf_dir):
     found = docs(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     found = stored(found)
@@ -257,7 +263,7 @@ def _best(spark, sf_dir):
 
 
 _BEST = f"""all_ AS (SELECT x AS word, count(*) AS freq FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM documents) GROUP BY x),
-p AS (SELECT a.word, b.word AS best, b.freq, damerau_levenshtein(a.word, b.word) AS d FROM all_ a JOIN all_ b ON a.freq < 20 AND b.freq >= 20 AND abs(length(a.word) - length(b.word)) <= 2),
+p AS (SELECT a.word, b.word AS best, b.freq, {_away('a.word', 'b.word')} AS d FROM all_ a JOIN all_ b ON a.freq < 20 AND b.freq >= 20 AND abs(length(a.word) - length(b.word)) <= 2),
 best AS (SELECT word, best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, freq DESC, best) AS rn FROM p WHERE d <= 2) WHERE rn = 1)"""
 
 
@@ -324,7 +330,7 @@ def collocation_match(spark, sf_dir):
 _PREPROCESSED = f"""expanded AS (SELECT doc_id, {_contracted()} AS text FROM documents),
 uses AS (SELECT x AS word, count(*) AS freq FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM expanded) GROUP BY x),
 known AS (SELECT x AS word FROM (SELECT unnest({S.WORDS.format('text')}) AS x FROM documents) GROUP BY x HAVING count(*) >= 3),
-close AS (SELECT a.word, b.word AS best, coalesce(u.freq, 0) AS freq, damerau_levenshtein(a.word, b.word) AS d FROM uses a ANTI JOIN known k ON k.word = a.word JOIN known b ON abs(length(a.word) - length(b.word)) <= 2 LEFT JOIN uses u ON u.word = b.word),
+close AS (SELECT a.word, b.word AS best, coalesce(u.freq, 0) AS freq, {_away('a.word', 'b.word')} AS d FROM uses a ANTI JOIN known k ON k.word = a.word JOIN known b ON abs(length(a.word) - length(b.word)) <= 2 LEFT JOIN uses u ON u.word = b.word),
 best AS (SELECT word, best FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, freq DESC, best) AS rn FROM close WHERE d <= 2) WHERE rn = 1),
 runs AS (SELECT doc_id, i, r[i] AS r FROM (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+|\\P{{L}}+') AS r FROM expanded))),
 plain AS (SELECT doc_id, string_agg(CASE WHEN best IS NULL THEN r WHEN left(r, 1) = lower(left(r, 1)) THEN best ELSE upper(left(best, 1)) || substr(best, 2) END, '' ORDER BY i) AS text FROM runs LEFT JOIN best ON word = lower(r) GROUP BY doc_id),
