@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ def checked(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table.hint("merge")
 
 
+def without(tokens: DataFrame, words: DataFrame, kept: Callable) -> tuple[DataFrame, DataFrame | None]:
+    """(tokens, words(word)) to join by `lower`, or, where words are too many to be broadcast and those of the tokens that are
+    not among them are not, (the tokens that stand in words, None)."""
+    if words.limit(SMALL + 1).count() <= SMALL:
+        return tokens, words
+    unknown = kept(lambda: tokens.select("lower").distinct().join(words.select(F.col("word").alias("lower")), "lower", "left_anti"))
+    if unknown.limit(SMALL + 1).count() > SMALL:
+        return tokens, words
+    return tokens.where("lower IS NOT NULL").join(F.broadcast(unknown), "lower", "left_anti"), None
+
+
 #: Rows of a ranked list; bands of it are [0, 3000), [3000, 6000), [6000, 9000).
 RANKS = 9000
 

@@ -21,13 +21,16 @@ SUBJECT = {"me": "i", "him": "he", "her": "she"}
 NAMES = ("TAALED_TTR_AW", "TAALED_MTLD_MA_WRAP_CW", "TAALED_MTLD_MA_WRAP_AW", "TAALED_MAAS_TTR_CW", "TAALED_MAAS_TTR_AW", "TAALED_BASIC_NCONTENT_TOKENS", "TAALED_BASIC_NFUNCTION_TYPES")
 
 
-def classify(tokens: DataFrame, adjectives: DataFrame, real_words: DataFrame) -> DataFrame:
+def classify(tokens: DataFrame, adjectives: DataFrame, real_words: DataFrame | None) -> DataFrame:
     """tokens to (doc_id, sent_id, pos, class, item): class content or function, item the lemma with its suffix.
 
-    adjectives(word) and real_words(word) are lists; tokens that are no real word or are punctuation give no row. Adverbs
+    adjectives(word) and real_words(word) are lists; tokens that are no real word or are punctuation give no row
+    (None: all tokens are real words). Adverbs
     in -ly or -ally whose rest is an adjective are content words.
     """
-    rows = tokens.where(~F.col("tag").isin(*PUNCTUATION)).join(checked(real_words.select(F.col("word").alias("lower")).distinct()), "lower", "left_semi")
+    rows = tokens.where(~F.col("tag").isin(*PUNCTUATION))
+    if real_words is not None:
+        rows = rows.join(checked(real_words.select(F.col("word").alias("lower")).distinct()), "lower", "left_semi")
     # The adverbs that the adjectives make, so that tokens are joined once and by their lemma.
     made = adjectives.select(F.explode(F.array(F.concat("word", F.lit("ly")), F.concat("word", F.lit("ally")))).alias("lemma")).distinct()
     rows = rows.join(checked(made.withColumn("_made", F.lit(True))), "lemma", "left")

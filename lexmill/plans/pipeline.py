@@ -1,8 +1,8 @@
-"""The builder: components in, one lazy plan out."""
+"""The builder: components in, one row a text out."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import accuracy, association, collocations, density, lexicon, repetition, sophistication, taaled, variation
 from lexmill.operators.annotate import annotate
 from lexmill.operators.feedback import VECTOR
-from lexmill.session import stored
+from lexmill.session import buckets, drop, setting, settled, stored, stored_by, written
 
 #: What each component needs before it.
 NEEDS = {
@@ -21,6 +21,11 @@ NEEDS = {
     "lexical_variation_taaled": ("taaled_token_classifier",), "coreference": (), "repetition_detector": ("coreference",),
 }
 
+#: Spark's setting that drops the shuffle files of a job once its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Places of the columns of custom components begin here.
+CUSTOM = 1000
+
 
 @dataclass
 class Resources:
@@ -84,56 +89,96 @@ class Pipeline:
         Asked for by name, spell_checker adds spell_errors, coreference adds coreferent_tokens (those the annotator marks),
         collocation_preprocessor adds preprocessed_text, collocation_detector adds collocations and taaled_token_classifier adds
         content_words; the arrays are in the order of the text.
+
+        With one component the result is lazy. With more, every part is computed and stored before this returns, and on a
+        cluster spark.checkpoint.dir must be set.
         """
         texts = texts.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-        tokens = self.annotator(texts)
-        r = self.resources
-        tables: list[DataFrame] = []
-        has = set(self.components)
+        spark = texts.sparkSession
+        if len(self.components) + len(self.custom) < 2:
+            return self._row(texts, [make() for _, make in self._parts(texts, self.annotator(texts), settled, lambda: None)])
+        # Each part is a plan and a job of its own over tokens that are annotated once: one plan of all parts annotates for each
+        # of them and takes too much of the driver's memory. Tokens of a text lie together, so that groups of them need no shuffle.
+        own: set[str] = set()
+
+        def kept(make: Callable[[], DataFrame]) -> DataFrame:
+            before = written()
+            out = settled(make)
+            own.update(written() - before)
+            return out
+
+        def free() -> None:
+            drop(spark, annotated)
+
+        with setting(spark, {CLEANUP: "true"}):
+            before = written()
+            tokens = stored_by(self.annotator(texts.repartition(buckets(spark), "doc_id")), "doc_id")
+            annotated = written() - before
+            tables = [(place, stored(make()) if place >= CUSTOM else settled(make)) for place, make in self._parts(texts, tokens, kept, free)]
+            drop(spark, own)
+        return self._row(texts, [t for _, t in sorted(tables, key=lambda x: x[0])])
+
+    def _parts(self, texts: DataFrame, tokens: DataFrame, kept: Callable, free: Callable) -> Iterator[tuple[int, Callable[[], DataFrame]]]:
+        """(place of its columns, what makes it): first those of the tokens, after which free() is called, then those of the collocations."""
+        r, has = self.resources, set(self.components)
+        place = {name: 10 + i for i, name in enumerate(self.asked)}
         if "lexical_variation" in has:
             lexical = density.is_lexical(F.col("upos"), F.col("tag"))
             w = tokens.where(lexical).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "pos", "lower"))).alias("w"))
             rows = texts.select("doc_id").join(w, "doc_id", "left").withColumn("w", F.transform("w", lambda x: x["lower"]))
-            tables.append(variation.lexical_variation(rows, text=None, sequence=F.col("w")))
+            yield 0, lambda: variation.lexical_variation(rows, text=None, sequence=F.col("w"))
         if "lexical_sophistication" in has:
-            ranked = r.ranked or dict.fromkeys(("CA", "CT", "CG"), stored(lexicon.ranked_list(tokens)))
+            ranked = r.ranked or dict.fromkeys(("CA", "CT", "CG"), kept(lambda: lexicon.ranked_list(tokens)))
             lists = r.word_lists or {k: lexicon.word_list(ranked["CG"], i * 500, i * 500 + 500) for i, k in enumerate(("NG", "NA", "TC", "BS"))}
-            tables.append(sophistication.lexical_sophistication(tokens, lists, ranked))
+            yield 1, lambda: sophistication.lexical_sophistication(tokens, lists, ranked)
         if "spell_checker" in has:
-            words = r.dictionary if r.dictionary is not None else stored(lexicon.dictionary(texts))
+            words = r.dictionary if r.dictionary is not None else kept(lambda: lexicon.dictionary(texts))
+        if "lexical_accuracy" in has:
+            yield 2, lambda: accuracy.lexical_accuracy(tokens, words)
+        if "lexical_density" in has:
+            yield 5, lambda: density.lexical_density(tokens)
+        if "taaled_token_classifier" in has:
+            real = r.real_words if r.real_words is not None else kept(lambda: lexicon.dictionary(texts, least=1))
+            adjectives_of = r.adjectives if r.adjectives is not None else kept(lambda: tokens.where("tag = 'JJ'").select(F.col("lemma").alias("word")).distinct())
+            # Lists too long to be broadcast would shuffle all tokens. Few words of a text are no words, and few adjectives make one of its adverbs.
+            adverbs = tokens.where(F.col("tag").isin(*taaled.ADVERBS)).select(F.explode(F.array(F.regexp_replace("lemma", "ly$", ""), F.regexp_replace("lemma", "ally$", ""))).alias("word")).distinct()
+            adjectives = kept(lambda: adjectives_of.select("word").distinct().join(adverbs, "word", "left_semi"))
+            items, real = lexicon.without(tokens, real, kept)
+            classified = taaled.classify(items, adjectives, real)
+        if "lexical_variation_taaled" in has:
+            yield 7, lambda: taaled.taaled_indices(classified)
+        if "repetition_detector" in has:
+            yield 8, lambda: repetition.repetition_counts(repetition.repetition_cells(tokens))[0]
+        if "spell_checker" in place:
+            yield place["spell_checker"], lambda: _in_order(accuracy.spelling_errors(tokens, words), "text", "spell_errors")
+        if "coreference" in place:
+            yield place["coreference"], lambda: tokens.groupBy("doc_id").agg(F.count_if("in_coref").alias("coreferent_tokens"))
+        if "taaled_token_classifier" in place:
+            yield place["taaled_token_classifier"], lambda: _in_order(classified.where("class = 'content'"), "item", "content_words")
+        for i, f in enumerate(self.custom.values()):
+            yield CUSTOM + i, lambda f=f: f(tokens)
+        free()
         if "collocation_preprocessor" in has:
-            plain = stored(accuracy.preprocessed(texts, words))
+            plain = kept(lambda: accuracy.preprocessed(texts, words))
             clean = self.annotator(plain, heads=True) if self.annotator is annotate else self.annotator(plain)
         if "collocation_detector" in has:
-            found = stored(collocations.collocations(clean))
-            edges = r.edges if r.edges is not None else stored(collocations.edge_table(found))
-            measured = collocations.with_metric(found, edges)
+            found = kept(lambda: collocations.collocations(clean))
+            edges = r.edges if r.edges is not None else kept(lambda: collocations.edge_table(found))
+        if has & {"lexical_accuracy", "collocational_aspects"}:
+            indices = kept(lambda: collocations.collocation_indices(collocations.with_metric(found, edges)))
         if "lexical_accuracy" in has:
-            tables.append(accuracy.lexical_accuracy(tokens, words))
-            tables.append(collocations.collocation_indices(measured).select("doc_id", "LA_COL_ERR_R"))
+            yield 3, lambda: indices.select("doc_id", "LA_COL_ERR_R")
         if "collocational_aspects" in has:
-            tables.append(collocations.collocation_indices(measured).drop("LA_COL_ERR_R"))
-        if "lexical_density" in has:
-            tables.append(density.lexical_density(tokens))
+            yield 4, lambda: indices.drop("LA_COL_ERR_R")
         if "association_scores" in has:
-            tables.append(association.association_indices(association.scored(found, edges)))
-        if "taaled_token_classifier" in has:
-            real = r.real_words if r.real_words is not None else stored(lexicon.dictionary(texts, least=1))
-            adjectives = r.adjectives if r.adjectives is not None else stored(tokens.where("tag = 'JJ'").select(F.col("lemma").alias("word")).distinct())
-            classified = taaled.classify(tokens, adjectives, real)
-        if "lexical_variation_taaled" in has:
-            tables.append(taaled.taaled_indices(classified))
-        if "repetition_detector" in has:
-            tables.append(repetition.repetition_counts(repetition.repetition_cells(tokens))[0])
-        shown = {
-            "spell_checker": lambda: _in_order(accuracy.spelling_errors(tokens, words), "text", "spell_errors"),
-            "coreference": lambda: tokens.groupBy("doc_id").agg(F.count_if("in_coref").alias("coreferent_tokens")),
-            "collocation_preprocessor": lambda: plain.withColumnRenamed("text", "preprocessed_text"),
-            "collocation_detector": lambda: _in_order(found.withColumn("pair", F.concat_ws(" ", "lempos1", "lempos2")), "pair", "collocations"),
-            "taaled_token_classifier": lambda: _in_order(classified.where("class = 'content'"), "item", "content_words"),
-        }
-        tables += [shown[name]() for name in self.asked if name in shown]
-        tables += [f(tokens) for f in self.custom.values()]
+            yield 6, lambda: association.association_indices(association.scored(found, edges))
+        if "collocation_preprocessor" in place:
+            yield place["collocation_preprocessor"], lambda: plain.withColumnRenamed("text", "preprocessed_text")
+        if "collocation_detector" in place:
+            yield place["collocation_detector"], lambda: _in_order(found.withColumn("pair", F.concat_ws(" ", "lempos1", "lempos2")), "pair", "collocations")
+
+    @staticmethod
+    def _row(texts: DataFrame, tables: list[DataFrame]) -> DataFrame:
         out = texts.select("doc_id")
         for t in tables:
             out = out.join(t, "doc_id", "left")

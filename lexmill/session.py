@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +84,66 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Settings of stored_by(): rows arrive bucket by bucket, so that no sort is needed before they are written.
+_BUCKETED = {"spark.sql.maxConcurrentOutputFileWriters": "4", "spark.sql.parquet.compression.codec": "zstd"}
+
+
+def stored_by(df: DataFrame, key: str) -> DataFrame:
+    """stored(), in as many buckets by key as a shuffle has partitions: groups and windows by key read it without a shuffle.
+
+    df should come from rows repartitioned by key into that many. The table stands in the session's catalog until it is dropped.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    name = f"lexmill_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    with setting(spark, _BUCKETED):
+        df.write.bucketBy(buckets(spark), key).format("parquet").option("path", path).saveAsTable(name)
+    if not _STORED:
+        atexit.register(_drop_all, spark)
+    _STORED.append(path)
+    return spark.table(name)
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def setting(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings, put back at the end."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written() -> set[str]:
+    """Where the tables lie that are stored at the moment."""
+    return set(_STORED)
+
+
+def drop(spark: SparkSession, paths: set[str]) -> None:
+    """Drop some of written(), once no lazy result reads them any more."""
+    for path in paths:
+        _STORED.remove(path)
+        _remove(spark, path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """stored() of what is made, without the tables that were stored on the way to it."""
+    before = written()
+    rows = make()
+    way = written() - before
+    out = stored(rows)
+    drop(rows.sparkSession, way)
+    return out
+
+
 def release(spark: SparkSession) -> int:
     """Drop all tables that stored() has written and the checkpoints of this session; returns the number of tables.
 
@@ -102,10 +164,15 @@ def release(spark: SparkSession) -> int:
 
 def _drop_all(spark: SparkSession) -> None:
     while _STORED:
-        path = _STORED.pop()
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may be gone by then
-            if path.startswith("file://"):
-                shutil.rmtree(path[7:], ignore_errors=True)
+        _remove(spark, _STORED.pop())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        if (name := path.rsplit("/", 1)[-1]).startswith("lexmill_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone by then
+        if path.startswith("file://"):
+            shutil.rmtree(path[7:], ignore_errors=True)

@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import curation, mutation, ratings, statistics as st, substitution
+from lexmill import session
+from lexmill.operators import curation, lexicon, mutation, ratings, statistics as st, substitution
+from lexmill.operators.annotate import annotate
 from lexmill.operators.feedback import VECTOR
 from lexmill.plans.pipeline import Pipeline
 from lexmill.sources import readers, sinks
@@ -89,6 +91,33 @@ def test_full_vector_has_35_columns(spark):
     assert got.columns[1:36] == VECTOR and got.count() == 1
 
 
+def test_full_vector_is_made_in_parts(spark):
+    """The plan of the row only joins stored parts: no annotation is left in it, and the tokens are not kept."""
+    rows = spark.createDataFrame([(k, f"The big dog saw {k} small cats. They don't run quickly and they don't sleep.") for k in range(4)] + [(4, None), (5, " ")], "doc_id long, text string")
+    p = Pipeline().lexical_variation().lexical_density().lexical_accuracy().collocational_aspects().association_scores()
+    before = session.written()
+    out = p.lexical_variation_taaled().repetition_detector().component("n", lambda t: t.groupBy("doc_id").count()).transform(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and len(plan) < 50_000
+    assert not [x for x in session.written() - before if "lexmill_" in x] and not spark.sql("SHOW TABLES LIKE 'lexmill_*'").count()
+    assert out.columns[-3:] == ["repeated", "repeated_words", "count"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5] and got[0]["count"] == 17 and got[4]["count"] is None
+    for one, names in ((Pipeline().lexical_density(), ["LD_LXUR", "LD_GRUR"]), (Pipeline().lexical_variation(), ["LV_W", "LV_MTLD", "LV_YULEK"])):
+        assert {r.doc_id: tuple(r[c] for c in names) for r in one.transform(rows).collect()} == {k: tuple(r[c] for c in names) for k, r in got.items()}
+
+
+def test_long_word_lists_do_not_shuffle_the_tokens(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "The quick dog ran quickly. I don't like 3 historic dogs historically."), (2, "A slow cat sleeps slowly and oddly.")], "doc_id long, text string")
+    p = Pipeline().taaled_token_classifier().lexical_variation_taaled()
+    want = {r.doc_id: r for r in p.transform(rows).collect()}
+    monkeypatch.setattr(lexicon, "SMALL", 6)
+    assert {r.doc_id: r for r in p.transform(rows).collect()} == want and "historically_cw" in want[1].content_words and "quickly_cw" not in want[1].content_words and "oddly_cw" not in want[2].content_words
+    tokens = annotate(rows)
+    items, real = lexicon.without(tokens, lexicon.dictionary(rows, least=1), lambda make: make())
+    assert real is None and sorted({r.lower for r in tokens.collect()} - {r.lower for r in items.collect()}) == [".", "3", "don't"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Essay,Vocab_Grade_AVG,Level\n"one\ntwo, ""x""",2.5,A1.1\nno grade,N/A,A1.1\nother level,3,A2.2\n,3,A1.1\nodd,3.x,A1.1\n')
     assert [tuple(r) for r in readers.graded_csv(spark, str(tmp_path / "a.csv")).collect()] == [('one two, "x"', 2.5, "A1.1")]
